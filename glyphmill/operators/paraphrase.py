@@ -80,20 +80,24 @@ def sentence_skeleton(paraphrase, hole: str = "#"):
     return F.regexp_replace(paraphrase, tx.SLOT_HOLE, hole)
 
 
-def ambiguity(sentences: DataFrame) -> DataFrame:
-    """Masked sentences that more than one shape can produce.
+def skeleton_shapes(sentences: DataFrame) -> DataFrame:
+    """``(skeleton, n_shapes, n)`` of ``(shape, paraphrase)`` sentences.
 
-    ``sentences`` is ``(shape, paraphrase)``; shapes are few, so the set per
-    skeleton stays small however often a skeleton occurs.
+    Shapes are few, so the set per skeleton stays small however often a
+    skeleton occurs.
     """
     return (
         sentences.select("shape", sentence_skeleton(F.col("paraphrase")).alias("skeleton"))
         .groupBy("skeleton")
-        .agg(F.array_sort(F.collect_set("shape")).alias("shapes"), F.count("*").alias("n"))
-        .filter(F.size("shapes") > 1)
+        .agg(F.size(F.collect_set("shape")).cast("bigint").alias("n_shapes"), F.count("*").alias("n"))
     )
 
 
+def ambiguity(sentences: DataFrame) -> DataFrame:
+    """Masked sentences that more than one shape can produce."""
+    return skeleton_shapes(sentences).filter("n_shapes > 1")
+
+
 def openers(diagrams: DataFrame, column: str = "pattern") -> DataFrame:
     """Distinct forced prefixes: header line, indent and first node letter."""
     lines = F.split(F.col(column), "\n")

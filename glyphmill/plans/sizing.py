@@ -24,6 +24,17 @@ def small_side(df: DataFrame, rows: int | None = None, max_rows: int = BROADCAST
     return F.broadcast(df) if small else df
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan with at least one partition per core.
+
+    Generating a pair costs far more than reading its key, so a scan of few
+    row groups is split up; a scan that already has enough partitions is left
+    alone.
+    """
+    wanted = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(wanted) if scan.rdd.getNumPartitions() < wanted else scan
+
+
 def bucket_totals(
     df: DataFrame, group: Sequence[str], bucket: Column, weight: Column
 ) -> DataFrame:
