@@ -14,8 +14,8 @@ WINDOW_DIGITS = 7
 WINDOW_SIZE = 16**WINDOW_DIGITS
 
 
-def digest(seed: int, key: Column, role: str | None = None) -> Column:
-    parts = [F.lit(str(seed)), key.cast("string")]
+def digest(seed: int | Column, key: Column, role: str | None = None) -> Column:
+    parts = [F.lit(str(seed)) if isinstance(seed, int) else seed.cast("string"), key.cast("string")]
     if role is not None:
         parts.append(F.lit(role))
     return F.md5(F.concat_ws("|", *parts).cast("binary"))

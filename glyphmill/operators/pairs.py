@@ -33,6 +33,9 @@ PAIR_SCHEMA = (
 )
 
 
+Seed = int | Column
+
+
 @dataclass(frozen=True)
 class PairKit:
     """What sampling needs: the indexed tables and their sizes."""
@@ -113,7 +116,7 @@ def _lookup(numbers: dict[tuple[str, str], int], name: Column, split: Column) ->
     return F.element_at(F.create_map(*entries), F.concat_ws("|", name, split)).cast("bigint")
 
 
-def draw_shape(keys: DataFrame, kit: PairKit, seed: int = PAIR_SEED) -> DataFrame:
+def draw_shape(keys: DataFrame, kit: PairKit, seed: Seed = PAIR_SEED) -> DataFrame:
     """Give each key a shape: adds ``shape, pattern, slot_list``."""
     h = draw.digest(seed, F.col("pair_id"), "shape")
     return (
@@ -131,7 +134,7 @@ def _per_split(sizes: dict[tuple[str, str], int], category: str, split: Column)
     return out
 
 
-def with_draws(df: DataFrame, kit: PairKit, seed: int) -> DataFrame:
+def with_draws(df: DataFrame, kit: PairKit, seed: Seed) -> DataFrame:
     """Add ``_draw_<category> struct<base, step, size, second>`` per category.
 
     Drawn once per row, outside the per-slot lambda, in generated code.
@@ -176,13 +179,14 @@ def _by_category(kit: PairKit, category: Column, value) -> Column:
     return out
 
 
-def novel_value(key: Column, slot: Column, fragments: tuple[str, ...], seed: int = PAIR_SEED) -> Column:
+def novel_value(key: Column, slot: Column, fragments: tuple[str, ...], seed: Seed = PAIR_SEED) -> Column:
     """An invented label: one or two capitalised words of one to three fragments."""
     pieces = F.split(F.lit(",".join(fragments)), ",")
     n = len(fragments)
 
     def hashed(role: str) -> Column:
-        return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), slot, F.lit(role)).cast("binary"))
+        own = F.lit(str(seed)) if isinstance(seed, int) else seed.cast("string")
+        return F.md5(F.concat_ws("|", own, key.cast("string"), slot, F.lit(role)).cast("binary"))
 
     def word(h: Column) -> Column:
         at = [F.element_at(pieces, (draw.pick(h, n, i + 1) + 1).cast("int")) for i in range(3)]
@@ -195,7 +199,7 @@ def novel_value(key: Column, slot: Column, fragments: tuple[str, ...], seed: int
     return F.array_join(F.transform(hashes, word), " ")
 
 
-def sample_slots(df: DataFrame, kit: PairKit, seed: int = PAIR_SEED) -> DataFrame:
+def sample_slots(df: DataFrame, kit: PairKit, seed: Seed = PAIR_SEED) -> DataFrame:
     """Add ``slots map<slot, value>``: pool values, or invented ones if ``novel``.
 
     ``df`` holds ``pair_id, value_split, novel, slot_list``.  A pool proven
@@ -236,7 +240,7 @@ def _closed(category: Column) -> Column:
     return category.isin(*lexicon.CLOSED_CATEGORIES)
 
 
-def _sample_slots_joined(drawn: DataFrame, kit: PairKit, seed: int, keys: list[str]) -> DataFrame:
+def _sample_slots_joined(drawn: DataFrame, kit: PairKit, seed: Seed, keys: list[str]) -> DataFrame:
     """Pool values by an equi-join: one row per slot, regrouped per key.
 
     A key has at most as many rows as its shape has slots.
@@ -266,7 +270,7 @@ def _sample_slots_joined(drawn: DataFrame, kit: PairKit, seed: int, keys: list[s
     )
 
 
-def draw_phrase(df: DataFrame, kit: PairKit, seed: int = PAIR_SEED) -> DataFrame:
+def draw_phrase(df: DataFrame, kit: PairKit, seed: Seed = PAIR_SEED) -> DataFrame:
     """Add the paraphrase drawn for each key from its shape's phrases."""
     size = _lookup(kit.phrase_sizes, F.col("shape"), F.col("phrase_split"))
     at = draw.pick(draw.digest(seed, F.col("pair_id"), "phrase"), size)
@@ -286,7 +290,7 @@ def render(df: DataFrame) -> DataFrame:
     )
 
 
-def draw_pairs(keys: DataFrame, kit: PairKit, seed: int = PAIR_SEED) -> DataFrame:
+def draw_pairs(keys: DataFrame, kit: PairKit, seed: Seed = PAIR_SEED) -> DataFrame:
     """One rendered pair per key; no row moves while the lookups are small.
 
     ``keys`` holds ``pair_id, value_split, phrase_split, novel`` and whatever
@@ -300,7 +304,7 @@ def draw_pairs(keys: DataFrame, kit: PairKit, seed: int = PAIR_SEED) -> DataFram
 
 def split_keys(
     ids: DataFrame,
-    seed: int = PAIR_SEED,
+    seed: Seed = PAIR_SEED,
     val_share: float = VAL_SHARE,
     novel_share: dict[str, float] | None = None,
 ) -> DataFrame:
@@ -336,7 +340,7 @@ def distinct_pairs(pairs: DataFrame) -> DataFrame:
 def generate_pairs(
     ids: DataFrame,
     kit: PairKit,
-    seed: int = PAIR_SEED,
+    seed: Seed = PAIR_SEED,
     novel_share: dict[str, float] | None = None,
     n: int | None = None,
 ) -> DataFrame:
@@ -355,18 +359,21 @@ def axis_sets(ids: DataFrame, kit: PairKit, n: int | None = None) -> DataFrame:
     ``n`` keeps the first keys by id, per axis.
     """
     base = ids if n is None else ids.orderBy("pair_id").limit(n)
-    sets = None
-    for axis, (values, phrases, seed) in AXES.items():
-        keys = base.select(
-            "pair_id",
-            F.lit(axis).alias("axis"),
-            F.lit(values).alias("value_split"),
-            F.lit(phrases).alias("phrase_split"),
-            F.lit(False).alias("novel"),
-        )
-        part = draw_pairs(keys, kit, seed)
-        sets = part if sets is None else sets.unionByName(part)
-    return sets
+    axes = F.array(
+        *[
+            F.struct(
+                F.lit(axis).alias("axis"),
+                F.lit(values).alias("value_split"),
+                F.lit(phrases).alias("phrase_split"),
+                F.lit(seed).alias("axis_seed"),
+            )
+            for axis, (values, phrases, seed) in AXES.items()
+        ]
+    )
+    keys = base.select("pair_id", F.explode(axes).alias("a")).select(
+        "pair_id", "a.*", F.lit(False).alias("novel")
+    )
+    return draw_pairs(keys, kit, F.col("axis_seed")).drop("axis_seed")
 
 
 def pair_mix_report(pairs: DataFrame) -> DataFrame:
