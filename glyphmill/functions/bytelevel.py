@@ -21,7 +21,7 @@ SPECIAL_TOKENS = (
     "<|prompt|>",
     "<|response|>",
 )
-PAD, UNK, START, EOT, MERMAID, PROMPT, RESPONSE = range(len(SPECIAL_TOKENS))
+PAD, UNK, START, EOT, DIAGRAM, PROMPT, RESPONSE = range(len(SPECIAL_TOKENS))
 FIRST_BYTE = len(SPECIAL_TOKENS)
 FIRST_MERGE = FIRST_BYTE + 256
 
@@ -57,24 +57,17 @@ def pretokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PRETOKEN), F.lit(0))
 
 
-def _byte_id(byte: Column) -> Column:
-    out = F.lit(None).cast("bigint")
-    for low, high, start in reversed(_PRINTABLE + _HIDDEN):
-        out = F.when(byte.between(low, high), byte + (FIRST_BYTE + start - low)).otherwise(out)
-    return out
-
-
 def symbols(pretoken: Column) -> Column:
     """A pre-token as `` id  id  id ``: every symbol id between two blanks.
 
     With a blank on both sides of every id, merging a pair is one literal
     replacement of `` a  b `` by `` ab ``.
     """
-    digits = F.hex(F.encode(pretoken, "UTF-8"))
-    at = F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2))
-    ids = F.transform(at, lambda i: _byte_id(F.conv(F.substring(digits, i, 2), 16, 10).cast("bigint")))
-    return F.concat(F.lit(" "), F.array_join(ids.cast("array<string>"), "  "), F.lit(" "))
+    ids = F.split(F.lit(",".join(str(FIRST_BYTE + o) for o in byte_offsets())), ",")
+    pairs = F.split(F.trim(F.regexp_replace(F.hex(F.encode(pretoken, "UTF-8")), "(..)", "$1 ")), " ")
+    coded = F.transform(pairs, lambda h: F.element_at(ids, F.conv(h, 16, 10).cast("int") + 1))
+    return F.concat(F.lit(" "), F.array_join(coded, "  "), F.lit(" "))
 
 
 def symbol_ids(symbol_text: Column) -> Column:
-    return F.split(F.trim(symbol_text), "  ").cast("array<int>")
+    return F.split(F.trim(F.replace(symbol_text, F.lit("  "), F.lit(" "))), " ").cast("array<int>")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import bytelevel as bl
 from glyphmill.session import cut_lineage
+from glyphmill.sources.tables import local_table
 
 # Fixed values.
 VOCAB_SIZE = 8192
@@ -175,10 +176,13 @@ def vocab_tables(spark: SparkSession, bpe: Bpe) -> tuple[DataFrame, DataFrame]:
     """``vocab(token, id, kind)`` and ``merges(rank, left, right, merged)``."""
     tokens = bpe.tokens()
     kinds = ["special"] * bl.FIRST_BYTE + ["byte"] * 256 + ["merge"] * len(bpe.merges)
-    vocab = spark.createDataFrame(
-        [(t, i, k) for i, (t, k) in enumerate(zip(tokens, kinds))], "token string, id int, kind string"
+    vocab = local_table(
+        spark,
+        [(t, i, k) for i, (t, k) in enumerate(zip(tokens, kinds))],
+        "token string, id int, kind string",
     )
-    merges = spark.createDataFrame(
+    merges = local_table(
+        spark,
         [
             (rank, tokens[a], tokens[b], tokens[bl.FIRST_MERGE + rank])
             for rank, (a, b) in enumerate(bpe.merges)
@@ -269,6 +273,12 @@ def decode(ids: Column, bpe: Bpe, skip_special: bool = True) -> Column:
     return F.make_valid_utf8(F.unhex(digits).cast("string"))
 
 
+def token_strings(ids: Column, bpe: Bpe) -> Column:
+    """Ids as the vocabulary shows them."""
+    table = F.split(F.lit("\n".join(bpe.tokens())), "\n")
+    return F.transform(ids, lambda i: F.element_at(table, i + 1))
+
+
 # -- reports ------------------------------------------------------------------
 
 

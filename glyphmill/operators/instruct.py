@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import bytelevel as bl
 from glyphmill.functions import draw
 from glyphmill.operators.bpe import Bpe, encode
-from glyphmill.plans.sizing import global_rank
+from glyphmill.plans.sizing import BUCKET_DIGITS, global_rank
 
 # Fixed values.
 MAX_LEN = 512
@@ -40,7 +40,7 @@ def frame_pairs(df: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     first scored target is the first diagram token, and the end is scored.
     """
     ids = F.concat(
-        F.array(F.lit(bl.MERMAID)), "p_ids", F.array(F.lit(bl.PROMPT)), "m_ids", F.array(F.lit(bl.EOT))
+        F.array(F.lit(bl.DIAGRAM)), "p_ids", F.array(F.lit(bl.PROMPT)), "m_ids", F.array(F.lit(bl.EOT))
     )
     scored = F.concat(
         F.array_repeat(F.lit(False), F.size("p_ids") + 2), F.array_repeat(F.lit(True), F.size("m_ids") + 1)
@@ -97,7 +97,7 @@ def assign_batches(
 ) -> DataFrame:
     """Shuffle examples into batches of ``batch`` rows: adds ``batch_id``."""
     hashed = examples.withColumn("_h", draw.digest(seed, F.col(key), "batch"))
-    ranked = global_rank(hashed.withColumn("_all", F.lit(1)), ["_all"], "_h", [key], "_at", "_n")
+    ranked = global_rank(hashed.withColumn("_all", F.lit(1)), ["_all"], "_h", [key], "_at", "_n", BUCKET_DIGITS)
     return ranked.withColumn("batch_id", F.floor(F.col("_at") / batch).cast("bigint")).drop(
         "_h", "_all", "_at", "_n"
     )

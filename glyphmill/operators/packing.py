@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import draw
 from glyphmill.functions.bytelevel import EOT
-from glyphmill.plans.sizing import global_rank, running_total, small_side
+from glyphmill.plans.sizing import BUCKET_DIGITS, global_rank, running_total, small_side
 
 # Fixed values.
 DOC_SEED = 42
@@ -36,7 +36,7 @@ def with_eot(encoded: DataFrame, ids: str = "ids", eot: int = EOT) -> DataFrame:
 
 
 def pack_blocks(
-    encoded: DataFrame, length: int = BLOCK, seed: int = DOC_SEED, digits: int = 2
+    encoded: DataFrame, length: int = BLOCK, seed: int = DOC_SEED, digits: int = BUCKET_DIGITS
 ) -> DataFrame:
     """Concatenate each split's documents in shuffled order and cut blocks.
 
@@ -98,7 +98,7 @@ def epoch_batches(
     epoch: int = 0,
     seed: int = DOC_SEED,
     drop_last: bool = True,
-    digits: int = 2,
+    digits: int = BUCKET_DIGITS,
 ) -> DataFrame:
     """Add ``batch_id`` and ``row``: train shuffled per epoch, val in block order.
 

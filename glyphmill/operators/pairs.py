@@ -11,6 +11,7 @@ from glyphmill.functions import draw
 from glyphmill.functions import text as tx
 from glyphmill.operators import lexicon, paraphrase
 from glyphmill.plans.sizing import global_rank, small_side
+from glyphmill.sources.tables import local_table
 
 # Fixed values.
 PAIR_SEED = 42
@@ -80,7 +81,8 @@ def build_kit(
         ),
     )
     patterns = sorted(tuple(r) for r in tables["shapes"].select("shape", "pattern").collect())
-    shapes = words.sparkSession.createDataFrame(
+    shapes = local_table(
+        words.sparkSession,
         [(i, shape, pattern) for i, (shape, pattern) in enumerate(patterns)],
         "shape_at bigint, shape string, pattern string",
     ).withColumn("slot_list", slot_list)
@@ -271,16 +273,30 @@ def _sample_slots_joined(drawn: DataFrame, kit: PairKit, seed: Seed, keys: list[
 
 
 def draw_phrase(df: DataFrame, kit: PairKit, seed: Seed = PAIR_SEED) -> DataFrame:
-    """Add the paraphrase drawn for each key from its shape's phrases."""
-    size = _lookup(kit.phrase_sizes, F.col("shape"), F.col("phrase_split"))
+    """Add the paraphrase drawn for each key from its shape's phrases.
+
+    ``phrase_split`` is train, val or any; any draws from both sides.
+    """
+    wanted = F.col("phrase_split")
+    n_train = _lookup(kit.phrase_sizes, F.col("shape"), F.lit("train"))
+    n_val = _lookup(kit.phrase_sizes, F.col("shape"), F.lit("val"))
+    size = F.when(wanted == "train", n_train).when(wanted == "val", n_val).otherwise(n_train + n_val)
     at = draw.pick(draw.digest(seed, F.col("pair_id"), "phrase"), size)
+    later = (F.col("phrase_split") == "any") & (F.col("_at") >= n_train)
+    side = F.when((wanted == "val") | later, "val").otherwise("train")
     phrases = small_side(
         kit.phrases.select(
-            "shape", F.col("split").alias("phrase_split"), F.col("idx").alias("_at"), "paraphrase"
+            "shape", F.col("split").alias("_side"), F.col("idx").alias("_at"), "paraphrase"
         ),
         rows=sum(kit.phrase_sizes.values()),
     )
-    return df.withColumn("_at", at).join(phrases, ["shape", "phrase_split", "_at"]).drop("_at")
+    return (
+        df.withColumn("_at", at)
+        .withColumn("_side", side)
+        .withColumn("_at", F.when(later, F.col("_at") - n_train).otherwise(F.col("_at")))
+        .join(phrases, ["shape", "_side", "_at"])
+        .drop("_at", "_side")
+    )
 
 
 def render(df: DataFrame) -> DataFrame:
@@ -307,8 +323,12 @@ def split_keys(
     seed: Seed = PAIR_SEED,
     val_share: float = VAL_SHARE,
     novel_share: dict[str, float] | None = None,
+    hold_out_phrases: bool = True,
 ) -> DataFrame:
-    """Keys with a train / val side and a novel flag, both drawn from the key."""
+    """Keys with a train / val side and a novel flag, both drawn from the key.
+
+    Val pairs use held-out phrases, or any phrase if ``hold_out_phrases`` is off.
+    """
     shares = novel_share or NOVEL_SHARE
     h = draw.digest(seed, F.col("pair_id"), "side")
     split = F.when(draw.below(h, val_share), F.lit("val")).otherwise(F.lit("train"))
@@ -316,7 +336,9 @@ def split_keys(
         *ids.columns,
         "split",
         F.col("split").alias("value_split"),
-        F.col("split").alias("phrase_split"),
+        F.when((F.col("split") == "val") & F.lit(not hold_out_phrases), F.lit("any"))
+        .otherwise(F.col("split"))
+        .alias("phrase_split"),
         F.when(F.col("split") == "val", draw.below(h, shares["val"], 1))
         .otherwise(draw.below(h, shares["train"], 1))
         .alias("novel"),
@@ -343,12 +365,14 @@ def generate_pairs(
     seed: Seed = PAIR_SEED,
     novel_share: dict[str, float] | None = None,
     n: int | None = None,
+    hold_out_phrases: bool = True,
 ) -> DataFrame:
     """Distinct (prompt, diagram) pairs of a column of keys ``pair_id``.
 
     The key range sets the size; ``n`` takes the first pairs by id.
     """
-    pairs = distinct_pairs(draw_pairs(split_keys(ids, seed, novel_share=novel_share), kit, seed))
+    keys = split_keys(ids, seed, novel_share=novel_share, hold_out_phrases=hold_out_phrases)
+    pairs = distinct_pairs(draw_pairs(keys, kit, seed))
     return pairs if n is None else pairs.orderBy("pair_id").limit(n)
 
 

@@ -86,12 +86,12 @@ def candidates(prompts: DataFrame, max_sentences: int, max_lead: int, prompt: st
     )
     parts = sentences(F.col(prompt))
 
-    def extend(acc: Column, sentence: Column) -> Column:
+    def extend(acc: Column, readings: Column) -> Column:
         return F.flatten(
             F.transform(
                 acc,
                 lambda a: F.transform(
-                    _readings(sentence, max_lead),
+                    readings,
                     lambda r: F.struct(
                         F.concat(a["skeleton"], r["skeleton"]).alias("skeleton"),
                         F.concat(a["vals"], r["vals"]).alias("vals"),
@@ -104,7 +104,8 @@ def candidates(prompts: DataFrame, max_sentences: int, max_lead: int, prompt: st
     return (
         prompts.withColumn("_parts", parts)
         .filter(F.size("_parts").between(1, max_sentences))
-        .withColumn("_reading", F.explode(F.aggregate("_parts", empty, extend)))
+        .withColumn("_choices", F.transform("_parts", lambda s: _readings(s, max_lead)))
+        .withColumn("_reading", F.explode(F.aggregate("_choices", empty, extend)))
         .select(*prompts.columns, F.trim("_reading.skeleton").alias("skeleton"), "_reading.vals", "_reading.kept")
     )
 
@@ -135,9 +136,15 @@ def synthesize(
 
 
 def unmatched(prompts: DataFrame, matched: DataFrame, key: str = "pair_id") -> DataFrame:
-    """Prompts no paraphrase explains, with a reason, instead of invented labels."""
+    """Prompts no paraphrase explains, with a reason, instead of invented labels.
+
+    An outer join with a null test: an anti join would be pushed below a union
+    of prompt sources, and the match recomputed for each of them.
+    """
     reason = F.when(tx.casing_warning(F.col("prompt")), "no_title_case").otherwise("no_known_shape")
     return (
-        prompts.join(matched.select(key), key, "left_anti")
+        prompts.join(matched.select(key, F.lit(True).alias("_found")), key, "left")
+        .filter(F.col("_found").isNull())
+        .drop("_found")
         .withColumn("reason", reason)
     )

@@ -362,7 +362,7 @@ EXAMPLES = (
     + f""",
 framed AS (
   SELECT pair_id, len(p.ids) AS plen,
-         list_concat([{bl.MERMAID}::BIGINT], p.ids, [{bl.PROMPT}::BIGINT], d.ids, [{bl.EOT}::BIGINT])[1:512] AS ids
+         list_concat([{bl.DIAGRAM}::BIGINT], p.ids, [{bl.PROMPT}::BIGINT], d.ids, [{bl.EOT}::BIGINT])[1:512] AS ids
   FROM prompt_ids p JOIN diagram_ids d USING (pair_id)),
 examples AS MATERIALIZED (
   SELECT pair_id, len(ids) - 1 AS n, ids[1 : len(ids) - 1] AS x,

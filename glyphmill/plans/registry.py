@@ -610,6 +610,8 @@ def stream_pairs(spark, sf_dir):
         spark.readStream.schema(orders.schema)
         .parquet(f"{sf_dir}/orders*.parquet")
         .select(F.col("o_orderkey").alias("pair_id"), F.current_timestamp().alias("arrived"))
+        # Keys are short and drawing a pair is not: use every core.
+        .repartition(spark.sparkContext.defaultParallelism)
     )
     fresh = jobs.stream_pairs(keys, i.kit(spark, sf_dir)).select("prompt", "diagram")
     sink = work_path(spark, "stream-pairs")

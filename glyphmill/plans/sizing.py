@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 # a shuffle, where adaptive execution splits skewed partitions.
 BROADCAST_ROWS = 500_000
 
+# Corpus-sized tables are cut into 16**4 = 65,536 buckets per group: 100 TB of
+# text is about 1.5 GB a bucket, and the table of bucket totals stays small.
+BUCKET_DIGITS = 4
+
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; reads no more than needed."""
@@ -75,9 +79,9 @@ def running_total(
     """
     bucket = F.substring(F.col(order_hex), 1, digits)
     totals = bucket_totals(df, group, bucket, weight)
-    # Proven bound: 16**digits rows per group, and groups are split names,
-    # categories or shapes.
-    totals = small_side(totals, rows=16**digits)
+    # Proven bound: 16**digits rows per group; groups are split names (two),
+    # or categories and shapes with far fewer digits.
+    totals = small_side(totals, rows=2 * 16**digits)
     local = (
         W.partitionBy(*group, "_bucket").orderBy(order_hex, *ties).rowsBetween(W.unboundedPreceding, -1)
     )

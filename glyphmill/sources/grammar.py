@@ -12,6 +12,8 @@ from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glyphmill.sources.tables import local_table
+
 SHAPES = "shape string, pattern string"
 FRAMES = "shape string, frame_id int, frame string"
 CONNECTIVES = "shape string, key string, option string"
@@ -52,9 +54,9 @@ def fragment_rows() -> list[tuple]:
 def grammar(spark: SparkSession) -> dict[str, DataFrame]:
     """shapes, frames, connectives, words and fragments as DataFrames."""
     return {
-        "shapes": spark.createDataFrame(shape_rows(), SHAPES),
-        "frames": spark.createDataFrame(frame_rows(), FRAMES),
-        "connectives": spark.createDataFrame(connective_rows(), CONNECTIVES),
-        "words": spark.createDataFrame(word_rows(), WORDS),
-        "fragments": spark.createDataFrame(fragment_rows(), FRAGMENTS),
+        "shapes": local_table(spark, shape_rows(), SHAPES),
+        "frames": local_table(spark, frame_rows(), FRAMES),
+        "connectives": local_table(spark, connective_rows(), CONNECTIVES),
+        "words": local_table(spark, word_rows(), WORDS),
+        "fragments": local_table(spark, fragment_rows(), FRAGMENTS),
     }
