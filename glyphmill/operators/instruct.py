@@ -18,18 +18,16 @@ BATCH = 32
 BATCH_SEED = 7
 
 
-def _shift(df: DataFrame, ids: Column, scored: Column, max_len: int) -> DataFrame:
-    """Cut to ``max_len`` ids, then ``x``, ``y`` and ``n``; unscored targets are -1."""
-    cut = df.withColumn("_ids", F.slice(ids, 1, max_len)).withColumn("_scored", F.slice(scored, 1, max_len))
-    rest = F.greatest(F.size("_ids") - 1, F.lit(0))
-    target = F.slice("_ids", F.lit(2), rest)
-    keep = F.slice("_scored", F.lit(2), rest)
-    y = F.transform(F.arrays_zip(target.alias("t"), keep.alias("k")), lambda p: F.when(p["k"], p["t"]).otherwise(IGNORE))
+def _shift(df: DataFrame, ids: Column, labels: Column, max_len: int) -> DataFrame:
+    """Cut to ``max_len`` ids, then ``x``, ``y`` and ``n``; labels are ids or -1."""
+    rest = F.greatest(F.least(F.size("_ids"), F.lit(max_len)) - 1, F.lit(0))
     return (
-        cut.withColumn("x", F.slice("_ids", F.lit(1), rest))
-        .withColumn("y", y)
-        .withColumn("n", F.size("x").cast("bigint"))
-        .drop("_ids", "_scored")
+        df.withColumn("_ids", ids)
+        .withColumn("_labels", labels)
+        .withColumn("x", F.slice("_ids", F.lit(1), rest))
+        .withColumn("y", F.slice("_labels", F.lit(2), rest))
+        .withColumn("n", rest.cast("bigint"))
+        .drop("_ids", "_labels")
     )
 
 
@@ -42,10 +40,10 @@ def frame_pairs(df: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     ids = F.concat(
         F.array(F.lit(bl.DIAGRAM)), "p_ids", F.array(F.lit(bl.PROMPT)), "m_ids", F.array(F.lit(bl.EOT))
     )
-    scored = F.concat(
-        F.array_repeat(F.lit(False), F.size("p_ids") + 2), F.array_repeat(F.lit(True), F.size("m_ids") + 1)
+    labels = F.concat(
+        F.array_repeat(F.lit(IGNORE), F.size("p_ids") + 2), "m_ids", F.array(F.lit(bl.EOT))
     )
-    return _shift(df, ids, scored, max_len).drop("p_ids", "m_ids")
+    return _shift(df, ids, labels, max_len).drop("p_ids", "m_ids")
 
 
 def encode_pairs(pairs: DataFrame, bpe: Bpe, max_len: int = MAX_LEN) -> DataFrame:
@@ -69,25 +67,23 @@ def encode_conversations(turns: DataFrame, bpe: Bpe, max_len: int = MAX_LEN) ->
     assistant = F.col("role") == "assistant"
     marker = F.when(assistant, F.lit(bl.RESPONSE)).otherwise(F.lit(bl.PROMPT))
     ids = encode(F.col("text"), bpe)
-    # No turn can contribute more than max_len ids.
-    turn = kept.select(
-        "conv_id",
-        "turn",
-        assistant.alias("scored"),
-        F.slice(F.concat(F.array(marker), ids, F.array(F.lit(bl.EOT))), 1, max_len).alias("ids"),
+    end = F.array(F.lit(bl.EOT))
+    turn = kept.select("conv_id", "turn", "role", marker.alias("marker"), ids.alias("body")).withColumn(
+        "ids", F.concat(F.array("marker"), "body", end)
     )
-    flags = F.transform(
-        F.sequence(F.lit(1), F.size("ids")), lambda i: F.col("scored") & (i > 1)
+    labels = F.when(assistant, F.concat(F.array(F.lit(IGNORE)), "body", end)).otherwise(
+        F.array_repeat(F.lit(IGNORE), F.size("ids"))
     )
-    gathered = (
-        turn.withColumn("flags", flags)
-        .groupBy("conv_id")
-        .agg(F.sort_array(F.collect_list(F.struct("turn", "ids", "flags"))).alias("ts"))
+    # No turn can contribute more than max_len ids.
+    cut = turn.select(
+        "conv_id",
+        F.struct("turn", F.slice("ids", 1, max_len).alias("ids"), F.slice(labels, 1, max_len).alias("labels")).alias("t"),
     )
+    gathered = cut.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     return _shift(
         gathered,
         F.flatten(F.transform("ts", lambda t: t["ids"])),
-        F.flatten(F.transform("ts", lambda t: t["flags"])),
+        F.flatten(F.transform("ts", lambda t: t["labels"])),
         max_len,
     ).drop("ts")
 
@@ -133,7 +129,7 @@ def padding_report(examples: DataFrame, fixed: int = MAX_LEN - 1) -> DataFrame:
 
 def scored_tokens(y: Column) -> Column:
     """How many targets of a row carry loss."""
-    return F.size(F.filter(y, lambda v: v >= 0)).cast("bigint")
+    return F.size(F.array_remove(y, IGNORE)).cast("bigint")
 
 
 def loss_share(examples: DataFrame) -> DataFrame:

@@ -40,8 +40,8 @@ def pack_blocks(
 ) -> DataFrame:
     """Concatenate each split's documents in shuffled order and cut blocks.
 
-    ``encoded`` is ``(doc_id, split, ids)``, best a written token table: the
-    first pass reads only lengths.  Block i holds tokens ``i*length`` to
+    ``encoded`` is ``(doc_id, split, ids)`` and, if at hand, the length ``n``: of a
+    written token table with ``n`` the first pass reads no ids.  Block i holds tokens ``i*length`` to
     ``(i+1)*length`` inclusive, so neighbours share one token; the tail that
     fills no block is dropped.  Every document hands each block it touches its
     slice, and a block never gathers more than ``length + 1`` tokens.
@@ -50,7 +50,7 @@ def pack_blocks(
         "doc_id",
         "split",
         "ids",
-        F.size("ids").cast("bigint").alias("n"),
+        (F.col("n") if "n" in encoded.columns else F.size("ids")).cast("bigint").alias("n"),
         draw.digest(seed, F.col("doc_id"), "order").alias("_h"),
     ).filter("n > 0")
     placed = running_total(sized, ["split"], "_h", ["doc_id"], F.col("n"), "st", "total", digits)

@@ -41,12 +41,12 @@ Seed = int | Column
 class PairKit:
     """What sampling needs: the indexed tables and their sizes."""
 
-    shapes: DataFrame  # shape_at, shape, pattern, slot_list
+    shapes: DataFrame  # shape_at, shape, pattern, n_train, n_val (phrases), slot_list
     pool: DataFrame  # category, split, idx, value
     phrases: DataFrame  # shape, split, idx, paraphrase
     n_shapes: int
     pool_sizes: dict[tuple[str, str], int]
-    phrase_sizes: dict[tuple[str, str], int]
+    n_phrases: int
     fragments: tuple[str, ...]
     pool_values: tuple[str, ...] | None  # the pool in (category, split, idx) order, if small
 
@@ -80,11 +80,15 @@ def build_kit(
             (F.regexp_extract(s, "([0-9]+)$", 1).cast("bigint") - 1).alias("k"),
         ),
     )
+    phrase_sizes = _sizes(phrases, "shape")
     patterns = sorted(tuple(r) for r in tables["shapes"].select("shape", "pattern").collect())
     shapes = local_table(
         words.sparkSession,
-        [(i, shape, pattern) for i, (shape, pattern) in enumerate(patterns)],
-        "shape_at bigint, shape string, pattern string",
+        [
+            (i, shape, pattern, phrase_sizes.get((shape, "train"), 0), phrase_sizes.get((shape, "val"), 0))
+            for i, (shape, pattern) in enumerate(patterns)
+        ],
+        "shape_at bigint, shape string, pattern string, n_train bigint, n_val bigint",
     ).withColumn("slot_list", slot_list)
     pieces = (fragments if fragments is not None else tables["fragments"]).select("fragment")
     rows = pieces.orderBy("fragment").limit(MAX_VOCABULARY + 1).collect()
@@ -101,7 +105,7 @@ def build_kit(
         phrases=phrases,
         n_shapes=len(patterns),
         pool_sizes=pool_sizes,
-        phrase_sizes=_sizes(phrases, "shape"),
+        n_phrases=sum(phrase_sizes.values()),
         fragments=tuple(r["fragment"] for r in rows),
         pool_values=values,
     )
@@ -112,14 +116,8 @@ def _sizes(indexed: DataFrame, name: str) -> dict[tuple[str, str], int]:
     return {(r[name], r["split"]): r["n"] for r in counts}
 
 
-def _lookup(numbers: dict[tuple[str, str], int], name: Column, split: Column) -> Column:
-    """A number per (name, split) as a literal map."""
-    entries = [F.lit(x) for (a, b), n in sorted(numbers.items()) for x in (f"{a}|{b}", n)]
-    return F.element_at(F.create_map(*entries), F.concat_ws("|", name, split)).cast("bigint")
-
-
 def draw_shape(keys: DataFrame, kit: PairKit, seed: Seed = PAIR_SEED) -> DataFrame:
-    """Give each key a shape: adds ``shape, pattern, slot_list``."""
+    """Give each key a shape: adds ``shape, pattern, n_train, n_val, slot_list``."""
     h = draw.digest(seed, F.col("pair_id"), "shape")
     return (
         keys.withColumn("shape_at", draw.pick(h, kit.n_shapes))
@@ -278,24 +276,24 @@ def draw_phrase(df: DataFrame, kit: PairKit, seed: Seed = PAIR_SEED) -> DataFram
     ``phrase_split`` is train, val or any; any draws from both sides.
     """
     wanted = F.col("phrase_split")
-    n_train = _lookup(kit.phrase_sizes, F.col("shape"), F.lit("train"))
-    n_val = _lookup(kit.phrase_sizes, F.col("shape"), F.lit("val"))
-    size = F.when(wanted == "train", n_train).when(wanted == "val", n_val).otherwise(n_train + n_val)
-    at = draw.pick(draw.digest(seed, F.col("pair_id"), "phrase"), size)
-    later = (F.col("phrase_split") == "any") & (F.col("_at") >= n_train)
-    side = F.when((wanted == "val") | later, "val").otherwise("train")
+    size = (
+        F.when(wanted == "train", F.col("n_train"))
+        .when(wanted == "val", F.col("n_val"))
+        .otherwise(F.col("n_train") + F.col("n_val"))
+    )
+    later = (wanted == "any") & (F.col("_draw") >= F.col("n_train"))
     phrases = small_side(
         kit.phrases.select(
             "shape", F.col("split").alias("_side"), F.col("idx").alias("_at"), "paraphrase"
         ),
-        rows=sum(kit.phrase_sizes.values()),
+        rows=kit.n_phrases,
     )
     return (
-        df.withColumn("_at", at)
-        .withColumn("_side", side)
-        .withColumn("_at", F.when(later, F.col("_at") - n_train).otherwise(F.col("_at")))
+        df.withColumn("_draw", draw.pick(draw.digest(seed, F.col("pair_id"), "phrase"), size))
+        .withColumn("_side", F.when((wanted == "val") | later, "val").otherwise("train"))
+        .withColumn("_at", F.when(later, F.col("_draw") - F.col("n_train")).otherwise(F.col("_draw")))
         .join(phrases, ["shape", "_side", "_at"])
-        .drop("_at", "_side")
+        .drop("_draw", "_at", "_side")
     )
 
 
@@ -314,7 +312,7 @@ def draw_pairs(keys: DataFrame, kit: PairKit, seed: Seed = PAIR_SEED) -> DataFra
     """
     drawn = sample_slots(draw_shape(keys, kit, seed), kit, seed)
     return render(draw_phrase(drawn, kit, seed)).drop(
-        "pattern", "paraphrase", "slot_list", "value_split", "phrase_split"
+        "pattern", "paraphrase", "n_train", "n_val", "slot_list", "value_split", "phrase_split"
     )
 
 

@@ -64,9 +64,13 @@ def pairs_json_roundtrip(spark, sf_dir):
     return _flat_pairs(stores.read_pairs(spark, path))
 
 
+def _written_tokens(spark, sf_dir):
+    return written(i.token_table(spark, sf_dir).withColumn("n", F.size("ids")), "tokens")
+
+
 @query
 def token_shards(spark, sf_dir):
-    tokens = written(i.token_table(spark, sf_dir), "tokens")
+    tokens = _written_tokens(spark, sf_dir)
     path = work_path(spark, "blocks")
     stores.write_blocks(packing.pack_blocks(tokens, BLOCK), path)
     stores.write_blocks(packing.pack_blocks(tokens, BLOCK), path)  # present, so kept
@@ -435,7 +439,7 @@ def append_eot(spark, sf_dir):
 
 
 def _blocks(spark, sf_dir):
-    return packing.pack_blocks(written(i.token_table(spark, sf_dir), "tokens"), BLOCK)
+    return packing.pack_blocks(_written_tokens(spark, sf_dir), BLOCK)
 
 
 @query

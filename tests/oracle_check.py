@@ -60,7 +60,8 @@ def compare(spark, con, sf_dir, name, build, sql):
         lost = sorted(set(right) - set(left))[:3]
         extra = sorted(set(left) - set(right))[:3]
         detail = f"columns {sorted(df.columns)} / {sorted(names)}; only spark {extra}; only sql {lost}"
-    return same, len(got), len(want), spark_s, sql_s, detail
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return same, len(got), len(want), spark_s, sql_s, detail, plan
 
 
 if __name__ == "__main__":
@@ -73,7 +74,7 @@ if __name__ == "__main__":
     bad = []
     for name in sys.argv[2:] or QUERIES:
         try:
-            same, n, m, a, b, detail = compare(session, con, folder, name, QUERIES[name], ORACLES[name])
+            same, n, m, a, b, detail, _ = compare(session, con, folder, name, QUERIES[name], ORACLES[name])
         except Exception as e:  # keep going, report at the end
             same, n, m, a, b, detail = False, -1, -1, 0, 0, f"{type(e).__name__}: {str(e)[:700]}"
         print(f"{'ok  ' if same else 'DIFF'} {name:28s} rows {n}/{m} spark {a:.1f}s sql {b:.1f}s {detail[:1500]}", flush=True)
