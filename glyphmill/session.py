@@ -28,6 +28,8 @@ def local_session(cpus: int | str = "*", app: str = "glyphmill", memory: str = "
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Small test data: do not merge shuffle partitions below a core each.
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4m")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("FATAL")
