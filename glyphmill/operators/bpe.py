@@ -322,9 +322,10 @@ def cheap_pairs(fit: DataFrame, bpe: Bpe, n: int = 6) -> DataFrame:
     """Two-word labels of the k-th cheap word and the k-th from the end.
 
     Only the first and last ``n`` cheap words in (kind, word) order matter, so
-    each task keeps its own top ``n`` from either end.
+    each task keeps its own top ``n`` from either end.  The cheap words are kept
+    for the three passes, so none is tokenized twice.
     """
-    cheap = fit.filter("cheap").select("kind", "word")
+    cheap = fit.filter("cheap").select("kind", "word").persist(StorageLevel.MEMORY_AND_DISK)
     total = cheap.agg(F.count("*").alias("n")).first()["n"]
     keep = min(n, total // 2) if total >= 4 else 0
 
