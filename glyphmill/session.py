@@ -52,9 +52,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the application's folder."""
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Remove every intermediate table of this application; results that still read them end here."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -13,10 +13,11 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    from glyphmill.session import local_session
+    from glyphmill.session import clear_work, local_session
 
     session = local_session(8, app="tests", memory="12g")
     yield session
+    clear_work(session)
     session.stop()
 
 

@@ -6,8 +6,9 @@ import pytest
 from oracle_check import compare, connect
 
 import __spark_entry__ as driver
+from glyphmill.plans.registry import QUERIES
 
-NAMES = sorted(driver.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +17,8 @@ def con(sf_dir):
 
 
 def test_every_query_has_a_twin():
-    assert set(driver.oracle_sql()) == set(NAMES)
+    assert set(NAMES) <= set(driver.queries())
+    assert set(NAMES) <= set(driver.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
