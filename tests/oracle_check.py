@@ -65,14 +65,15 @@ def compare(spark, con, sf_dir, name, build, sql):
 
 
 if __name__ == "__main__":
-    from glyphmill.plans.oracle import ORACLES
-    from glyphmill.plans.registry import QUERIES
+    import __spark_entry__ as driver
     from glyphmill.session import local_session
 
+    QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
+
     folder = sys.argv[1]
     session, con = local_session(8), connect(folder)
     bad = []
-    for name in sys.argv[2:] or QUERIES:
+    for name in sys.argv[2:] or ORACLES:
         try:
             same, n, m, a, b, detail, _ = compare(session, con, folder, name, QUERIES[name], ORACLES[name])
         except Exception as e:  # keep going, report at the end
