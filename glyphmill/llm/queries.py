@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import divergence, linededup, neighbours
+from glyphmill.llm import balltree, divergence, linededup, neighbours
 from glyphmill.llm.sql import ORACLES as ORACLES
 from glyphmill.session import written
 from glyphmill.sources.tables import table
@@ -50,3 +50,8 @@ def op10_neighbour_voting(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = neighbours.score_documents(docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", neighbours.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op9_ball_tree_top_k(spark, sf_dir):
+    return balltree.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
