@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import balltree, divergence, linededup, neighbours
+from glyphmill.llm import balltree, divergence, linededup, neighbours, urllists, warc
 from glyphmill.llm.sql import ORACLES as ORACLES
 from glyphmill.session import written
 from glyphmill.sources.tables import table
@@ -55,3 +55,40 @@ def op10_neighbour_voting(spark, sf_dir):
 @query
 def op9_ball_tree_top_k(spark, sf_dir):
     return balltree.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query
+def op7_warc_bundles(spark, sf_dir):
+    return warc.read_bundles(warc.archive(table(spark, sf_dir, "pages")))
+
+
+# What an event reported on a page does to the dated lists.
+LIST_ACTIONS = {
+    "error": ("malware", "block", "add"),
+    "signup": ("malware", "block", "remove"),
+    "click": ("ads", "block", "add"),
+    "view": ("ads", "block", "remove"),
+    "purchase": ("partners", "allow", "add"),
+}
+
+
+def list_entries(spark, sf_dir):
+    """An event whose id is a page's id changes a list for that page's host at the event's time."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("event_id"), urllists.host(F.col("url")).alias("pattern"))
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").alias("at"))
+    changes = F.lit(None).cast("struct<list_name:string,kind:string,action:string>")
+    for kind, (name, what, action) in LIST_ACTIONS.items():
+        change = F.struct(F.lit(name).alias("list_name"), F.lit(what).alias("kind"), F.lit(action).alias("action"))
+        changes = F.when(F.col("event_type") == kind, change).otherwise(changes)
+    return events.join(pages, "event_id").select("pattern", "at", changes.alias("c")).select("pattern", "at", "c.*")
+
+
+@query
+def op8_temporal_url_lists(spark, sf_dir):
+    second = F.lit(1_704_067_200) + F.pmod(F.col("page_id") * 7919, F.lit(30 * 86_400))
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", second.alias("fetched"))
+    captures = captures.select("page_id", "url", F.timestamp_seconds("fetched").alias("fetch_time"))
+    judged = urllists.judge(captures, list_entries(spark, sf_dir))
+    return judged.select(
+        "page_id", "host", F.unix_seconds("fetch_time").alias("fetched"), "n_matches", "lists", "entry", "blocked"
+    )

@@ -106,5 +106,56 @@ WITH v AS (
 )
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
 FROM scored QUALIFY rank <= 10
+""",
+    "op7_warc_bundles": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages
+), o AS (
+  SELECT *, max(page_id) OVER (PARTITION BY hex) AS original FROM p
+)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + (((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT) >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '') AS payload_digest,
+       CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to
+FROM o
+""",
+    "op8_temporal_url_lists": r"""
+WITH c AS (
+  SELECT page_id, url, 1704067200 + (page_id * 7919) % 2592000 AS second,
+         rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.') AS h,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)', 1) AS seg
+  FROM pages
+), k AS (
+  SELECT DISTINCT page_id, second, pattern || tail AS pattern FROM (
+    SELECT page_id, second, seg, unnest(list_transform(range(1, len(string_split(h, '.')) + 1),
+             lambda i: array_to_string(string_split(h, '.')[i:], '.'))) AS pattern
+    FROM c WHERE length(h) BETWEEN 1 AND 253), (VALUES ('a'), ('b')) v(t),
+    LATERAL (SELECT CASE WHEN t = 'a' THEN '' WHEN seg <> '' THEN '/' || seg END AS tail)
+  WHERE tail IS NOT NULL
+), e AS (
+  SELECT h AS pattern, epoch_us(ts) // 1000000 AS start, ts,
+         CASE event_type WHEN 'error' THEN 'malware' WHEN 'signup' THEN 'malware' WHEN 'click' THEN 'ads'
+           WHEN 'view' THEN 'ads' WHEN 'purchase' THEN 'partners' END AS list_name,
+         CASE WHEN event_type = 'purchase' THEN 'allow' ELSE 'block' END AS kind,
+         event_type IN ('error', 'click', 'purchase') AS active
+  FROM events JOIN c ON event_id = page_id WHERE length(h) BETWEEN 1 AND 253
+), points AS (
+  SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY list_name, kind, pattern, start ORDER BY ts DESC, active DESC) = 1
+), spans AS (
+  SELECT *, lead(start) OVER (PARTITION BY list_name, kind, pattern ORDER BY start) AS stop FROM points
+), hits AS (
+  SELECT page_id, list_name, kind, k.pattern
+  FROM k JOIN spans s ON k.pattern = s.pattern AND active AND start <= second AND (stop IS NULL OR second < stop)
+), found AS (
+  SELECT page_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT list_name)), ',') AS lists,
+         arg_max(pattern, (length(pattern), pattern)) AS entry,
+         bool_or(kind = 'block') AND NOT bool_or(kind = 'allow') AS blocked
+  FROM hits GROUP BY page_id
+)
+SELECT page_id, CASE WHEN length(h) BETWEEN 1 AND 253 THEN h END AS host, second AS fetched,
+       coalesce(n, 0) AS n_matches, coalesce(lists, '') AS lists, entry, coalesce(blocked, false) AS blocked
+FROM c LEFT JOIN found USING (page_id)
 """,
 }
