@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import balltree, divergence, linededup, neighbours, urllists, warc
+from glyphmill.llm import balltree, divergence, linededup, neighbours, slackpack, urllists, warc
 from glyphmill.llm.sql import ORACLES as ORACLES
 from glyphmill.session import written
 from glyphmill.sources.tables import table
@@ -57,6 +58,12 @@ def op9_ball_tree_top_k(spark, sf_dir):
     return balltree.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+@query
+def op5_minimum_bin_slack(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return slackpack.pack(docs, slackpack.Params(public_tokenizers.path("word_bpe_49k.json")))
+
+
 @query
 def op7_warc_bundles(spark, sf_dir):
     return warc.read_bundles(warc.archive(table(spark, sf_dir, "pages")))
