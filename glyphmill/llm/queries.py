@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import balltree, divergence, linededup, neighbours, slackpack, urllists, warc
+from glyphmill.llm import balltree, divergence, linededup, mixing, neighbours, slackpack, urllists, warc
 from glyphmill.llm.sql import ORACLES as ORACLES
 from glyphmill.session import written
 from glyphmill.sources.tables import table
@@ -58,6 +58,12 @@ def op9_ball_tree_top_k(spark, sf_dir):
     return balltree.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+@query
+def op3_raked_mixing(spark, sf_dir):
+    drawn = mixing.draw(table(spark, sf_dir, "documents"))
+    return drawn.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "drawn")
+
+
 @query
 def op5_minimum_bin_slack(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
