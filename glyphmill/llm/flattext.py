@@ -52,19 +52,24 @@ def word_limits(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
     """A 64-bit hash per word; with ``lower``, A-Z count as a-z."""
     out = np.empty(len(starts), np.uint64)
     values = _byte_values(lower)
-    inverse = np.uint64(pow(_BASE, -1, 1 << 64))
+    inverse = pow(_BASE, -1, 1 << 64)
     powers = backs = np.ones(1, np.uint64)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _BLOCK, "right")))
         part = data[starts[i] : ends[j - 1]]
         if len(powers) < len(part):
-            powers = np.cumprod(np.concatenate([[1], np.full(len(part) - 1, _BASE, np.uint64)]).astype(np.uint64))
-            backs = np.cumprod(np.concatenate([[1], np.full(len(part) - 1, inverse)]).astype(np.uint64))
+            powers, backs = _powers(_BASE, len(part)), _powers(inverse, len(part))
         sums = np.empty(len(part) + 1, np.uint64)
         sums[0] = 0
         np.cumsum(values[part] * powers[: len(part)], out=sums[1:])

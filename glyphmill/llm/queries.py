@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import balltree, divergence, linededup, mixing, neighbours, slackpack, urllists, warc
+from glyphmill.llm import balltree, divergence, jaccard, linededup, mixing, neighbours, slackpack, urllists, warc
 from glyphmill.llm.sql import ORACLES as ORACLES
 from glyphmill.session import written
 from glyphmill.sources.tables import table
@@ -70,6 +70,11 @@ def op5_minimum_bin_slack(spark, sf_dir):
     return slackpack.pack(docs, slackpack.Params(public_tokenizers.path("word_bpe_49k.json")))
 
 
+@query
+def op6_jaccard_join(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op7_warc_bundles(spark, sf_dir):
     return warc.read_bundles(warc.archive(table(spark, sf_dir, "pages")))

@@ -157,5 +157,28 @@ WITH c AS (
 SELECT page_id, CASE WHEN length(h) BETWEEN 1 AND 253 THEN h END AS host, second AS fetched,
        coalesce(n, 0) AS n_matches, coalesce(lists, '') AS lists, entry, coalesce(blocked, false) AS blocked
 FROM c LEFT JOIN found USING (page_id)
+""",
+    "op6_jaccard_join": f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^ \\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5
+           THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+           WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh
+  FROM w
+), x AS (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s
+), links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v
+  FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS u, doc_id AS v FROM documents
+  UNION
+  SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
+)
+SELECT doc_id, len(sh)::BIGINT AS n_shingles, min(v) AS component_id
+FROM s JOIN reach ON doc_id = u GROUP BY doc_id, sh
 """,
 }
