@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import balltree, divergence, jaccard, linededup, mixing, neighbours, slackpack, urllists, warc
+from glyphmill.llm import balltree, divergence, jaccard, linededup, mixing, neighbours, pii, slackpack, urllists, warc
 from glyphmill.llm.sql import ORACLES as ORACLES
 from glyphmill.session import written
 from glyphmill.sources.tables import table
@@ -64,6 +64,23 @@ def op3_raked_mixing(spark, sf_dir):
     return drawn.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "drawn")
 
 
+@query
+def op4_boosted_candidates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    spans = F.sort_array(F.concat("base", "added"))
+    return found.select(
+        "doc_id",
+        *[count(k) for k in pii.KINDS],
+        F.sha2(F.encode(pii.listed(F.col("base")), "UTF-8"), 256).alias("base_sha256"),
+        pii.listed(spans).alias("spans"),
+    )
+
+
 @query
 def op5_minimum_bin_slack(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
