@@ -11,6 +11,7 @@ of about ``query_block``, so no task holds more than a shard and a block.
 * Of rows that share an id, the smallest vector (by array order) counts.
 * A query meets only vectors of its own length; an empty vector has no score.
 * Equal scores go to the smaller id; a query never finds its own id.
+* A score outside 64 bits counts as the nearest number inside.
 * An empty table, or a table without queries, gives an empty result.
 """
 
@@ -82,7 +83,8 @@ def search(ids, x, query_ids, queries, floors, p: Params) -> tuple[list, list, l
     kind = np.float64 if biggest < 2**53 else object  # Python integers keep huge products exact
     approx = x.astype(np.float64)
     tree = Tree(approx, p.leaf)
-    bounds = tree.bounds(queries.astype(np.float64))
+    lowest, highest = -(2**63), 2**63 - 1
+    bounds = np.maximum(tree.bounds(queries.astype(np.float64)), lowest)
     exact, exact_q = x.astype(kind)[tree.rows], queries.astype(kind)
     names = ids[tree.rows]
     for i, me in enumerate(query_ids):
@@ -99,6 +101,8 @@ def search(ids, x, query_ids, queries, floors, p: Params) -> tuple[list, list, l
                 continue
             a, b = tree.lo[node], tree.hi[node]
             s = exact[a:b] @ exact_q[i]
+            if kind is object:
+                s = np.array([min(max(v, lowest), highest) for v in s], object)
             keep = (s >= kth) & (names[a:b] != me)
             if keep.any():
                 best_s, best_n = np.concatenate([best_s, s[keep]]), np.concatenate([best_n, names[a:b][keep]])
@@ -108,7 +112,7 @@ def search(ids, x, query_ids, queries, floors, p: Params) -> tuple[list, list, l
                     kth = max(kth, best_s[-1])
         out[0].extend([int(me)] * len(best_n))
         out[1].extend(best_n.tolist())
-        out[2].extend(min(max(int(s), -(2**63)), 2**63 - 1) for s in best_s)
+        out[2].extend(int(s) for s in best_s)
     return out
 
 
@@ -147,16 +151,14 @@ def top_k(
 
     def at_home(part: pa.Table) -> pa.Table:
         ids, x, asks = part.column("id").to_numpy(), _matrix(part.column("v")), part.column("asks").to_numpy()
-        return _table(search(ids, x, ids[asks], x[asks], np.full(int(asks.sum()), -np.inf), p))
+        return _table(search(ids, x, ids[asks], x[asks], [-np.inf] * int(asks.sum()), p))
 
     home = rows.groupBy("dim", "shard").applyInArrow(at_home, FOUND)
     home = written(home, "home-scores")
     floors = home.groupBy("query_id").agg(F.when(F.count("*") >= p.k, F.min("score")).alias("floor"))
 
     def elsewhere(part: pa.Table, asked: pa.Table) -> pa.Table:
-        low = asked.column("q_floor").cast(pa.float64()).fill_null(-np.inf).to_numpy()
-        # Half a unit below: a float64 of a huge score may have been rounded up.
-        low = np.where(np.abs(low) < 2**53, low, low - np.abs(low) * 1e-15)
+        low = [-np.inf if f is None else f for f in asked.column("q_floor").to_pylist()]  # integers stay exact
         ids, x = part.column("id").to_numpy(), _matrix(part.column("v"))
         return _table(search(ids, x, asked.column("q_id").to_numpy(), _matrix(asked.column("q_v")), low, p))
 

@@ -51,8 +51,10 @@ def boxed(df: DataFrame, name: str = "row") -> DataFrame:
 
 def unboxed(df: DataFrame, columns: list[str], **added: Column) -> DataFrame:
     """The boxed columns again; ``added`` ones replace or follow them."""
+    # Added columns are settled first, where no boxed column can be taken for a working one.
+    df = df.select("row", F.struct(*[v.alias(k) for k, v in added.items()]).alias("added"))
     kept = [F.col(f"row.`{c}`").alias(c) for c in columns if c not in added]
-    return df.select(*kept, *[v.alias(k) for k, v in added.items()])
+    return df.select(*kept, *[F.col(f"added.{k}").alias(k) for k in added])
 
 
 def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

@@ -5,7 +5,7 @@ suffixes, and each with the first path segment, are its keys; an equi-join on
 (key, time slice) with the interval as condition finds the active entries.
 
 * Entries take effect at whole seconds; of several for one (list, pattern) in
-  the same second the latest counts, a removal before an addition.
+  the same second the latest counts, and of one instant an addition.
 * An interval holds from its start to just before the next entry.
 * A capture is blocked if a block list matches and no allow list does.
 * A null or unparsable url, a host over 253 characters or a null fetch time
@@ -55,7 +55,6 @@ def intervals(entries: DataFrame) -> DataFrame:
     named = entries.select("list_name", "kind", F.lower("pattern").alias("pattern"), "action", "at").dropna()
     second = F.floor(F.unix_micros(F.col("at").cast("timestamp")) / 1_000_000).cast("bigint")
     group = ["list_name", "kind", "pattern"]
-    # True sorts last: among entries of one instant an addition counts last of all.
     last = F.max_by(F.col("action") == "add", F.struct("at", F.col("action") == "add"))
     points = (
         named.withColumn("start", second)
