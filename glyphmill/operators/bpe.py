@@ -6,6 +6,8 @@ corpus of any size is tokenized without a shuffle.
 
 from __future__ import annotations
 
+import heapq
+
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import bytelevel as bl
+from glyphmill.plans.sizing import fits
 from glyphmill.session import cut_lineage
 from glyphmill.sources.tables import local_table
 
@@ -193,9 +196,14 @@ def vocab_tables(spark: SparkSession, bpe: Bpe) -> tuple[DataFrame, DataFrame]:
 
 
 def bpe_from_tables(vocab: DataFrame, merges: DataFrame, ceiling: int = 65_536) -> Bpe:
-    """Read the rules back from saved tables (a vocabulary is bounded)."""
-    ids = {r["token"]: r["id"] for r in vocab.limit(ceiling).collect()}
-    rules = merges.orderBy("rank").limit(ceiling).collect()
+    """Read the rules back from saved tables; tables over ``ceiling`` rows or with gaps raise an error."""
+    for name, table in (("vocab", vocab), ("merges", merges)):
+        if not fits(table, ceiling):
+            raise ValueError(f"{name} has over {ceiling} rows; pass a larger ceiling")
+    ids = {r["token"]: r["id"] for r in vocab.collect()}
+    rules = merges.orderBy("rank").collect()
+    if [r["rank"] for r in rules] != list(range(len(rules))):
+        raise ValueError("merge ranks are not 0, 1, 2, ...")
     return Bpe(tuple((ids[r["left"]], ids[r["right"]]) for r in rules))
 
 
@@ -203,22 +211,29 @@ def bpe_from_tables(vocab: DataFrame, merges: DataFrame, ceiling: int = 65_536)
 
 
 def _merge_word(ids: list[int], ranks: dict[tuple[int, int], int]) -> list[int]:
-    """Apply the lowest-ranked pair until none applies."""
-    while len(ids) > 1:
-        best = min(zip(ids, ids[1:]), key=lambda p: ranks.get(p, len(ranks)))
-        rank = ranks.get(best)
-        if rank is None:
-            break
-        out, i = [], 0
-        while i < len(ids):
-            if i + 1 < len(ids) and (ids[i], ids[i + 1]) == best:
-                out.append(bl.FIRST_MERGE + rank)
-                i += 2
-            else:
-                out.append(ids[i])
-                i += 1
-        ids = out
-    return ids
+    """Apply the lowest-ranked pair, leftmost first, until none applies.
+
+    Symbols form a linked list and pairs a heap, so a long pre-token costs
+    n log n; an entry whose pair has changed since is skipped.
+    """
+    after = [*range(1, len(ids)), -1]
+    before = list(range(-1, len(ids) - 1))
+    ids, gone = list(ids), -1
+    heap = [(ranks[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks]
+    heapq.heapify(heap)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        j = after[i]
+        if ids[i] == gone or j < 0 or ranks.get((ids[i], ids[j])) != rank:
+            continue
+        ids[i], ids[j] = bl.FIRST_MERGE + rank, gone
+        after[i] = after[j]
+        if after[j] >= 0:
+            before[after[j]] = i
+        for left, right in ((before[i], i), (i, after[i])):
+            if left >= 0 and right >= 0 and (ids[left], ids[right]) in ranks:
+                heapq.heappush(heap, (ranks[ids[left], ids[right]], left))
+    return [x for x in ids if x != gone]
 
 
 def encode(text: Column, bpe: Bpe) -> Column:

@@ -48,8 +48,9 @@ def frame_pairs(df: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
 
 def encode_pairs(pairs: DataFrame, bpe: Bpe, max_len: int = MAX_LEN) -> DataFrame:
     """Pairs -> masked examples ``(pair_id, ..., x, y, n)``; map-only."""
-    ids = pairs.withColumn("p_ids", encode(F.col("prompt"), bpe)).withColumn(
-        "m_ids", encode(F.col("diagram"), bpe)
+    empty = F.array().cast("array<int>")
+    ids = pairs.withColumn("p_ids", F.coalesce(encode(F.col("prompt"), bpe), empty)).withColumn(
+        "m_ids", F.coalesce(encode(F.col("diagram"), bpe), empty)
     )
     return frame_pairs(ids, max_len)
 
@@ -58,7 +59,7 @@ def encode_conversations(turns: DataFrame, bpe: Bpe, max_len: int = MAX_LEN) ->
     """Conversations -> masked examples: assistant turns are scored.
 
     Each turn is a role marker, its text and an end marker, so a turn takes at
-    least two ids and only the first ``max_len`` turns can matter.  The rank
+    least two ids (a null text is an empty one) and only the first ``max_len`` turns can matter.  The rank
     filter trims longer conversations map-side, before the shuffle, and only
     these turns are tokenized and gathered.
     """
@@ -66,7 +67,7 @@ def encode_conversations(turns: DataFrame, bpe: Bpe, max_len: int = MAX_LEN) ->
     kept = turns.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= max_len).drop("_at")
     assistant = F.col("role") == "assistant"
     marker = F.when(assistant, F.lit(bl.RESPONSE)).otherwise(F.lit(bl.PROMPT))
-    ids = encode(F.col("text"), bpe)
+    ids = F.coalesce(encode(F.col("text"), bpe), F.array().cast("array<int>"))
     end = F.array(F.lit(bl.EOT))
     turn = kept.select("conv_id", "turn", "role", marker.alias("marker"), ids.alias("body")).withColumn(
         "ids", F.concat(F.array("marker"), "body", end)

@@ -31,8 +31,8 @@ def split_docs(
 
 
 def with_eot(encoded: DataFrame, ids: str = "ids", eot: int = EOT) -> DataFrame:
-    """Append the end-of-text id to every document, also the last."""
-    return encoded.withColumn(ids, F.concat(F.col(ids), F.array(F.lit(eot))))
+    """Append the end-of-text id to every document, also the last; without ids it stands alone."""
+    return encoded.withColumn(ids, F.concat(F.coalesce(F.col(ids), F.array().cast("array<int>")), F.array(F.lit(eot))))
 
 
 def pack_blocks(

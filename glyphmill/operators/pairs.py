@@ -416,15 +416,15 @@ def pair_mix_report(pairs: DataFrame) -> DataFrame:
     )
 
 
-def mixed_corpus(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Tokenizer input: rendered pairs and documents as ``(origin, key, text)``."""
-    lines = pairs.select(
-        F.lit("pair").alias("origin"),
-        F.col("pair_id").alias("key"),
-        F.concat_ws("\n", "prompt", "diagram").alias("text"),
-    )
+def mixed_corpus(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """Tokenizer input: ``tokenizer_lines`` and documents as ``(origin, copy, line, text)``."""
     return lines.unionByName(
-        docs.select(F.lit("document").alias("origin"), F.col("doc_id").alias("key"), "text")
+        docs.select(
+            F.lit("documents").alias("origin"),
+            F.lit(1).cast("bigint").alias("copy"),
+            F.col("doc_id").cast("string").alias("line"),
+            "text",
+        )
     )
 
 
@@ -432,7 +432,8 @@ def tokenizer_lines(pool: DataFrame, pairs: DataFrame, chunk: int = 64, repeat:
     """Text lines for tokenizer training: pool values in chunks, and pairs.
 
     Held-out values are included on purpose: the tokenizer learns how to cut
-    strings, not which diagram answers which prompt.
+    strings, not which diagram answers which prompt.  Pairs are those of the
+    training side only: no held-out phrasing and no novel span enters.
     """
     values = pool.select("category", "value").distinct()
     hashed = values.withColumn("_h", F.md5(F.col("value").cast("binary")))
@@ -453,7 +454,7 @@ def tokenizer_lines(pool: DataFrame, pairs: DataFrame, chunk: int = 64, repeat:
         "text",
     )
     return repeated.unionByName(
-        pairs.select(
+        pairs.filter((F.col("split") == "train") & ~F.col("novel")).select(
             F.lit("pairs").alias("origin"),
             F.lit(1).cast("bigint").alias("copy"),
             F.col("pair_id").cast("string").alias("line"),

@@ -25,7 +25,8 @@ def best_epoch(run_log: DataFrame) -> DataFrame:
     return run_log.groupBy("run").agg(
         F.max_by("epoch", F.struct(F.col("sample_acc"), -F.col("epoch"))).alias("best_epoch"),
         F.round(F.max("sample_acc"), 6).alias("best_acc"),
-        F.min_by("epoch", F.struct(F.col("val_loss"), F.col("epoch"))).alias("lowest_loss_epoch"),
+        # An epoch without a val loss keeps its accuracy but has no lowest loss.
+        F.min_by("epoch", F.when(F.col("val_loss").isNotNull(), F.struct("val_loss", "epoch"))).alias("lowest_loss_epoch"),
         F.round(F.min("val_loss"), 6).alias("lowest_loss"),
     )
 

@@ -111,10 +111,12 @@ def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as training batches: user = run, day = epoch, event type = phase."""
-    return table(spark, sf_dir, "events").select(
+    """Events as training batches: user = run, days since its first event = epoch, event type = phase."""
+    events = table(spark, sf_dir, "events")
+    first = events.groupBy("user_id").agg(F.min("ts").alias("first"))
+    return events.join(first, "user_id").select(
         F.col("user_id").alias("run"),
-        F.dayofmonth("ts").cast("bigint").alias("epoch"),
+        (F.datediff("ts", "first") + 1).cast("bigint").alias("epoch"),
         F.when(F.col("event_type").isin("view", "click", "signup"), "train").otherwise("val").alias("phase"),
         F.col("event_id").alias("batch"),
         F.col("value").alias("loss"),
@@ -122,14 +124,13 @@ def batch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per run and epoch, from the batch log."""
+    """One row per run and epoch, from the batch log; an epoch without val batches has no val loss."""
     log = batch_log(spark, sf_dir)
     val = F.max(F.when(F.col("phase") == "val", F.col("loss")))
     train = F.max(F.when(F.col("phase") == "train", F.col("loss")))
     return (
         log.groupBy("run", "epoch")
         .agg(train.alias("train_loss"), val.alias("val_loss"), F.max("loss").alias("top"), F.min("loss").alias("low"))
-        .filter(F.col("val_loss").isNotNull())
         .select(
             "run", "epoch", "train_loss", "val_loss", F.round(F.col("low") / F.col("top"), 6).alias("sample_acc")
         )
@@ -137,13 +138,9 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def free_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Free text as prompts: user turns, and pair prompts in lower case."""
-    turns = (
-        table(spark, sf_dir, "conversations")
-        .filter(F.col("role") == "user")
-        .select(
-            F.concat_ws("-", F.lit("turn"), "conv_id", "turn").alias("key"), F.col("text").alias("prompt")
-        )
+    """Free text as prompts: all turns, and pair prompts in lower case."""
+    turns = table(spark, sf_dir, "conversations").select(
+        F.concat_ws("-", F.lit("turn"), "conv_id", "turn").alias("key"), F.col("text").alias("prompt")
     )
     lowered = drawn(spark, sf_dir).select(
         F.concat_ws("-", F.lit("order"), "pair_id").alias("key"), F.lower("prompt").alias("prompt")

@@ -202,7 +202,11 @@ def _faulty(source: str) -> str:
 faulty AS (
   SELECT *, CASE fault
     WHEN 'swap_label' THEN replace(replace(replace(diagram, act_1, chr(1)), {other}, act_1), chr(1), {other})
-    WHEN 'swap_branches' THEN replace(replace(replace(diagram, ' B[', chr(1)), ' C[', ' B['), chr(1), ' C[')
+    WHEN 'swap_branches' THEN CASE
+      WHEN contains(diagram, '-- Yes -->') THEN replace(replace(replace(diagram, '-- Yes -->', chr(1)), '-- No -->', '-- Yes -->'), chr(1), '-- No -->')
+      WHEN cond_2 IS NOT NULL THEN replace(replace(replace(diagram, '-- ' || cond_1 || ' -->', chr(1)),
+        '-- ' || cond_2 || ' -->', '-- ' || cond_1 || ' -->'), chr(1), '-- ' || cond_2 || ' -->')
+      ELSE replace(replace(replace(diagram, act_1, chr(1)), {other}, act_1), chr(1), {other}) END
     WHEN 'drop_first_node' THEN left(diagram, {node} + 4) || substr(diagram, {node} + 6)
     WHEN 'mismatched_bracket' THEN left(diagram, strpos(diagram, ']') - 1) || '}}' || substr(diagram, strpos(diagram, ']') + 1)
     WHEN 'blank_lines' THEN replace(diagram, chr(10), chr(10) || chr(10))
@@ -422,12 +426,6 @@ _add(
     "",
     f"SELECT doc_id, lang, source, md5(text) AS text_md5 FROM documents ORDER BY doc_id LIMIT {registry.SLICE}",
 )
-_add(
-    "mixed_corpus",
-    PAIRS,
-    """SELECT 'pair' AS origin, pair_id AS key, md5(prompt || chr(10) || diagram) AS text_md5 FROM uniq
-UNION ALL SELECT 'document', doc_id, md5(text) FROM documents""",
-)
 _FLAT = "SELECT pair_id, split, shape, prompt, diagram, slot_text, novel FROM uniq"
 _add("pairs_json_roundtrip", PAIRS, _FLAT)
 _add(
@@ -725,16 +723,19 @@ _add(
 FROM uniq GROUP BY CUBE (split, shape)""",
 )
 _add("axis_sets", AXES, "SELECT pair_id, split AS axis, shape, prompt, diagram FROM drawn")
-_add(
-    "tokenizer_corpus_sample",
-    PAIRS
-    + """,
+_CHUNKS = """,
 chunks AS (
   SELECT category || '/' || (r // 64) AS line, string_agg(value, ' ' ORDER BY r) AS text FROM (
     SELECT category, value, row_number() OVER (PARTITION BY category ORDER BY md5(value), value) - 1 AS r FROM pool_all)
-  GROUP BY category, r // 64)""",
-    """SELECT 'values' AS origin, copy, line, text FROM chunks, (SELECT unnest(range(1, 6)) AS copy)
-UNION ALL SELECT 'pairs', 1, pair_id::VARCHAR, prompt || chr(10) || diagram FROM uniq""",
+  GROUP BY category, r // 64)"""
+_LINES = """SELECT 'values' AS origin, copy, line, text FROM chunks, (SELECT unnest(range(1, 6)) AS copy)
+UNION ALL SELECT 'pairs', 1, pair_id::VARCHAR, prompt || chr(10) || diagram FROM uniq WHERE split = 'train' AND NOT novel"""
+_add("tokenizer_corpus_sample", PAIRS + _CHUNKS, _LINES)
+_add(
+    "mixed_corpus",
+    PAIRS + _CHUNKS,
+    f"""SELECT origin, copy, line, md5(text) AS text_md5 FROM ({_LINES}
+UNION ALL SELECT 'documents', 1, doc_id::VARCHAR, text FROM documents)""",
 )
 
 # -- sequence building ----------------------------------------------------------------------------
@@ -855,12 +856,13 @@ _add(
     FAULTY
     + """,
 checked AS (
-  SELECT * REPLACE (diagram AS generated), 'target' AS kind FROM faulty
-  UNION ALL SELECT * REPLACE (split || '!' AS split), 'known_bad' FROM faulty WHERE fault <> 'none'),"""
+  SELECT * REPLACE (diagram AS generated, 'none' AS fault), 'target' AS kind FROM faulty
+  UNION ALL SELECT * REPLACE (split || '!' AS split), CASE WHEN fault = 'blank_lines' THEN 'harmless' ELSE 'known_bad' END
+  FROM faulty WHERE fault <> 'none'),"""
     + _scored("checked"),
-    f"""SELECT kind, {_METRICS},
+    f"""SELECT kind, fault, {_METRICS},
   round(count(*) FILTER (len(list_filter(vals, lambda v: NOT contains(generated, v))) = 0) / greatest(1, count(*)), 6) AS naive_acc
-FROM scores GROUP BY kind""",
+FROM scores GROUP BY kind, fault""",
 )
 _add("corrupted_outputs", FAULTY, "SELECT pair_id, fault, generated FROM faulty")
 _HAS = r"'^\s*graph T[DB]\s+[A-Z][\[\{]'"
@@ -878,18 +880,18 @@ cleaned AS (SELECT *, {_sanitized("mid", "header")} AS final FROM assembled)""",
 )
 _LOG = """
 batch_log AS (
-  SELECT user_id AS run, day(ts)::BIGINT AS epoch,
+  SELECT user_id AS run, date_diff('day', (min(ts) OVER (PARTITION BY user_id))::DATE, ts::DATE) + 1 AS epoch,
     CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'train' ELSE 'val' END AS phase, value AS loss FROM events),
 run_log AS (
   SELECT run, epoch, max(loss) FILTER (phase = 'val') AS val_loss, round(min(loss) / max(loss), 6) AS sample_acc
-  FROM batch_log GROUP BY run, epoch HAVING count(*) FILTER (phase = 'val') > 0)
+  FROM batch_log GROUP BY run, epoch)
 """
 _add(
     "best_checkpoint",
     _LOG,
     """SELECT a.run, a.epoch AS best_epoch, round(a.sample_acc, 6) AS best_acc, b.epoch AS lowest_loss_epoch, round(b.val_loss, 6) AS lowest_loss
 FROM (SELECT * FROM run_log QUALIFY row_number() OVER (PARTITION BY run ORDER BY sample_acc DESC, epoch) = 1) a
-JOIN (SELECT * FROM run_log QUALIFY row_number() OVER (PARTITION BY run ORDER BY val_loss, epoch) = 1) b USING (run)""",
+LEFT JOIN (SELECT * FROM run_log WHERE val_loss IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run ORDER BY val_loss, epoch) = 1) b USING (run)""",
 )
 _add(
     "early_stop_epoch",
@@ -932,6 +934,6 @@ _add(
     PAIRS,
     f"""SELECT key, CASE WHEN {_WARN} THEN 'no_title_case' ELSE 'no_known_shape' END AS reason FROM (
   SELECT key, {_content('prompt')} AS content FROM (
-    SELECT 'turn-' || conv_id || '-' || turn AS key, text AS prompt FROM conversations WHERE role = 'user'
+    SELECT 'turn-' || conv_id || '-' || turn AS key, text AS prompt FROM conversations
     UNION ALL SELECT 'order-' || pair_id, lower(prompt) FROM drawn))""",
 )

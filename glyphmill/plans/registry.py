@@ -47,8 +47,9 @@ def read_corpus_slice(spark, sf_dir):
 
 @query
 def mixed_corpus(spark, sf_dir):
-    lines = pairs.mixed_corpus(i.distinct(spark, sf_dir), i.documents(spark, sf_dir))
-    return lines.select("origin", "key", _md5("text").alias("text_md5"))
+    lines = pairs.tokenizer_lines(i.kit(spark, sf_dir).pool, i.distinct(spark, sf_dir))
+    mixed = pairs.mixed_corpus(lines, i.documents(spark, sf_dir))
+    return mixed.select("origin", "copy", "line", _md5("text").alias("text_md5"))
 
 
 def _flat_pairs(df):

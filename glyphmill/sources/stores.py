@@ -18,8 +18,15 @@ def read_pairs(spark: SparkSession, path: str, array_file: bool = False) -> Data
 
 
 def write_blocks(blocks: DataFrame, path: str, force: bool = False) -> None:
-    """Token blocks, one folder per split; kept if present unless forced."""
-    blocks.write.mode("overwrite" if force else "ignore").partitionBy("split").parquet(path)
+    """Token blocks, one folder per split; a folder whose write was finished is kept unless forced."""
+    if force or not _finished(blocks.sparkSession, path):
+        blocks.write.mode("overwrite").partitionBy("split").parquet(path)
+
+
+def _finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` came to its end."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:

@@ -173,3 +173,59 @@ def test_cheap_pairs_needs_four_words(spark, trained):
     five = spark.createDataFrame([("k", w) for w in "abcde"], "kind string, word string")
     rows = bp.cheap_pairs(bp.vocab_fit(five, trained[0]), trained[0]).orderBy("k").collect()
     assert [(r["k"], r["label"]) for r in rows] == [(1, "a e"), (2, "b d")]
+
+
+def plain_merge(ids, ranks):
+    """One merge at a time: the lowest-ranked pair, leftmost first."""
+    while True:
+        found = min(((ranks[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks), default=None)
+        if found is None:
+            return ids
+        rank, i = found
+        ids = ids[:i] + [bl.FIRST_MERGE + rank] + ids[i + 2 :]
+
+
+@given(st.lists(st.integers(7, 10), max_size=40), st.integers(0, 2**31))
+@settings(max_examples=200, deadline=None)
+def test_heap_merges_like_one_at_a_time(ids, seed):
+    rng = random.Random(seed)
+    symbols, ranks = [7, 8, 9, 10], {}
+    for rank in range(12):
+        ranks.setdefault((rng.choice(symbols), rng.choice(symbols)), len(ranks))
+        symbols.append(bl.FIRST_MERGE + len(ranks) - 1)
+    assert bp._merge_word(list(ids), ranks) == plain_merge(list(ids), ranks)
+
+
+def test_a_long_pretoken_takes_no_time():
+    import time
+
+    rng = random.Random(3)
+    symbols, ranks = list(range(7, 40)), {}
+    while len(ranks) < 3000:
+        ranks.setdefault((rng.choice(symbols), rng.choice(symbols)), len(ranks))
+        symbols.append(bl.FIRST_MERGE + len(ranks) - 1)
+    begun = time.process_time()
+    bp._merge_word([rng.randrange(7, 40) for _ in range(100_000)], ranks)
+    assert time.process_time() - begun < 3
+
+
+def test_vocabulary_tables_are_read_whole_or_not_at_all(spark):
+    rules = bp.Bpe(((7, 8), (9, 10), (11, 12)))
+    vocab, merges = bp.vocab_tables(spark, rules)
+    assert bp.bpe_from_tables(vocab, merges) == rules
+    with pytest.raises(ValueError, match="ceiling"):
+        bp.bpe_from_tables(vocab, merges, ceiling=3)
+    with pytest.raises(ValueError, match="ranks"):
+        bp.bpe_from_tables(vocab, merges.filter("rank <> 1"))
+
+
+def test_an_unfinished_shard_folder_is_written_again(spark):
+    path = work_path(spark, "shards")
+    blocks = spark.createDataFrame([(0, [1, 2], "train")], "block_id long, tokens array<int>, split string")
+    blocks.filter("block_id < 0").write.partitionBy("split").option(
+        "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false"
+    ).parquet(path)
+    stores.write_blocks(blocks, path)
+    assert stores.read_blocks(spark, path).count() == 1
+    stores.write_blocks(blocks.limit(0), path)
+    assert stores.read_blocks(spark, path).count() == 1

@@ -170,3 +170,19 @@ def test_long_conversations_are_trimmed_before_the_shuffle(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     plan = instruct.encode_conversations(turns, bp.Bpe(()))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_a_null_turn_is_an_empty_one(spark):
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 2, "user", None), (1, 3, "assistant", "ok")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    rules = bp.Bpe(())
+    got, same = (
+        instruct.encode_conversations(d, rules).first() for d in (df, df.withColumn("text", F.coalesce("text", F.lit(""))))
+    )
+    assert got["x"] == same["x"] and got["y"] == same["y"]
+    assert got["n"] == len(got["x"]) == len(got["y"]) == 11
+
+
+def test_a_null_document_is_a_lone_end_mark(spark):
+    df = spark.createDataFrame([(0, "train", [5]), (1, "train", None)], TOKENS)
+    assert [r["ids"] for r in packing.with_eot(df).orderBy("doc_id").collect()] == [[5, bl.EOT], [bl.EOT]]

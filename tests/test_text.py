@@ -123,10 +123,27 @@ def test_shape_match_ignores_labels(spark):
 
 def test_targets_score_one_and_faults_do_not(spark, kit):
     ids = spark.range(800).withColumnRenamed("id", "pair_id")
-    checks = {r["kind"]: r for r in ev.self_check(pairs.generate_pairs(ids, kit), g.grammar(spark)["shapes"]).collect()}
-    good, bad = checks["target"], checks["known_bad"]
+    checks = {r["fault"]: r for r in ev.self_check(pairs.generate_pairs(ids, kit), g.grammar(spark)["shapes"]).collect()}
+    good, bad = checks["none"], checks["drop_first_node"]
     assert (good["slot_acc"], good["sample_acc"], good["exact_match"]) == (1.0, 1.0, 1.0)
-    assert bad["exact_match"] < 0.35 and bad["sample_acc"] < bad["naive_acc"]
+    assert bad["exact_match"] == 0 and checks["mismatched_bracket"]["sample_acc"] < checks["mismatched_bracket"]["naive_acc"]
+
+
+def test_every_bad_fault_fails_the_exact_match(spark, kit):
+    ids = spark.range(3000).withColumnRenamed("id", "pair_id")
+    rows = {r["fault"]: r for r in ev.self_check(pairs.generate_pairs(ids, kit), g.grammar(spark)["shapes"]).collect()}
+    assert set(rows) == set(ev.FAULTS)
+    for fault, r in rows.items():
+        good = fault == "none" or fault in ev.HARMLESS
+        assert r["exact_match"] == (1.0 if good else 0.0), fault
+        assert r["kind"] == ("target" if fault == "none" else "harmless" if good else "known_bad")
+
+
+def test_epochs_without_val_loss_keep_their_accuracy(spark):
+    rows = [(1, 1, 0.0, None, 0.9), (1, 2, 0.0, 0.4, 0.1), (1, 3, 0.0, 0.3, 0.2)]
+    df = spark.createDataFrame(rows, "run long, epoch long, train_loss double, val_loss double, sample_acc double")
+    r = runs.best_epoch(df).first()
+    assert (r["best_epoch"], r["lowest_loss_epoch"], r["lowest_loss"]) == (1, 3, 0.3)
 
 
 def test_predictions_join_their_pairs(spark):
@@ -159,22 +176,22 @@ def test_best_epoch_is_the_first_best_not_the_lowest_loss(spark):
 # -- prompt to diagram ----------------------------------------------------------------------
 
 PROMPTS = {
-    "To begin with Wash Cup, after which comes Dry Cup.": FORK.replace("Go Up", "Wash Cup")
-    .replace("Go In", "Dry Cup")
-    .split("\n    A --> C")[0],
-    "Probe Door Open. When it holds, Save List; or else Ask Name.": (
-        "graph TD\n    A{Door Open} -- Yes --> B[Save List]\n    A -- No --> C[Ask Name]"
+    "Number the nodes: one Rinse Plum, two Peel Plum.": "graph TD\n    A[Rinse Plum] --> B[Peel Plum]",
+    "A switch marked Lamp Lit guards Fold Map; shut, it yields Light Lamp as drawn.": (
+        "graph TD\n    A{Lamp Lit} -- Yes --> B[Fold Map]\n    A -- No --> C[Light Lamp]"
+    ),
+    "A back arrow returns to Pump Tyre from every failed Tyre Firm; a passed one frees Ride Home.": (
+        "graph TD\n    A[Pump Tyre] --> B{Tyre Firm}\n    B -- No --> A\n    B -- Yes --> C[Ride Home]"
     ),
-    "Keep at Count Coin as long as it is not Bag Full. Upon Bag Full, attend to Stop Game.": (
-        "graph TD\n    A[Count Coin] --> B{Bag Full}\n    B -- No --> A\n    B -- Yes --> C[Stop Game]"
+    "Bake Tart has two parents: Knead Dough and Stew Apple.": (
+        "graph TD\n    A[Knead Dough] --> C[Bake Tart]\n    B[Stew Apple] --> C"
     ),
-    "Wash Cup and Dry Cup unite in Save Page.": "graph TD\n    A[Wash Cup] --> C[Save Page]\n    B[Dry Cup] --> C",
 }
 MISSES = {
-    "wash the cup and dry it": "no_title_case",
-    "Keep at Count Coin as long as it is not Bag Full. Upon Bag Empty, attend to Stop Game.": "no_known_shape",
+    "rinse the plum and peel it": "no_title_case",
+    "Number the nodes: one Rinse Plum, five Peel Plum.": "no_known_shape",
     "Please make One Diagram of Every Thing.": "no_known_shape",
-    "One. Two. Three. Four. Five. Wash Cup.": "no_known_shape",
+    "One. Two. Three. Four. Five. Rinse Plum.": "no_known_shape",
 }
 
 
