@@ -39,14 +39,12 @@ def check_floor(words: DataFrame, floor: int = FLOOR) -> DataFrame:
     )
 
 
-def require_words(words: DataFrame, floor: int = FLOOR, ceiling: int = MAX_WORDS) -> None:
-    """Raise when an open group is too small or the lexicon is out of bounds."""
+def require_words(words: DataFrame, floor: int = FLOOR) -> None:
+    """Raise when an open group is too small."""
     counts = {r["kind"]: r["count"] for r in words.groupBy("kind").count().collect()}
     short = [k for k in ("action", "condition", "object") if counts.get(k, 0) < floor]
     if short:
         raise ValueError(f"too few cheap words in: {', '.join(short)}; raise the token limit")
-    if sum(counts.values()) > ceiling:
-        raise ValueError(f"a lexicon holds at most {ceiling} words")
 
 
 def label_pools(words: DataFrame) -> DataFrame:
@@ -54,12 +52,8 @@ def label_pools(words: DataFrame) -> DataFrame:
 
     act is every action with every object; cond is every condition alone and
     with every object.  A word names the kind it combines with, so the product
-    is an equi-join on that kind.  A lexicon holds at most ``MAX_WORDS`` words,
-    which bounds the broadcast side.
+    is an equi-join on that kind; up to ``MAX_WORDS`` counted words are broadcast.
     """
-    n_words = words.limit(MAX_WORDS + 1).count()
-    if n_words > MAX_WORDS:
-        raise ValueError(f"a lexicon holds at most {MAX_WORDS} words")
     heads = words.filter(F.col("kind").isin("action", "object")).select(
         F.col("word").alias("head"),
         F.when(F.col("kind") == "action", "act").otherwise("cond").alias("category"),

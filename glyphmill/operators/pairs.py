@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,7 +27,6 @@ AXES = {
     "both": ("val", "val", 44),
 }
 MAX_VOCABULARY = 65_536
-LITERAL_ROWS = 100_000
 
 PAIR_SCHEMA = (
     "pair_id bigint, split string, shape string, prompt string, diagram string, "
@@ -48,7 +48,7 @@ class PairKit:
     pool_sizes: dict[tuple[str, str], int]
     n_phrases: int
     fragments: tuple[str, ...]
-    pool_values: tuple[str, ...] | None  # the pool in (category, split, idx) order, if small
+    n_slots: int  # most slots of a shape
 
     @property
     def categories(self) -> list[str]:
@@ -59,7 +59,6 @@ def build_kit(
     words: DataFrame,
     tables: dict[str, DataFrame],
     fragments: DataFrame | None = None,
-    literal_rows: int = LITERAL_ROWS,
 ) -> PairKit:
     """Pools, paraphrases and their sizes from a word table and a grammar.
 
@@ -95,10 +94,6 @@ def build_kit(
     if len(rows) > MAX_VOCABULARY:
         raise ValueError(f"a vocabulary holds at most {MAX_VOCABULARY} fragments")
     pool_sizes = _sizes(pool, "category")
-    values = None
-    if sum(pool_sizes.values()) <= literal_rows:
-        ordered = pool.orderBy("category", "split", "idx").select("value")
-        values = tuple(r["value"] for r in ordered.collect())
     return PairKit(
         shapes=shapes,
         pool=pool,
@@ -107,7 +102,7 @@ def build_kit(
         pool_sizes=pool_sizes,
         n_phrases=sum(phrase_sizes.values()),
         fragments=tuple(r["fragment"] for r in rows),
-        pool_values=values,
+        n_slots=max(len(set(re.findall(tx.SLOT_HOLE, pattern))) for _, pattern in patterns),
     )
 
 
@@ -199,75 +194,45 @@ def novel_value(key: Column, slot: Column, fragments: tuple[str, ...], seed: See
     return F.array_join(F.transform(hashes, word), " ")
 
 
-def sample_slots(df: DataFrame, kit: PairKit, seed: Seed = PAIR_SEED) -> DataFrame:
-    """Add ``slots map<slot, value>``: pool values, or invented ones if ``novel``.
-
-    ``df`` holds ``pair_id, value_split, novel, slot_list``.  A pool proven
-    small travels with the plan as one literal array and is indexed in place, so
-    no row moves.  A larger pool is joined by (category, split, position).
-    Closed categories always draw from the pool.
-    """
-    drawn = with_draws(df, kit, seed)
-    temporary = [f"_draw_{c}" for c in kit.categories]
-    if kit.pool_values is None:
-        return _sample_slots_joined(drawn, kit, seed, df.columns)
-    values = F.split(F.lit("\n".join(kit.pool_values)), "\n")
-    starts, at = {}, 0
-    for name, n in sorted(kit.pool_sizes.items()):
-        starts[name] = at
-        at += n
-
-    def pooled(slot: Column) -> Column:
-        def at(category: str) -> Column:
-            start = _per_split(starts, category, F.col("value_split"))
-            return F.element_at(values, (start + pool_index(category, slot["k"]) + 1).cast("int"))
-
-        return _by_category(kit, slot["category"], at)
-
-    def invented(slot: Column) -> Column:
-        return F.when(_closed(slot["category"]), pooled(slot)).otherwise(
-            novel_value(F.col("pair_id"), slot["name"], kit.fragments, seed)
-        )
-
-    # The flag is tested once per row, not once per slot.
-    slots = F.when(
-        F.col("novel"), F.transform("slot_list", lambda s: F.struct(s["name"], invented(s)))
-    ).otherwise(F.transform("slot_list", lambda s: F.struct(s["name"], pooled(s))))
-    return drawn.withColumn("slots", F.map_from_entries(slots)).drop(*temporary)
-
-
 def _closed(category: Column) -> Column:
     return category.isin(*lexicon.CLOSED_CATEGORIES)
 
 
-def _sample_slots_joined(drawn: DataFrame, kit: PairKit, seed: Seed, keys: list[str]) -> DataFrame:
-    """Pool values by an equi-join: one row per slot, regrouped per key.
+def sample_slots(df: DataFrame, kit: PairKit, seed: Seed = PAIR_SEED) -> DataFrame:
+    """Add ``slots map<slot, value>``: pool values, or invented ones if ``novel``.
 
-    A key has at most as many rows as its shape has slots.
+    ``df`` holds ``pair_id, value_split, novel, slot_list``.  Each slot position
+    (a shape has a handful) is one lookup join with the pool on (category, side,
+    position): rows are neither exploded nor regrouped, so repeated keys and
+    streams are served alike, and a pool counted as small is broadcast once.
+    Closed categories always draw from the pool.
     """
-    placed = (
-        drawn.withColumn("_slot", F.explode("slot_list"))
-        .withColumn("_category", F.col("_slot.category"))
-        .withColumn(
-            "_at", _by_category(kit, F.col("_category"), lambda c: pool_index(c, F.col("_slot.k")))
-        )
-    )
-    pool = kit.pool.select(
-        F.col("category").alias("_category"),
-        F.col("split").alias("value_split"),
-        F.col("idx").alias("_at"),
-        F.col("value").alias("_pooled"),
-    )
-    filled = placed.join(pool, ["_category", "value_split", "_at"]).withColumn(
-        "_value",
-        F.when(
-            F.col("novel") & ~_closed(F.col("_category")),
-            novel_value(F.col("pair_id"), F.col("_slot.name"), kit.fragments, seed),
-        ).otherwise(F.col("_pooled")),
-    )
-    return filled.groupBy(*keys).agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("_slot.name", "_value")))).alias("slots")
+    drawn = with_draws(df, kit, seed)
+    pool = small_side(
+        kit.pool.select(
+            F.col("category").alias("_category"),
+            F.col("split").alias("_side"),
+            F.col("idx").alias("_idx"),
+            F.col("value").alias("_pooled"),
+        ),
+        rows=sum(kit.pool_sizes.values()),
     )
+    for i in range(kit.n_slots):
+        slot = F.get("slot_list", F.lit(i))
+        at = _by_category(kit, slot["category"], lambda c: pool_index(c, slot["k"]))  # noqa: B023
+        placed = drawn.withColumns({"_wanted": slot["category"], "_at": at})
+        here = (
+            (F.col("_wanted") == F.col("_category"))
+            & (F.col("value_split") == F.col("_side"))
+            & (F.col("_at") == F.col("_idx"))
+        )
+        invented = novel_value(F.col("pair_id"), slot["name"], kit.fragments, seed)
+        value = F.when(F.col("novel") & ~_closed(F.col("_wanted")), invented).otherwise(F.col("_pooled"))
+        drawn = placed.join(pool, here, "left").withColumn(f"_value_{i}", value)
+        drawn = drawn.drop("_wanted", "_at", "_category", "_side", "_idx", "_pooled")
+    values = F.array(*[F.col(f"_value_{i}") for i in range(kit.n_slots)])
+    slots = F.transform("slot_list", lambda s, i: F.struct(s["name"], F.get(values, i)))
+    return drawn.withColumn("slots", F.map_from_entries(slots)).select(*df.columns, "slots")
 
 
 def draw_phrase(df: DataFrame, kit: PairKit, seed: Seed = PAIR_SEED) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import dataclasses
 import math
 import re
 
@@ -80,8 +79,6 @@ def test_lexicon_bounds(spark):
     with pytest.raises(ValueError, match="too few"):
         lexicon.require_words(few)
     words = g.grammar(spark)["words"]
-    with pytest.raises(ValueError, match="at most"):
-        lexicon.require_words(words, ceiling=10)
 
 
 def test_slot_values_of_a_sample_differ(kit, ids):
@@ -99,13 +96,40 @@ def test_values_come_from_the_wanted_side(kit, ids):
     assert slots.join(kit.pool, ["category", "split", "value"], "left_anti").count() == 0
 
 
-def test_joined_lookup_equals_the_literal_one(kit, ids):
+@pytest.fixture(scope="module")
+def large_kit(spark):
+    """A pool of well over 100,000 values."""
+    tables = g.grammar(spark)
+    letters = F.split(F.lit("b,c,d,f,g,h,j,k,l,m"), ",")
+    word = F.concat(*[F.element_at(letters, (F.floor(F.col("id") / 10**k) % 10 + 1).cast("int")) for k in range(3)])
+    words = spark.range(450).select(
+        F.element_at(F.split(F.lit("action,object,condition"), ","), (F.col("id") % 3 + 1).cast("int")).alias("kind"),
+        F.initcap(F.concat(word, F.lit("a"))).alias("word"),
+    )
+    labels = spark.createDataFrame([("label", w) for w in "Alpha Beta Gamma Delta Omega Sigma Kappa Theta".split()], g.WORDS)
+    words = words.unionByName(labels).unionByName(words.withColumn("word", F.concat("word", F.lit("o"))))
+    kit = pairs.build_kit(words, tables)
+    assert sum(kit.pool_sizes.values()) > 100_000
+    return kit
+
+
+def test_a_large_pool_serves_batch_and_repeated_keys(spark, large_kit, ids):
     keys = pairs.split_keys(ids)
-    joined = dataclasses.replace(kit, pool_values=None)
-    a = pairs.draw_pairs(keys, kit).select("pair_id", "prompt", "diagram", "novel")
-    b = pairs.draw_pairs(keys, joined).select("pair_id", "prompt", "diagram", "novel")
-    assert a.count() == b.count() == 3000
-    assert a.exceptAll(b).count() == 0
+    once = pairs.draw_pairs(keys, large_kit).select("pair_id", "prompt", "diagram").cache()
+    assert once.count() == 3000 and once.filter(F.col("diagram").contains("{act")).count() == 0
+    twice = pairs.draw_pairs(keys.unionByName(keys), large_kit).select("pair_id", "prompt", "diagram")
+    assert twice.count() == 6000 and twice.distinct().exceptAll(once).count() == 0
+
+
+def test_a_large_pool_serves_a_stream(spark, large_kit):
+    path = work_path(spark, "keys")
+    spark.range(500).withColumnRenamed("id", "pair_id").write.parquet(path)
+    stream = spark.readStream.schema("pair_id bigint").parquet(path)
+    made = pairs.draw_pairs(pairs.split_keys(stream), large_kit).select("pair_id", "prompt")
+    query = made.writeStream.format("memory").queryName("large_pool").trigger(availableNow=True).start()
+    query.awaitTermination()
+    want = pairs.draw_pairs(pairs.split_keys(spark.read.parquet(path)), large_kit).select("pair_id", "prompt")
+    assert spark.table("large_pool").count() == 500 and want.exceptAll(spark.table("large_pool")).count() == 0
 
 
 def test_partitioning_does_not_change_a_pair(kit, ids):
