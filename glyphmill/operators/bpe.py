@@ -146,32 +146,56 @@ def train_bpe(
     """
     merges: list[tuple[int, int]] = []
     wanted = vocab_size - bl.FIRST_MERGE
-    table = symbol_table(freq).filter(F.col("symbols").contains("  "))
-    table = table.persist(StorageLevel.MEMORY_AND_DISK)
-    before = None
+    table = _kept(symbol_table(freq).filter(F.col("symbols").contains("  ")))
+    counts = _kept(pair_counts(table))
+    old: list[DataFrame] = []
     rounds = 0
     while len(merges) < wanted:
         room = min(wanted - len(merges), merges_per_round)
-        ranking = pair_counts(table).orderBy(F.desc("n"), "left", "right").limit(room)
+        ranking = counts.orderBy(F.desc("n"), "left", "right").limit(room)
         taken = independent_prefix(((r["left"], r["right"]) for r in ranking.collect()), room)
-        if before is not None:
-            # The ranking has read this round's table, so its source can go.
-            before.unpersist()
+        # The ranking has read this round's counts, so their sources can go.
+        while old:
+            old.pop().unpersist()
         if not taken:
             break
-        before = table
-        table = merge_pairs(table, taken, bl.FIRST_MERGE + len(merges))
+        first = bl.FIRST_MERGE + len(merges)
+        old = [table, counts]
+        counts = updated_counts(counts, table, taken, first)
+        table = merge_pairs(table, taken, first)
         merges += taken
         rounds += 1
         if rounds % ROUNDS_PER_CHECKPOINT == 0:
-            table = cut_lineage(table)
-        table = table.persist(StorageLevel.MEMORY_AND_DISK)
-    table.unpersist()
-    if before is not None:
-        before.unpersist()
+            table, counts = cut_lineage(table), cut_lineage(counts)
+        table, counts = _kept(table), _kept(counts)
+        table.count()
+    for df in (*old, table, counts):
+        df.unpersist()
     return Bpe(tuple(merges))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def updated_counts(
+    counts: DataFrame, table: DataFrame, pairs: Sequence[tuple[int, int]], first_id: int
+) -> DataFrame:
+    """Pair counts after a round, from those before it.
+
+    Only pre-tokens that hold a taken pair change: their old pairs are
+    subtracted and their new ones added, which is exact, since counts are sums.
+    """
+    holds = F.lit(False)
+    for left, right in pairs:
+        holds = holds | F.col("symbols").contains(f" {left}  {right} ")
+    touched = table.filter(holds)
+    lost = pair_counts(touched).withColumn("n", -F.col("n"))
+    gained = pair_counts(merge_pairs(touched, pairs, first_id))
+    changed = counts.unionByName(lost).unionByName(gained)
+    return changed.groupBy("left", "right").agg(F.sum("n").alias("n")).filter(F.col("n") > 0)
+
+
 # -- vocabulary tables --------------------------------------------------------
 
 

@@ -332,10 +332,23 @@ def generate_pairs(
 ) -> DataFrame:
     """Distinct (prompt, diagram) pairs of a column of keys ``pair_id``.
 
-    The key range sets the size; ``n`` takes the first pairs by id.
+    The key range sets the size; ``n`` takes the first pairs by id.  A pair is a
+    function of its key, so only keys and 128-bit digests of the texts are
+    grouped, in a hash aggregate, and the first key of each pair draws again.
     """
-    keys = split_keys(ids, seed, novel_share=novel_share, hold_out_phrases=hold_out_phrases)
-    pairs = distinct_pairs(draw_pairs(keys, kit, seed))
+
+    def drawn(of: DataFrame) -> DataFrame:
+        keys = split_keys(of, seed, novel_share=novel_share, hold_out_phrases=hold_out_phrases)
+        return draw_pairs(keys, kit, seed)
+
+    text = ("prompt", "diagram")
+    marks = drawn(ids.select("pair_id")).select(
+        "pair_id", "split", F.xxhash64(*text).alias("_a"), F.xxhash64(F.lit("second"), *text).alias("_b")
+    )
+    first = marks.groupBy("split", "_a", "_b").agg(F.min("pair_id").alias("pair_id"))
+    pairs = drawn(first.select("pair_id")).select(
+        "pair_id", "split", "shape", "prompt", "diagram", "slots", "novel"
+    )
     return pairs if n is None else pairs.orderBy("pair_id").limit(n)
 
 

@@ -229,3 +229,16 @@ def test_an_unfinished_shard_folder_is_written_again(spark):
     assert stores.read_blocks(spark, path).count() == 1
     stores.write_blocks(blocks.limit(0), path)
     assert stores.read_blocks(spark, path).count() == 1
+
+
+def test_updated_counts_equal_a_recount(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    table = bp.symbol_table(bp.pretoken_frequencies(docs)).filter(F.col("symbols").contains("  ")).cache()
+    counts = bp.pair_counts(table)
+    for k, row in enumerate(counts.orderBy(F.desc("n"), "left", "right").limit(3).collect()):
+        pair = [(row["left"], row["right"])]
+        counts = bp.updated_counts(counts, table, pair, bl.FIRST_MERGE + k)
+        table = bp.merge_pairs(table, pair, bl.FIRST_MERGE + k)
+    whole = bp.pair_counts(table).select("left", "right", "n")
+    assert counts.select("left", "right", "n").exceptAll(whole).count() == 0
+    assert whole.exceptAll(counts.select("left", "right", "n")).count() == 0

@@ -225,3 +225,14 @@ def test_draw_shares(spark):
     assert 0.14 < share < 0.16
     spread = keys.groupBy(draw.pick(draw.digest(1, F.col("id"), "y"), 10).alias("p")).count().collect()
     assert len(spread) == 10 and all(4600 < r["count"] < 5400 for r in spread)
+
+
+def test_distinct_pairs_are_hash_aggregated(kit, ids):
+    twice = ids.unionByName(ids)
+    made = pairs.generate_pairs(twice, kit)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    want = pairs.distinct_pairs(pairs.draw_pairs(pairs.split_keys(ids), kit))
+    columns = ["pair_id", "split", "shape", "prompt", "diagram", "novel"]
+    assert made.count() == want.count()
+    assert made.select(columns).exceptAll(want.select(columns)).count() == 0
