@@ -5,7 +5,7 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.plans.sizing import small_side
@@ -14,6 +14,15 @@ SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = r"[ \t-\r]+"
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def modest_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Let Spark hand Arrow batches of at most about ``size`` bytes to Python, so long texts do not add up."""
+    if int(spark.conf.get(BATCH_BYTES).rstrip("b")) > size:
+        spark.conf.set(BATCH_BYTES, str(size))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once, also where ``use`` loops over it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

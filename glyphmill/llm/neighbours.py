@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import boxed, unboxed
+from glyphmill.llm.common import boxed, modest_batches, unboxed
 from glyphmill.llm.flattext import flat, mix, word_hashes, word_limits
 
 PAIRS, WORDS, EXTRA = 1024, 512, 4
@@ -130,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
                     names=["id", "version", "y", "h"],
                 )
 
+    modest_batches(docs.sparkSession)
     rows = labelled_sample(docs, labels, params).mapInArrow(batches, "id bigint, version bigint, y int, h binary")
     got = rows.toArrow().sort_by([("id", "ascending"), ("version", "ascending")])
     y = got.column("y").to_numpy().astype(np.float32)

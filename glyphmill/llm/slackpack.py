@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glyphmill.llm.common import modest_batches
 from glyphmill.llm.wordbpe import WordBpe
 from glyphmill.session import written
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 RANK_BUCKETS = 256
-_SLICE_BYTES = 16 << 20
+_SLICE_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -182,6 +183,7 @@ def ranked(cut: DataFrame) -> DataFrame:
 
 def pack(docs: DataFrame, p: Params) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
+    modest_batches(docs.sparkSession)
     cut = written(pieces(docs, p), "pieces")
     # At most ``capacity`` rows: one per piece length.
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}

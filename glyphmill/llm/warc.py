@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import body
+from glyphmill.llm.common import body, modest_batches
 from glyphmill.session import work_path, written
 
 # Fixed values of the public seekable Zstandard and WARC formats.
@@ -64,6 +64,7 @@ def with_originals(pages: DataFrame, params: Params = Params()) -> DataFrame:
     payloads come back, so a payload that a third of all pages share is one
     row of the joined side.
     """
+    modest_batches(pages.sparkSession)
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), "url", F.encode(body("html"), "UTF-8").alias("payload")
     ).withColumn("digest", F.sha1("payload"))

@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 _NONE = np.int32(2**30)
 _LONGEST = 64
-_MEMO = 1_000_000
+_MEMO = 250_000
 _SAFE = r"[\x21-\x7e¡-įı-ſ]+"
 _EMPTY = b""
 
