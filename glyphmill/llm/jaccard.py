@@ -2,9 +2,10 @@
 
 Texts with equal shingle sets form one class; all work is between classes.
 
-1.  *Near links.*  Band keys of minhashes send each class to the smallest class
-    of its band; those pairs are verified exactly and joined to groups.  This
-    settles large groups of near copies with one comparison per member.
+1.  *Near links.*  Band keys of minhashes send each class to a leader of its
+    band, in a few turns with other leaders; those pairs are verified exactly
+    and joined to groups.  This settles large groups of near copies with a few
+    comparisons per member.
 2.  *All other links.*  By the prefix principle two sets that reach the
     threshold share one of their first ``n - ceil(t * n) + 1`` shingles in any
     common order; the order used here puts shingles rare in the corpus first.
@@ -35,15 +36,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.llm.common import modest_batches
 from glyphmill.llm.components import components
 from glyphmill.llm.flattext import flat, mix, word_hashes, word_limits
 from glyphmill.plans.sizing import small_side
 from glyphmill.session import written
 
-SLOTS = 1 << 18
 BLOCK = 4096
 SIGNATURE_BITS = 512
-_SLICE_BYTES = 16 << 20
+PAIRS_AT_ONCE = 1 << 17
+FIRST_TILES = 12
+_SLICE_BYTES = 4 << 20
 SKETCH = "doc_id bigint, key binary, n bigint, bits binary, bands array<bigint>, block int, counts array<bigint>"
 
 
@@ -53,7 +56,14 @@ class Params:
     percent: int = 75
     bands: int = 4
     rows: int = 2
+    rounds: int = 3
     tile: int = 2048
+    # Hashed shingle counters (a power of two).  More of them tell frequent
+    # shingles from rare ones in a larger corpus; results do not depend on them.
+    slots: int = 1 << 20
+
+    def slot(self, shingles: np.ndarray) -> np.ndarray:
+        return (shingles >> np.uint64(65 - self.slots.bit_length())).astype(np.int64)
 
     def needed(self, total):
         """The least overlap of two sets whose sizes sum to ``total``."""
@@ -118,7 +128,7 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
     """One pass over the texts: a row per document, and per task a table of hashed shingle counts."""
 
     def sketch(batches):
-        counts = np.zeros(SLOTS, np.int64)
+        counts = np.zeros(p.slots, np.int64)
         odd = mix(np.arange(1, p.bands * p.rows + 1, dtype=np.uint64)) | np.uint64(1)
         empty = pa.scalar(None, pa.list_(pa.int64()))
         for batch in batches:
@@ -137,7 +147,7 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
                     for r in range(1, p.rows):
                         folded = mix(folded * np.uint64(0xC2B2AE3D27D4EB4F) + least[:, r])
                     bands.append(folded.view(np.int64).tolist())
-                    np.add.at(counts, (s >> np.uint64(46)).astype(np.int64), 1)
+                    np.add.at(counts, p.slot(s), 1)
                 n = len(sizes)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -151,36 +161,42 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
                     ],
                     names=["doc_id", "key", "n", "bits", "bands", "block", "counts"],
                 )
-        blocks = SLOTS // BLOCK
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.nulls(blocks, pa.int64()),
-                pa.nulls(blocks, pa.binary()),
-                pa.nulls(blocks, pa.int64()),
-                pa.nulls(blocks, pa.binary()),
-                pa.nulls(blocks, pa.list_(pa.int64())),
-                pa.array(range(blocks), pa.int32()),
-                pa.array(counts.reshape(blocks, BLOCK).tolist(), pa.list_(pa.int64())),
-            ],
-            names=["doc_id", "key", "n", "bits", "bands", "block", "counts"],
-        )
+        for block in np.flatnonzero(counts.reshape(-1, BLOCK).any(axis=1)):
+            own = counts[block * BLOCK : (block + 1) * BLOCK]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.nulls(1, pa.int64()),
+                    pa.nulls(1, pa.binary()),
+                    pa.nulls(1, pa.int64()),
+                    pa.nulls(1, pa.binary()),
+                    pa.nulls(1, pa.list_(pa.int64())),
+                    pa.array([block], pa.int32()),
+                    pa.array([own], pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "key", "n", "bits", "bands", "block", "counts"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(sketch, SKETCH)
 
 
-def rarity_levels(sketch: DataFrame) -> np.ndarray:
-    """A level per hash slot: 0 for slots near the mean count, more for slots with frequent shingles.
+def rarity_levels(sketch: DataFrame, p: Params) -> np.ndarray:
+    """A level per hash slot: 0 for the usual count, more for slots with frequent shingles.
 
-    ``SLOTS`` sums reach the driver, whatever the corpus.  Levels decide the
-    order of shingles only, never what links.
+    Rare shingles alone fill slots like random throws, so a count three
+    deviations above the median tells of a frequent one.  ``slots`` sums reach
+    the driver, whatever the corpus.  Levels decide the order of shingles only,
+    never what links.
     """
     tables = sketch.filter(F.col("block").isNotNull())
     cells = tables.select("block", F.posexplode("counts").alias("pos", "n")).filter(F.col("n") > 0)
-    sums = cells.groupBy((F.col("block") * BLOCK + F.col("pos")).alias("slot")).agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(SLOTS, np.float64)
-    total[sums.column("slot").to_numpy()] = sums.column("n").to_numpy()
-    usual = 4 * total.mean() + 16
-    return np.where(total > usual, np.log2(np.maximum(total, 1) / usual).astype(int) + 1, 0).clip(0, 255).astype(np.uint8)
+    slot = (F.col("block") * BLOCK + F.col("pos")).alias("slot")
+    total = np.zeros(p.slots, np.float64)
+    for part in cells.groupBy(slot).agg(F.sum("n").alias("n")).toArrow().to_batches():
+        total[part.column("slot").to_numpy()] = part.column("n").to_numpy()
+    middle = np.median(total)
+    usual = middle + 3 * np.sqrt(middle) + 2
+    level = np.log2(np.maximum(total - middle, 1)).astype(int)
+    return np.where(total > usual, level, 0).clip(0, 255).astype(np.uint8)
 
 
 def shared_prefixes(docs: DataFrame, levels: np.ndarray, p: Params) -> DataFrame:
@@ -200,7 +216,7 @@ def shared_prefixes(docs: DataFrame, levels: np.ndarray, p: Params) -> DataFrame
                     if not len(s):
                         continue
                     size = p.prefix(len(s))
-                    level = levels[(s >> np.uint64(46)).astype(np.int64)]
+                    level = levels[p.slot(s)]
                     first = np.argsort(level, kind="stable")[:size] if level.any() else slice(0, size)
                     key = int.from_bytes(set_key(s)[:8], "big", signed=True)
                     hs.append(s[first].view(np.int64))
@@ -236,66 +252,148 @@ def shared_prefixes(docs: DataFrame, levels: np.ndarray, p: Params) -> DataFrame
     return rows.repartition("h", "salt").sortWithinPartitions("h", "k1").mapInArrow(drop_lone, "h bigint, k1 bigint")
 
 
-def set_arrays(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
-    """``key, shingles`` (sorted, as bytes) of the classes whose representative ``doc_id`` is wanted."""
+def wide_signature(shingles: np.ndarray, bits: int) -> bytes:
+    """A hashed bitmap of ``bits`` bits, a power of two."""
+    found = np.zeros(bits, bool)
+    found[(shingles >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)] = True
+    return np.packbits(found).tobytes()
 
-    def arrays(batches):
-        for batch in batches:
-            for _, texts in _slices(batch.column("text")):
-                for s in shingle_sets(texts, p):
-                    if len(s):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([set_key(s)], pa.binary()), pa.array([s.tobytes()], pa.binary())],
-                            names=["key", "shingles"],
-                        )
 
-    ids = small_side(wanted.select(F.col("rep").alias("doc_id")).distinct())
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    return written(texts.mapInArrow(arrays, "key binary, shingles binary"), "shingles")
+def set_data(docs: DataFrame, wanted: DataFrame, schema: str, p: Params) -> DataFrame:
+    """``wanted`` (``rep, key, bits, ...``) with the class's sorted shingles as ``data``, or a bitmap where ``bits`` > 0.
 
+    Only the wanted texts are cut into shingles again; a text is matched by the
+    key of its set, so another text under the same id is no harm.
+    """
+    names = [c.split(" ")[0] for c in schema.split(", ")]
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
-    """The pairs ``a, b`` whose sorted arrays overlap enough."""
-    pairs = written(pairs.select("a", "b").distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    arrays = set_arrays(docs, classes.join(ends, "key").select("rep"), p)
+    def compute(batches):
+        for batch in batches:
+            keys, bits = batch.column("key").to_pylist(), batch.column("bits").to_pylist()
+            for at, texts in _slices(batch.column("text")):
+                rows, data = [], []
+                for i, s in enumerate(shingle_sets(texts, p), at):
+                    if len(s) and set_key(s) == keys[i]:
+                        rows.append(i)
+                        data.append(wide_signature(s, bits[i]) if bits[i] else s.tobytes())
+                kept = batch.take(pa.array(rows, pa.int64())).select(names)
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(data, pa.binary())], names=[*names, "data"])
+
+    wanted = small_side(wanted.withColumnRenamed("rep", "doc_id"))
+    return docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(compute, schema + ", data binary")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, p: Params, exact: bool) -> DataFrame:
+    """Pairs that pass: by the intersection of their sorted arrays, or by the bound of their bitmaps."""
+    size = F.lit(0)
+    if not exact:  # about four bits a shingle
+        size = F.pow(F.lit(2), F.ceil(F.log2(F.col("n_a") * 4 + 512.0))).cast("int")
+    pairs = pairs.withColumn("bits", size)
+    ends = pairs.select(F.col("rep_b").alias("rep"), F.col("b").alias("key"), "bits").distinct()
+    if exact:  # nearly all of these pairs link, and an end has few of them
+        left = set_data(
+            docs,
+            pairs.select(F.col("rep_a").alias("rep"), F.col("a").alias("key"), "bits", "b", "n_a", "n_b", "rep_a", "rep_b"),
+            "key binary, b binary, bits int, n_a bigint, n_b bigint, rep_a bigint, rep_b bigint",
+            p,
+        ).withColumnRenamed("key", "a")
+        right = set_data(docs, ends, "key binary, bits int", p)
+    else:
+        more = pairs.select(F.col("rep_a").alias("rep"), F.col("a").alias("key"), "bits")
+        right = written(set_data(docs, ends.union(more).distinct(), "key binary, bits int", p), "bitmaps")
+        left = pairs.join(right.withColumnRenamed("key", "a"), ["a", "bits"])
+    right = right.select(F.col("key").alias("b"), "bits", F.col("data").alias("other"))
+    met = left.join(right, ["b", "bits"])
 
     def check(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
+            columns = (batch.column(c) for c in ("data", "other", "n_a", "n_b"))
+            for x, y, n_a, n_b in zip(*columns):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= p.percent * (len(both) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = arrays.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
-    right = arrays.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return written(met.mapInArrow(check, "a binary, b binary"), "links")
-
-
-def near_pairs(classes: DataFrame) -> DataFrame:
-    """Each class with the smallest class that shares a band key."""
-    bands = classes.select("key", F.posexplode("bands").alias("band", "value"))
-    leaders = written(
-        bands.groupBy("band", "value").agg(F.min("key").alias("b"), F.max("key").alias("other")), "leaders"
+                if exact:
+                    both = np.concatenate([x, y])
+                    both.sort(kind="stable")
+                    shared = int((both[1:] == both[:-1]).sum())
+                    keep.append(100 * shared >= p.percent * (len(both) - shared))
+                else:
+                    n_a, n_b = n_a.as_py(), n_b.as_py()
+                    lack = int(np.bitwise_count(x & ~y).sum())
+                    extra = int(np.bitwise_count(y & ~x).sum())
+                    keep.append(min(n_a - lack, n_b - extra) >= p.needed(n_a + n_b))
+            yield batch.select(PAIR).filter(pa.array(keep, pa.bool_()))
+
+    return met.mapInArrow(check, "a binary, b binary, n_a bigint, n_b bigint, rep_a bigint, rep_b bigint")
+
+
+PAIR = ["a", "b", "n_a", "n_b", "rep_a", "rep_b"]
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: Params, likely: bool) -> DataFrame:
+    """The pairs ``a, b`` whose sorted arrays overlap enough.
+
+    Pairs that are not ``likely`` to link first pass wide bitmaps, an upper
+    bound from a sixteenth of the data.
+    """
+    of = classes.select("key", "n", "rep")
+    ends = [of.select(F.col("key").alias(e), F.col("n").alias(f"n_{e}"), F.col("rep").alias(f"rep_{e}")) for e in "ab"]
+    pairs = written(pairs.select("a", "b").distinct().join(ends[0], "a").join(ends[1], "b").select(PAIR), "pairs")
+    if not likely:
+        pairs = written(_verify(pairs, docs, p, exact=False), "bounded-pairs")
+    return written(_verify(pairs, docs, p, exact=True).select("a", "b").distinct(), "links")
+
+
+def near_pairs(classes: DataFrame, turn: int) -> DataFrame:
+    """Each class with the leader of every band value it shares, where they are in different groups.
+
+    ``classes`` holds ``key, bands, group``.  The leader is the first class in
+    a hash order that changes with ``turn``.
+    """
+    bands = classes.select("key", "group", F.posexplode("bands").alias("band", "value"))
+    first = F.struct(F.xxhash64(F.lit(turn), F.col("key")).alias("h"), F.col("key").alias("b"), F.col("group").alias("g"))
+    leaders = bands.groupBy("band", "value").agg(
+        F.min(first).alias("first"), F.min("group").alias("low"), F.max("group").alias("high")
     )
-    leaders = leaders.filter(F.col("b") != F.col("other")).drop("other")
-    pairs = bands.join(leaders, ["band", "value"]).filter(F.col("key") != F.col("b"))
+    leaders = written(leaders.filter(F.col("low") != F.col("high")).select("band", "value", "first.*"), "leaders")
+    pairs = bands.join(leaders, ["band", "value"]).filter(F.col("group") != F.col("g"))
     return pairs.select(F.col("key").alias("a"), "b")
 
 
+def near_links(classes: DataFrame, docs: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """Verified links found by leaders, and ``classes`` with the groups they form.
+
+    A member may miss one leader and meet the next, so a large group of near
+    copies is joined in a few turns, each with at most one comparison per band
+    and member.
+    """
+    grouped = classes.withColumn("group", F.col("key"))
+    links = None
+    for turn in range(p.rounds):
+        found = verified(near_pairs(grouped, turn), classes, docs, p, likely=True)
+        if links is not None and not found.limit(1).count():
+            break
+        links = found if links is None else links.unionByName(found)
+        labels = components(links).select(F.col("node").alias("key"), "label")
+        grouped = classes.join(labels, "key", "left").withColumn("group", F.coalesce("label", "key")).drop("label")
+        grouped = written(grouped, "grouped")
+    return links, grouped
+
+
 def tile_pairs(prefixes: DataFrame, grouped: DataFrame, p: Params) -> DataFrame:
     """Candidate pairs between different groups, from the tiles of shared prefix shingles."""
     met = written(
         prefixes.join(grouped.select("k1", "key", "group"), "k1").select("h", "key", "group"), "tile-members"
     )
-    mixed = met.groupBy("h").agg(F.min("group").alias("low"), F.max("group").alias("high"))
-    mixed = written(mixed.filter(F.col("low") != F.col("high")).select("h"), "mixed-tiles")
-    rows = met.join(mixed, "h").join(grouped.select("key", "n", "bits"), "key")
+    # Near copies share many shingles, so many tiles hold the same classes; one of each is enough.
+    same = [F.bit_xor(F.xxhash64(F.lit(k), F.col("key"))).alias(f"x{k}") for k in (1, 2)]
+    mixed = met.groupBy("h").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("m"), *same)
+    mixed = mixed.filter(F.col("low") != F.col("high")).groupBy("m", "x1", "x2").agg(F.min("h").alias("h"))
+    mixed = written(mixed.select("h"), "mixed-tiles")
+    own_tiles = written(met.join(mixed, "h"), "own-tiles")
+    # A pair belongs to the first tile it shares; the first few tiles of each class tell most repeats.
+    firsts = own_tiles.groupBy("key").agg(F.slice(F.sort_array(F.collect_list("h")), 1, FIRST_TILES).alias("firsts"))
+    of = grouped.select("key", "n", "bits").join(firsts, "key")
+    rows = own_tiles.join(written(of, "tile-classes"), "key")
     # Bands are as wide as the largest size ratio of a link, so a set meets its
     # own band and, as the larger one, the band below.
     home = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / p.percent)) + 1e-9)
@@ -311,37 +409,74 @@ def tile_pairs(prefixes: DataFrame, grouped: DataFrame, p: Params) -> DataFrame:
         {"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}
     )
 
-    def compare(tile: pa.Table) -> pa.Table:
-        tile = tile.sort_by("n")
-        n, own = tile.column("n").to_numpy(), ~tile.column("visits").to_numpy()
-        part = tile.column("mine").to_numpy()
-        crossing = tile.column("i")[0].as_py() != tile.column("j")[0].as_py()
-        keys = tile.column("key").combine_chunks()
-        group = tile.column("group").combine_chunks().dictionary_encode().indices.to_numpy()
-        bits = np.frombuffer(b"".join(tile.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
-        a, b = [], []
-        for i in range(len(n) - 1):
-            end = int(np.searchsorted(n, n[i] * 100 // p.percent, "right"))
-            rest = np.arange(i + 1, end)
-            rest = rest[(group[rest] != group[i]) & (own[rest] | own[i])]
-            if crossing:
-                rest = rest[part[rest] != part[i]]
-            if len(rest):
-                mine, theirs = bits[i], bits[rest]
-                lack = np.bitwise_count(mine & ~theirs).sum(axis=1).astype(np.int64)
-                extra = np.bitwise_count(theirs & ~mine).sum(axis=1).astype(np.int64)
-                most = np.minimum(n[i] - lack, n[rest] - extra)
-                rest = rest[most >= p.needed(n[i] + n[rest])]
-                a.append(np.full(len(rest), i))
-                b.append(rest)
-        a, b = (keys.take(pa.array(np.concatenate(c) if c else [], pa.int64())) for c in (a, b))
-        return pa.table({"a": a, "b": b}).group_by(["a", "b"]).aggregate([])
-
-    return rows.groupBy("h", "band", "i", "j").applyInArrow(compare, "a binary, b binary")
+    def pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """All pairs of a run of whole tiles that the sizes and bitmaps allow."""
+        if not len(t):
+            return
+        n, own = t.column("n").to_numpy(), ~t.column("visits").to_numpy()
+        part, crossing = t.column("mine").to_numpy(), t.column("i").to_numpy() != t.column("j").to_numpy()
+        keys = t.column("key").combine_chunks()
+        group = np.frombuffer(b"".join(t.column("group").to_pylist()), np.uint64).reshape(-1, 2)
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
+        tile = np.cumsum(_tile_starts(t)) - 1
+        here, lists = t.column("h").to_numpy(), t.column("firsts").combine_chunks()
+        size = pc.list_value_length(lists).to_numpy()
+        firsts = np.full((len(n), FIRST_TILES), np.iinfo(np.int64).max)
+        firsts[np.arange(FIRST_TILES) < size[:, None]] = lists.flatten().to_numpy()
+        firsts[firsts >= here[:, None]] = np.iinfo(np.int64).max  # only tiles before this one
+        # Rows are ordered by tile and size, so a row's partners are the next rows up to its size limit.
+        place = tile * (n.max() * 2 + 2) + n
+        ends = np.searchsorted(place, place - n + n * 100 // p.percent, "right")
+        counts = np.maximum(ends - np.arange(len(n)) - 1, 0)
+        total = np.concatenate([[0], np.cumsum(counts)])
+        begin = 0
+        while begin < len(n):
+            end = max(begin + 1, int(np.searchsorted(total, total[begin] + PAIRS_AT_ONCE, "right")) - 1)
+            a = np.repeat(np.arange(begin, end), counts[begin:end])
+            b = a + 1 + np.arange(len(a)) - np.repeat(total[begin:end] - total[begin], counts[begin:end])
+            ok = (group[a] != group[b]).any(axis=1) & (own[a] | own[b]) & (~crossing[a] | (part[a] != part[b]))
+            a, b = a[ok], b[ok]
+            met_before = np.zeros(len(a), bool)
+            for k in range(FIRST_TILES):
+                x = firsts[a, k]
+                met_before |= (x < here[a]) & (firsts[b] == x[:, None]).any(axis=1)
+            a, b = a[~met_before], b[~met_before]
+            lack = np.bitwise_count(bits[a] & ~bits[b]).sum(axis=1, dtype=np.int64)
+            extra = np.bitwise_count(bits[b] & ~bits[a]).sum(axis=1, dtype=np.int64)
+            ok = np.minimum(n[a] - lack, n[b] - extra) >= p.needed(n[a] + n[b])
+            found = pa.table({"a": keys.take(pa.array(a[ok])), "b": keys.take(pa.array(b[ok]))})
+            yield from found.group_by(["a", "b"]).aggregate([]).to_batches()
+            begin = end
+
+    def compare(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            last = int(np.flatnonzero(_tile_starts(held))[-1]) if len(held) else 0
+            if last:
+                yield from pairs_of(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None:
+            yield from pairs_of(held)
+
+    cut = ["h", "band", "i", "j"]
+    rows = rows.select(*cut, "n", "key", "group", "bits", "visits", "mine", "firsts")
+    rows = rows.repartition(*cut).sortWithinPartitions(*cut, "n", "key")
+    return rows.mapInArrow(compare, "a binary, b binary")
+
+
+def _tile_starts(t: pa.Table) -> np.ndarray:
+    """Whether each row of a table ordered by tile begins a tile."""
+    new = np.ones(len(t), bool)
+    cut = [t.column(c).to_numpy() for c in ("h", "band", "i", "j")]
+    new[1:] = np.any([c[1:] != c[:-1] for c in cut], axis=0)
+    return new
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
+    modest_batches(docs.sparkSession)
     sketch = written(sketches(docs, p), "sketches")
     members = sketch.filter(F.col("block").isNull()).select("doc_id", "key", "n", "bits", "bands")
     known = members.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
@@ -351,13 +486,9 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     k1 = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("bigint")
     classes = written(classes.select("key", k1.alias("k1"), "rep", "of.*"), "classes")
 
-    near = verified(near_pairs(classes), classes, docs, p)
-    groups = components(near).select(F.col("node").alias("key"), F.col("label").alias("label"))
-    grouped = classes.join(groups, "key", "left").withColumn("group", F.coalesce("label", "key")).drop("label")
-    grouped = written(grouped.select("key", "k1", "rep", "n", "bits", "group"), "grouped")
-
-    prefixes = written(shared_prefixes(docs, rarity_levels(sketch), p), "prefixes")
-    far = verified(tile_pairs(prefixes, grouped, p), classes, docs, p)
+    near, grouped = near_links(classes, docs, p)
+    prefixes = written(shared_prefixes(docs, rarity_levels(sketch, p), p), "prefixes")
+    far = verified(tile_pairs(prefixes, grouped, p), classes, docs, p, likely=False)
     labels = components(near.unionByName(far)).select(F.col("node").alias("key"), "label")
     named = classes.join(labels, "key", "left").select("key", "rep", F.coalesce("label", "key").alias("label"))
     named = written(named, "named")

@@ -448,7 +448,9 @@ def test_components_match_brute_force(spark, seed):
 
 def test_tiles_find_every_link_without_the_near_links(spark, monkeypatch):
     rows = near_rows(3)
-    monkeypatch.setattr(jaccard, "near_pairs", lambda c: c.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0))
+    monkeypatch.setattr(
+        jaccard, "near_pairs", lambda c, turn: c.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
+    )
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = brute_components(rows)
     for p in (jaccard.Params(), jaccard.Params(tile=4)):
