@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import SPACES, ascii_lower, body, boxed, hash128, let, unboxed
+from glyphmill.session import written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -48,8 +49,10 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     is a plain equi-join whose skewed partitions adaptive execution can split.
     """
     lines = line_keys(docs, min_chars)
+    # Written, so that both sides of the join are plain shuffles that can be split.
+    shared = written(shared_lines(lines, min_docs), "shared-lines")
     dropped = (
-        lines.join(shared_lines(lines, min_docs), ["h1", "h2"])
+        lines.join(shared, ["h1", "h2"])
         .filter(~F.col("id").eqNullSafe(F.col("keeper")))
         .groupBy("id", "version")
         .agg(F.collect_set("pos").alias("drop"))
