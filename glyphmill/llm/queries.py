@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm import balltree, divergence, jaccard, linededup, mixing, neighbours, pii, slackpack, urllists, warc
 from glyphmill.llm.sql import ORACLES as ORACLES
+from glyphmill.plans.sizing import global_rank, small_side
 from glyphmill.session import written
 from glyphmill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+# Further queries without a SQL twin.
+WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(f):
@@ -21,6 +24,11 @@ def query(f):
     return f
 
 
+def whole(f):
+    WHOLE[f.__name__] = f
+    return f
+
+
 @query
 def op1_distribution_divergence(spark, sf_dir):
     feats = written(divergence.features(table(spark, sf_dir, "documents")), "divergence")
@@ -107,23 +115,51 @@ LIST_ACTIONS = {
 }
 
 
-def list_entries(spark, sf_dir):
-    """An event whose id is a page's id changes a list for that page's host at the event's time."""
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("event_id"), urllists.host(F.col("url")).alias("pattern"))
-    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").alias("at"))
+def _changes(events):
+    """``events`` (pattern, event_type, at) as list entries."""
     changes = F.lit(None).cast("struct<list_name:string,kind:string,action:string>")
     for kind, (name, what, action) in LIST_ACTIONS.items():
         change = F.struct(F.lit(name).alias("list_name"), F.lit(what).alias("kind"), F.lit(action).alias("action"))
         changes = F.when(F.col("event_type") == kind, change).otherwise(changes)
-    return events.join(pages, "event_id").select("pattern", "at", changes.alias("c")).select("pattern", "at", "c.*")
+    return events.select("pattern", "at", changes.alias("c")).select("pattern", "at", "c.*")
 
 
-@query
-def op8_temporal_url_lists(spark, sf_dir):
+def list_entries(spark, sf_dir):
+    """An event whose id is a page's id changes a list for that page's host at the event's time."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("event_id"), urllists.host(F.col("url")).alias("pattern"))
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").alias("at"))
+    return _changes(events.join(pages, "event_id"))
+
+
+def all_list_entries(events, pages):
+    """Every event changes a list for one host: the distinct hosts in md5 order, taken in turn by event id."""
+    hosts = pages.select(urllists.host(F.col("url")).alias("pattern")).dropna().distinct()
+    hosts = hosts.select(F.lit(0).alias("all"), "pattern", F.md5(F.col("pattern").cast("binary")).alias("hex"))
+    hosts = written(global_rank(hosts, ["all"], "hex", ["pattern"], "rank", "n").select("pattern", "rank"), "hosts")
+    n = hosts.count()
+    place = F.pmod(F.coalesce("event_id", F.lit(0)), F.lit(max(n, 1))).cast("bigint")
+    events = events.select(place.alias("rank"), "event_type", F.col("ts").alias("at"))
+    return _changes(events.join(small_side(hosts, rows=n), "rank"))
+
+
+def _captures(spark, sf_dir):
     second = F.lit(1_704_067_200) + F.pmod(F.col("page_id") * 7919, F.lit(30 * 86_400))
     captures = table(spark, sf_dir, "pages").select("page_id", "url", second.alias("fetched"))
-    captures = captures.select("page_id", "url", F.timestamp_seconds("fetched").alias("fetch_time"))
-    judged = urllists.judge(captures, list_entries(spark, sf_dir))
-    return judged.select(
+    return captures.select("page_id", "url", F.timestamp_seconds("fetched").alias("fetch_time"))
+
+
+def _judged(captures, entries):
+    return urllists.judge(captures, entries).select(
         "page_id", "host", F.unix_seconds("fetch_time").alias("fetched"), "n_matches", "lists", "entry", "blocked"
     )
+
+
+@query
+def op8_temporal_url_lists(spark, sf_dir):
+    return _judged(_captures(spark, sf_dir), list_entries(spark, sf_dir))
+
+
+@whole
+def op8_temporal_url_lists_all_events(spark, sf_dir):
+    entries = all_list_entries(table(spark, sf_dir, "events"), table(spark, sf_dir, "pages"))
+    return _judged(_captures(spark, sf_dir), entries)
