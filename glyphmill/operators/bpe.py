@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -30,6 +31,7 @@ CHEAP_TOKENS = 2
 MAX_MERGES_PER_ROUND = 64
 ROUNDS_PER_CHECKPOINT = 5
 MEMO_WORDS = 500_000
+LOCAL_PRETOKENS = 250_000
 
 
 @dataclass(frozen=True)
@@ -137,16 +139,23 @@ def train_bpe(
     freq: DataFrame,
     vocab_size: int = VOCAB_SIZE,
     merges_per_round: int = MAX_MERGES_PER_ROUND,
+    local_pretokens: int = 0,
 ) -> Bpe:
     """Learn merges from ``(pretoken, n)`` up to ``vocab_size`` entries.
 
     Pairs are ranked by count, then by the smaller ids.  A round takes the head
     of the ranking that is safe to merge at once, so the merges equal those of
-    one-by-one training.  Only that head comes to the driver.
+    one-by-one training.  Only that head comes to the driver, unless at most
+    ``local_pretokens`` counted pre-tokens are merged there, with equal results.
     """
     merges: list[tuple[int, int]] = []
     wanted = vocab_size - bl.FIRST_MERGE
     table = _kept(symbol_table(freq).filter(F.col("symbols").contains("  ")))
+    if local_pretokens and fits(table, local_pretokens):
+        rows = table.select(bl.symbol_ids(F.col("symbols")).alias("ids"), "n").toLocalIterator()
+        merges = _merges_of_counted([(list(r["ids"]), r["n"]) for r in rows], wanted)
+        table.unpersist()
+        return Bpe(tuple(merges))
     counts = _kept(pair_counts(table))
     old: list[DataFrame] = []
     rounds = 0
@@ -174,6 +183,64 @@ def train_bpe(
     return Bpe(tuple(merges))
 
 
+def _merges_of_counted(words: list[tuple[list[int], int]], wanted: int) -> list[tuple[int, int]]:
+    """One-by-one training on ``(ids, n)``.
+
+    Each change of a pair's count enters the heap, so an entry that differs
+    from the count is out of date and skipped.
+    """
+    counts: Counter[tuple[int, int]] = Counter()
+    holders: dict[tuple[int, int], set[int]] = defaultdict(set)
+    for at, (ids, n) in enumerate(words):
+        for pair in zip(ids, ids[1:]):
+            counts[pair] += n
+            holders[pair].add(at)
+    heap = [(-n, pair) for pair, n in counts.items()]
+    heapq.heapify(heap)
+    merges: list[tuple[int, int]] = []
+    while heap and len(merges) < wanted:
+        n, pair = heapq.heappop(heap)
+        if counts.get(pair) != -n:
+            continue
+        new, changed = bl.FIRST_MERGE + len(merges), set()
+        merges.append(pair)
+        for at in holders.pop(pair):
+            ids, n = words[at]
+            merged = _replaced(ids, pair, new)
+            for p in zip(ids, ids[1:]):
+                counts[p] -= n
+                changed.add(p)
+            after = set(zip(merged, merged[1:]))
+            for p in zip(merged, merged[1:]):
+                counts[p] += n
+                changed.add(p)
+            for p in set(zip(ids, ids[1:])) - after:
+                holders[p].discard(at)
+            for p in after:
+                holders[p].add(at)
+            words[at] = (merged, n)
+        for p in changed:
+            if counts[p] > 0:
+                heapq.heappush(heap, (-counts[p], p))
+            else:
+                del counts[p]
+                holders.pop(p, None)
+    return merges
+
+
+def _replaced(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
+    """``ids`` with every ``pair`` replaced, leftmost first."""
+    out, i = [], 0
+    while i < len(ids):
+        if ids[i] == pair[0] and i + 1 < len(ids) and ids[i + 1] == pair[1]:
+            out.append(new)
+            i += 2
+        else:
+            out.append(ids[i])
+            i += 1
+    return out
+
+
 def _kept(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 

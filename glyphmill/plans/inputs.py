@@ -9,6 +9,9 @@ conversations  chat turns, and free text that matches no diagram
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,19 @@ QUERY_MERGES = 16
 
 _memo: dict[tuple, object] = {}
 
+# Whether queries are built on the vocabulary of full size; see ``full_size``.
+_full: ContextVar[bool] = ContextVar("full", default=False)
+
+
+@contextmanager
+def full_size():
+    """Queries built inside use a vocabulary of ``VOCAB_SIZE`` entries from the mixed corpus."""
+    before = _full.set(True)
+    try:
+        yield
+    finally:
+        _full.reset(before)
+
 
 def _once(spark: SparkSession, sf_dir: str, name: str, build):
     """Lexicon tables and vocabulary are built once per session and folder."""
@@ -82,6 +98,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> bp.Bpe:
+    if _full.get():
+        return _once(spark, sf_dir, "full bpe", lambda: full_vocabulary(spark, sf_dir))
     return _once(
         spark,
         sf_dir,
@@ -92,6 +110,16 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> bp.Bpe:
     )
 
 
+def full_vocabulary(spark: SparkSession, sf_dir: str) -> bp.Bpe:
+    """``VOCAB_SIZE`` entries trained on the tokenizer lines of all candidate words and the documents."""
+    candidates = _once(
+        spark, sf_dir, "kit", lambda: pairs.build_kit(lexicon_words(spark, sf_dir), grammar(spark))
+    )
+    made = pairs.generate_pairs(order_ids(spark, sf_dir), candidates)
+    mixed = pairs.mixed_corpus(pairs.tokenizer_lines(candidates.pool, made), documents(spark, sf_dir))
+    return bp.train_bpe(bp.pretoken_frequencies(mixed), local_pretokens=bp.LOCAL_PRETOKENS)
+
+
 def token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, split, ids)`` with the end-of-text id."""
     encoded = packing.split_docs(documents(spark, sf_dir)).select(

@@ -655,3 +655,25 @@ def unmatched_prompts(spark, sf_dir):
     )
     matched = synthesize.synthesize(prompts, kit.phrases, _shapes(spark), "key")
     return synthesize.unmatched(prompts, matched, "key").select("key", "reason")
+
+
+# -- the vocabulary of full size -------------------------------------------------------------------
+
+
+def _full_size(f: Query) -> Query:
+    def build(spark, sf_dir):
+        with i.full_size():
+            return f(spark, sf_dir)
+
+    return build
+
+
+# Queries that use the vocabulary, trained to its full size on the mixed corpus.
+# SQL cannot repeat that many merges, so these have no twin.
+FULL_VOCABULARY = (
+    "append_eot bpe_decode bpe_encode bpe_train cheap_costly_words cheap_word_pairs conversation_encode "
+    "dynamic_padding epoch_batches instruction_encode lexicon_token_cost_filter next_token_pairs pack_blocks "
+    "padding_waste_report prefix_token_audit scored_token_share split_token_totals stream_tokenize "
+    "token_cost_report token_shards vocab_bounds_check vocab_tables"
+).split()
+FULL: dict[str, Query] = {f"full_{name}": _full_size(QUERIES[name]) for name in FULL_VOCABULARY}
