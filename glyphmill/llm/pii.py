@@ -2,13 +2,14 @@
 
 Base spans come from four patterns with their validity checks.  High-recall
 generators propose more spans, which may overlap; gradient-boosted trees score
-each by its format and context, and a threshold calibrated on held-out
-candidates selects those that are redacted as well.
+each by its format and context, and a threshold calibrated on the candidates
+held out of all documents selects those that are redacted as well.
 
 Everything on the path of the documents is DataFrame expressions: patterns run
 in the JVM, positions are prefix sums of piece lengths, and the trees become
-nested conditions.  Trees are fitted by Spark's own boosting on at most
-``max_candidates`` candidates.  Their labels are weak: a candidate is positive
+nested conditions.  Trees are fitted by Spark's own boosting on about
+``max_candidates`` candidates at most, an equal share for each generator and
+label; thresholds come from the candidates of all documents.  Their labels are weak: a candidate is positive
 if it overlaps a base span or is a long mixed value assigned to a secret's name.
 
 * Positions count code points; ends are exclusive.  A null text is empty.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier
@@ -50,6 +52,7 @@ SECRET_NAMES = r"(?i)(?:token|key|secret|passw(?:or)?d|pwd|credential)s?\s*[=:]\
 CUES = r"(?i)(?:mail|phone|tel|call|fax|card|visa|ssn|iban|account|passport|address)\W*$"
 CONTEXT = 24
 CHUNK = 1000
+SHARES = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -204,8 +207,8 @@ def _candidates(text: Column, generator: str) -> Column:
     )
 
 
-def labelled_candidates(docs: DataFrame, p: Params) -> DataFrame:
-    """``generator, f, y, tested`` of at most ``max_candidates`` candidates, in hash order of place and text."""
+def labelled_candidates(docs: DataFrame) -> DataFrame:
+    """``generator, f, y, place, tested`` of every candidate; ``place`` is a hash of its place and text."""
     df = docs.select("doc_id", body("text").alias("text"))
     df = df.withColumn("base", F.concat(*base_spans(F.col("text")).values()))
     df = df.withColumn("mark", F.xxhash64("doc_id", "text"))
@@ -219,10 +222,22 @@ def labelled_candidates(docs: DataFrame, p: Params) -> DataFrame:
     y = F.when(_overlaps(F.col("c"), F.col("base")) | secret, 1.0).otherwise(0.0)
     place = F.xxhash64("mark", "generator", "c.start")
     rows = rows.select("generator", "c.f", y.alias("y"), place.alias("place"))
-    rows = rows.orderBy("place", "generator").limit(p.max_candidates)
     return rows.withColumn("tested", F.pmod("place", F.lit(3)) == 0)
 
 
+def in_sample(rows: DataFrame, p: Params) -> Column:
+    """Whether a candidate trains the trees: of those not tested an equal bound per generator and label, by hash."""
+    most = p.max_candidates / (2 * len(GENERATORS))
+    # At most two counts a generator reach the driver.
+    counts = rows.filter(~F.col("tested")).groupBy("generator", "y").agg(F.count("*").alias("n")).collect()
+    share = F.lit(0.0)
+    for r in counts:
+        same = (F.col("generator") == r["generator"]) & (F.col("y") == r["y"])
+        share = F.when(same, min(1.0, most / r["n"])).otherwise(share)
+    drawn = F.pmod(F.xxhash64("place", F.lit("fit")), F.lit(SHARES))
+    return ~F.col("tested") & (drawn < F.ceil(share * SHARES))
+
+
 def _parse_tree(lines: list[str]):
     """A tree from its printed form: ``If (feature i <= x)``, the branch, ``Else ...``, the branch, ``Predict: v``."""
     line = lines.pop(0).strip()
@@ -250,9 +265,13 @@ def score(trees: tuple, f: Column) -> Column:
 
 
 def fit(docs: DataFrame, p: Params = Params()) -> Model:
-    """Boosted trees, and per generator the lowest threshold of the wanted precision on held-out candidates."""
-    sample = labelled_candidates(docs, p).checkpoint() if _can_checkpoint(docs) else labelled_candidates(docs, p).cache()
-    train = sample.filter(~F.col("tested")).select(array_to_vector("f").alias("features"), F.col("y").alias("label"))
+    """Boosted trees of a sample, and per generator the lowest threshold of the wanted precision on all candidates."""
+    rows = labelled_candidates(docs)
+    rows = rows.withColumn("trained", in_sample(rows, p))
+    sample = rows.filter("trained").select("generator", "f", "y", "place")
+    sample = sample.checkpoint() if _can_checkpoint(docs) else sample.cache()
+    # In order of place, so that the trees do not depend on the partitions.
+    train = sample.orderBy("place", "generator").select(array_to_vector("f").alias("features"), F.col("y").alias("label"))
     labels = train.agg(F.min("label"), F.max("label")).first()
     if labels[0] == labels[1]:
         return Model()
@@ -262,17 +281,35 @@ def fit(docs: DataFrame, p: Params = Params()) -> Model:
         (w, _parse_tree(t.toDebugString.strip().split("\n")[1:])) for w, t in zip(fitted.treeWeights, fitted.trees)
     )
     step = F.floor(score(trees, F.col("f")) * 100) / 100
-    # At most 101 steps a generator reach the driver.
-    found = sample.filter("tested").groupBy("generator", step.alias("step"))
-    rows = found.agg(F.count("*").alias("n"), F.sum("y").alias("good")).orderBy(F.desc("step")).collect()
+    # At most 101 steps a generator, label and side of the sample reach the driver.
+    found = rows.groupBy("generator", "y", "trained", step.alias("step")).agg(F.count("*").alias("n")).collect()
+    return Model(trees, _thresholds([r.asDict() for r in found], p))
+
+
+def _thresholds(found: list[dict], p: Params) -> dict:
+    """Lowest step of the wanted precision, per generator.
+
+    Candidates that trained the trees are stood for by the others of their
+    generator and label, weighted up to the count of all; they count themselves
+    only where there are no others.
+    """
+    weighted = defaultdict(lambda: [0.0, 0.0])
+    for group in {(r["generator"], r["y"]) for r in found}:
+        rows = [r for r in found if (r["generator"], r["y"]) == group]
+        held = [r for r in rows if not r["trained"]] or rows
+        weight = sum(r["n"] for r in rows) / sum(r["n"] for r in held)
+        for r in held:
+            both = weighted[r["generator"], r["step"]]
+            both[0] += weight * r["n"]
+            both[1] += weight * r["n"] * r["y"]
     thresholds = {}
     for g in GENERATORS:
-        n = good = 0
-        for r in (r for r in rows if r["generator"] == g):
-            n, good = n + r["n"], good + r["good"]
-            if r["step"] >= 0.5 and good >= p.precision * n:
-                thresholds[g] = r["step"]
-    return Model(trees, thresholds)
+        n = good = 0.0
+        for step in sorted((s for kind, s in weighted if kind == g), reverse=True):
+            n, good = n + weighted[g, step][0], good + weighted[g, step][1]
+            if step >= 0.5 and good >= p.precision * n:
+                thresholds[g] = step
+    return thresholds
 
 
 def _can_checkpoint(df: DataFrame) -> bool:

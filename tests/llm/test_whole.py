@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import defaultdict
 from datetime import datetime, timezone
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as driver
-from glyphmill.llm import queries, urllists
+from glyphmill.llm import pii, queries, urllists
 
 
 # -- 8: list entries from all events ----------------------------------------------
@@ -47,3 +50,48 @@ def test_every_event_makes_a_list_entry(spark, sf_dir):
         assert row["blocked"] == ("block" in kinds and "allow" not in kinds)
         states.add((p["host"], row["lists"]))
     assert len(states) > len(hosts)
+
+
+# -- 4: thresholds over all candidates ---------------------------------------------
+
+
+def numbers_and_secrets(spark, secrets=40, plain=600, numbers=30):
+    """Texts rich in numbers, few of which hold a secret."""
+    rng = random.Random(3)
+    texts = []
+    for i in range(plain):
+        words = " ".join(f"{rng.randint(1, 28)}.{rng.randint(1, 12)} for {rng.randint(100, 999)}" for _ in range(numbers))
+        if i < secrets:
+            words += ' token = "' + "".join(rng.choice("abcdef0123456789") for _ in range(40)) + '"'
+        elif i < 2 * secrets:
+            words += " mode = " + "".join(rng.choice("ghijkl") for _ in range(14))
+        texts.append((i, f"{words} +1 (168) 555-{rng.randint(1000, 9999)}"))
+    return spark.createDataFrame(texts, "doc_id bigint, text string")
+
+
+def test_a_rare_kind_keeps_its_threshold_beside_many_numbers(spark):
+    docs = numbers_and_secrets(spark).cache()
+    p = pii.Params(max_candidates=300)
+    model = pii.fit(docs, p)
+    assert "secret" in model.thresholds
+    added = pii.find(docs, model).filter(F.exists("added", lambda s: s["kind"] == "secret"))
+    assert sorted(r["doc_id"] for r in added.select("doc_id").collect()) == list(range(40))
+
+
+def test_the_sample_is_bounded_and_thresholds_count_every_candidate(spark):
+    docs = numbers_and_secrets(spark)
+    p = pii.Params(max_candidates=300)
+    rows = pii.labelled_candidates(docs)
+    sample = rows.filter(pii.in_sample(rows, p)).groupBy("generator", "y").count().collect()
+    assert {(r["generator"], r["y"]) for r in sample} >= {("number", 0.0), ("number", 1.0), ("secret", 0.0), ("secret", 1.0)}
+    assert all(r["count"] <= 100 for r in sample)
+    # The trained ones are stood for by the rest; a group that was trained on as a whole counts itself.
+    found = [
+        {"generator": "secret", "y": 1.0, "trained": True, "step": 0.9, "n": 2},
+        {"generator": "secret", "y": 0.0, "trained": False, "step": 0.1, "n": 9},
+        {"generator": "number", "y": 1.0, "trained": True, "step": 0.9, "n": 50},
+        {"generator": "number", "y": 1.0, "trained": False, "step": 0.9, "n": 49},
+        {"generator": "number", "y": 0.0, "trained": False, "step": 0.9, "n": 1},
+        {"generator": "number", "y": 0.0, "trained": False, "step": 0.7, "n": 1},
+    ]
+    assert pii._thresholds(found, p) == {"secret": 0.9, "number": 0.9}
