@@ -10,10 +10,11 @@ in the JVM, positions are prefix sums of piece lengths, and the trees become
 nested conditions.  Trees are fitted by Spark's own boosting on about
 ``max_candidates`` candidates at most, an equal share for each generator and
 label; thresholds come from the candidates of all documents.  Their labels are weak: a candidate is positive
-if it overlaps a base span or is a long mixed value assigned to a secret's name.
+if it overlaps a base span, or by evidence of its own (``_evidence``).
 
 * Positions count code points; ends are exclusive.  A null text is empty.
-* Base spans always stay.  A selected candidate that overlaps one adds nothing.
+* Base spans always stay.  A selected candidate that overlaps one adds nothing,
+  except an address of which the base span is a part.
 * Without candidates, or with one kind of label only, no span is added.
 * Repeated rows get equal spans; an empty table gives an empty result.
 """
@@ -50,6 +51,11 @@ GENERATORS = {
 }
 SECRET_NAMES = r"(?i)(?:token|key|secret|passw(?:or)?d|pwd|credential)s?\s*[=:]\s*[\"']?$"
 CUES = r"(?i)(?:mail|phone|tel|call|fax|card|visa|ssn|iban|account|passport|address)\W*$"
+# Evidence that does not depend on the base patterns.  National
+# phone and id numbers in their groups, and addresses at an internationalised
+# host or with a name of any letters.
+NATIONAL = r"^(?:\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4})$"
+ANY_ADDRESS = r"^[^\s@]*[\p{L}\p{N}][^\s@]*@(?:[\p{L}\p{N}][\p{L}\p{N}-]*\.)+\p{L}{2,}\W*$"
 CONTEXT = 24
 CHUNK = 1000
 SHARES = 1 << 30
@@ -193,6 +199,8 @@ def _features(text: Column, span: Column, generator: str) -> Column:
         flag(F.regexp_like(before, F.lit(SECRET_NAMES))),
         flag(F.regexp_like(before, F.lit(CUES))),
         *[F.lit(float(g == generator)) for g in GENERATORS],
+        flag(F.regexp_like(value, F.lit(NATIONAL))),
+        flag(F.regexp_like(value, F.lit(ANY_ADDRESS))),
     )
 
 
@@ -200,6 +208,45 @@ def _overlaps(span: Column, spans: Column) -> Column:
     return F.exists(spans, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
 
 
+def _evidence(generator: Column, f: Column) -> Column:
+    """Whether a candidate is personal data by its own form and the words before it.
+
+    Positions are those of ``_features``: a long mixed value assigned to a
+    secret's name; a number in national groups, or of 7 to 19 digits after a
+    cue word; an address with a name and a dotted host of any letters.
+    """
+
+    def at(i: int) -> Column:
+        return F.get(f, F.lit(i))
+
+    mixed = (at(1) >= 4) & (at(2) >= 4) & (at(0) >= 16)
+    number = (at(14) == 1) | ((at(10) == 1) & at(1).between(7, 19))
+    return (
+        (mixed & (at(9) == 1))
+        | ((generator == "number") & number)
+        | ((generator == "address") & (at(15) == 1))
+    )
+
+
+def _adds(text: Column, span: Column, generator: str, base: Column) -> Column:
+    """Whether a selected candidate redacts more than the base spans.
+
+    One that overlaps a base span adds something only if it is an address whose
+    name or host the base span cuts, as in ``jörg@example.com``.
+    """
+    if generator != "address":
+        return ~_overlaps(span, base)
+    met = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+
+    def cut(spans: Column) -> Column:
+        first, last = F.array_min(F.transform(spans, lambda b: b["start"])), F.array_max(F.transform(spans, lambda b: b["end"]))
+        before = F.substring(text, span["start"] + 1, F.greatest(first - span["start"], F.lit(0)))
+        after = F.substring(text, last + 1, F.greatest(span["end"] - last, F.lit(0)))
+        return (F.size(spans) == 0) | F.regexp_like(F.concat(before, F.lit(" "), after), F.lit(r"[\p{L}\p{N}]"))
+
+    return let(met, cut)
+
+
 def _candidates(text: Column, generator: str) -> Column:
     return F.transform(
         matches(text, GENERATORS[generator]),
@@ -217,9 +264,8 @@ def labelled_candidates(docs: DataFrame) -> DataFrame:
         for g in GENERATORS
     ]
     rows = sets[0].unionByName(sets[1]).unionByName(sets[2])
-    mixed = (F.get("c.f", F.lit(1)) >= 4) & (F.get("c.f", F.lit(2)) >= 4) & (F.get("c.f", F.lit(0)) >= 16)
-    secret = mixed & (F.get("c.f", F.lit(9)) == 1)
-    y = F.when(_overlaps(F.col("c"), F.col("base")) | secret, 1.0).otherwise(0.0)
+    positive = _overlaps(F.col("c"), F.col("base")) | _evidence(F.col("generator"), F.col("c.f"))
+    y = F.when(positive, 1.0).otherwise(0.0)
     place = F.xxhash64("mark", "generator", "c.start")
     rows = rows.select("generator", "c.f", y.alias("y"), place.alias("place"))
     return rows.withColumn("tested", F.pmod("place", F.lit(3)) == 0)
@@ -335,7 +381,7 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
     added = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     for i, (g, least) in enumerate(model.thresholds.items()):
         strong = F.filter(_candidates(F.col("text_"), g), lambda c: let(c["f"], lambda f: score(model.trees, f)) >= least)
-        fresh = F.filter(strong, lambda c: ~_overlaps(c, F.col("base_")))
+        fresh = F.filter(strong, lambda c: _adds(F.col("text_"), c, g, F.col("base_")))
         added = F.concat(added, shaped(fresh, g, len(KINDS) + i))
     return unboxed(rows, docs.columns, base=F.col("base_"), added=F.sort_array(added))
 

@@ -95,3 +95,46 @@ def test_the_sample_is_bounded_and_thresholds_count_every_candidate(spark):
         {"generator": "number", "y": 0.0, "trained": False, "step": 0.7, "n": 1},
     ]
     assert pii._thresholds(found, p) == {"secret": 0.9, "number": 0.9}
+
+
+def test_each_generator_adds_what_the_base_patterns_miss(spark):
+    rng = random.Random(5)
+    letters = "abcdefghiklmnoprstu"
+
+    def name():
+        return "".join(rng.choice(letters) for _ in range(6))
+
+    texts = []
+    for i in range(600):
+        a, b, c = rng.randint(200, 999), rng.randint(200, 999), rng.randint(1000, 9999)
+        texts.append(f"chapter {rng.randint(1, 99)}.{i}, {c} of {a * b} lines, @{name()} said x@{name()} on {c}-{b % 12 + 1}-11")
+        texts.append(f"write {name()}@{name()}.com or +1 ({a}) 555-{c}; from {a} to {b}")
+        texts.append(f'set token = "{rng.randbytes(20).hex()}" here, mode = {name()}{name()}{name()}')
+        if i % 3 == 0:
+            texts.append(f"call me: ({a}) {b}-{c} or {a}-{b}-{c}, id {a}-{c % 90 + 10}-{c} now")
+            texts.append(f"mail jörg.{name()}@{name()}.com, {name()}@müller-{name()}.de ok")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = pii.fit(docs)
+    assert set(model.thresholds) == set(pii.GENERATORS)
+    probe = [
+        "phone (555) 123-4567 and id 123-45-6789 here",
+        "reach jörg@example.com today",
+        "reach anna@bücher.de today",
+        "reach anna@example.com, or",
+        'my token = "0401e44b4045d5b7fc925af2d5b1396433e9ee50" ok',
+        "from 200 to 310, lines 12 of 4000",
+    ]
+    rows = spark.createDataFrame(list(enumerate(probe)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in pii.find(rows, model).collect()}
+    added = [[(s["kind"], probe[i][s["start"] : s["end"]]) for s in found[i]["added"]] for i in range(len(probe))]
+    assert added == [
+        [("number", "(555) 123-4567"), ("number", "123-45-6789")],
+        [("address", "jörg@example.com")],
+        [("address", "anna@bücher.de")],
+        [],
+        [("secret", "0401e44b4045d5b7fc925af2d5b1396433e9ee50")],
+        [],
+    ]
+    assert [s["kind"] for s in found[1]["base"]] == ["email"]
+    done = {r["doc_id"]: r["redacted"] for r in pii.redact(rows, model).collect()}
+    assert done[1] == "reach [address] today" and done[3] == "reach [email], or"
