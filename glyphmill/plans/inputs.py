@@ -34,7 +34,7 @@ _full: ContextVar[bool] = ContextVar("full", default=False)
 
 @contextmanager
 def full_size():
-    """Queries built inside use a vocabulary of ``VOCAB_SIZE`` entries from the mixed corpus."""
+    """Queries built inside use a vocabulary of ``VOCAB_SIZE`` entries from the mixed corpus, and a kit built with it."""
     before = _full.set(True)
     try:
         yield
@@ -68,7 +68,27 @@ def lexicon_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.merge_words(packaged, part.select("w.kind", "w.word"), events)
 
 
+def kit_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that fill slots: at full size only those the vocabulary handles cheaply."""
+    words = lexicon_words(spark, sf_dir)
+    return bp.filter_by_cost(words, vocabulary(spark, sf_dir)) if _full.get() else words
+
+
 def kit(spark: SparkSession, sf_dir: str) -> pairs.PairKit:
+    """At full size, from cheap words and with fragments of the vocabulary."""
+    if not _full.get():
+        return candidate_kit(spark, sf_dir)
+
+    def build():
+        vocab, _ = bp.vocab_tables(spark, vocabulary(spark, sf_dir))
+        fragments = lexicon.vocab_fragments(vocab.filter(F.col("kind") != "special"))
+        return pairs.build_kit(kit_words(spark, sf_dir), grammar(spark), fragments)
+
+    return _once(spark, sf_dir, "full kit", build)
+
+
+def candidate_kit(spark: SparkSession, sf_dir: str) -> pairs.PairKit:
+    """From all candidate words, with packaged fragments."""
     return _once(
         spark, sf_dir, "kit", lambda: pairs.build_kit(lexicon_words(spark, sf_dir), grammar(spark))
     )
@@ -112,9 +132,7 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> bp.Bpe:
 
 def full_vocabulary(spark: SparkSession, sf_dir: str) -> bp.Bpe:
     """``VOCAB_SIZE`` entries trained on the tokenizer lines of all candidate words and the documents."""
-    candidates = _once(
-        spark, sf_dir, "kit", lambda: pairs.build_kit(lexicon_words(spark, sf_dir), grammar(spark))
-    )
+    candidates = candidate_kit(spark, sf_dir)
     made = pairs.generate_pairs(order_ids(spark, sf_dir), candidates)
     mixed = pairs.mixed_corpus(pairs.tokenizer_lines(candidates.pool, made), documents(spark, sf_dir))
     return bp.train_bpe(bp.pretoken_frequencies(mixed), local_pretokens=bp.LOCAL_PRETOKENS)

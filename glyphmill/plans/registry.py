@@ -315,17 +315,17 @@ def split_token_totals(spark, sf_dir):
 
 @query
 def label_pools(spark, sf_dir):
-    return lexicon.label_pools(i.lexicon_words(spark, sf_dir))
+    return lexicon.label_pools(i.kit_words(spark, sf_dir))
 
 
 @query
 def pool_value_split(spark, sf_dir):
-    return lexicon.split_pools(lexicon.label_pools(i.lexicon_words(spark, sf_dir)))
+    return lexicon.split_pools(lexicon.label_pools(i.kit_words(spark, sf_dir)))
 
 
 @query
 def lexicon_report(spark, sf_dir):
-    return lexicon.lexicon_report(lexicon.split_pools(lexicon.label_pools(i.lexicon_words(spark, sf_dir))))
+    return lexicon.lexicon_report(lexicon.split_pools(lexicon.label_pools(i.kit_words(spark, sf_dir))))
 
 
 @query
@@ -676,4 +676,12 @@ FULL_VOCABULARY = (
     "padding_waste_report prefix_token_audit scored_token_share split_token_totals stream_tokenize "
     "token_cost_report token_shards vocab_bounds_check vocab_tables"
 ).split()
-FULL: dict[str, Query] = {f"full_{name}": _full_size(QUERIES[name]) for name in FULL_VOCABULARY}
+# Queries that use the pools and fragments: the kit is built with that vocabulary.
+FULL_KIT = (
+    "axis_costs axis_sets corrupted_outputs diagram_openers diagram_skeleton generate_pairs label_pools "
+    "lexicon_report metric_self_check miss_examples normalize_code novel_slots novel_spans pair_mix_report "
+    "pairs_json_roundtrip pool_novel_gap pool_value_split reassemble_output render_pairs sample_slots "
+    "sanitize_diagrams shape_accuracy shape_match slot_metrics slot_outcomes split_leakage_audit stage_audit "
+    "stream_pairs synthesize_diagrams title_case_warning unmatched_prompts"
+).split()
+FULL: dict[str, Query] = {f"full_{name}": _full_size(QUERIES[name]) for name in FULL_VOCABULARY + FULL_KIT}

@@ -84,3 +84,23 @@ def test_full_queries_use_the_full_vocabulary(spark, sf_dir):
     assert len(all_kept) > len(kept)
     examples = driver.queries()["full_instruction_encode"](spark, sf_dir).collect()
     assert examples
+
+
+def test_full_kit_takes_cheap_words_and_fragments_of_the_vocabulary(spark, sf_dir):
+    with inputs.full_size():
+        kit, bpe = inputs.kit(spark, sf_dir), inputs.vocabulary(spark, sf_dir)
+    shown = (t.replace("Ġ", "") for t in bpe.tokens()[bl.FIRST_BYTE :])
+    assert set(kit.fragments) == {t.lower() for t in shown if t.isalpha() and 2 <= len(t) <= 9}
+    assert kit.fragments != inputs.kit(spark, sf_dir).fragments
+    words = inputs.lexicon_words(spark, sf_dir)
+    cheap = {r["word"] for r in bp.filter_by_cost(words, bpe).collect()}
+    values = {r["value"] for r in driver.queries()["full_label_pools"](spark, sf_dir).collect()}
+    assert {w for v in values for w in v.split(" ")} == cheap
+    assert {r["value"] for r in kit.pool.select("value").collect()} == values
+    # A costly word leaves the pools.
+    costly = words.limit(0).union(spark.createDataFrame([("object", "Xqzjvwkqxz"), ("object", "Cup")], words.schema))
+    assert {r["word"] for r in bp.filter_by_cost(costly, bpe).collect()} <= {"Cup"}
+    spans = driver.queries()["full_novel_spans"](spark, sf_dir).collect()
+    assert spans and spans != driver.queries()["novel_spans"](spark, sf_dir).collect()
+    made = driver.queries()["full_generate_pairs"](spark, sf_dir)
+    assert made.filter("novel").count() > 0
