@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import balltree, divergence, jaccard, linededup, mixing, neighbours, pii, slackpack, urllists, warc
+from glyphmill.llm import (
+    balltree,
+    divergence,
+    jaccard,
+    limbcodes,
+    linededup,
+    mixing,
+    neighbours,
+    pii,
+    slackpack,
+    urllists,
+    warc,
+)
 from glyphmill.llm.sql import ORACLES as ORACLES
 from glyphmill.plans.sizing import global_rank, small_side
 from glyphmill.session import written
@@ -105,6 +117,11 @@ def op7_warc_bundles(spark, sf_dir):
     return warc.read_bundles(warc.archive(table(spark, sf_dir, "pages")))
 
 
+@query
+def op13_limb_codes(spark, sf_dir):
+    return limbcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
 # What an event reported on a page does to the dated lists.
 LIST_ACTIONS = {
     "error": ("malware", "block", "add"),

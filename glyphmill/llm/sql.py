@@ -25,6 +25,49 @@ def _jsd(p: str, q: str) -> str:
     )
 
 
+def _code_rounds(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
+    """Assignment and means, unrolled; integer dot products in doubles are exact at these sizes."""
+    steps = [
+        f"""k AS (
+  SELECT vec_id, label, v, len(v) // {parts} AS w, row_number() OVER (ORDER BY vec_id, v) AS rn FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+), x AS MATERIALIZED (
+  SELECT rn, p, v[w * p + 1:w * p + w] AS s FROM k, range({parts}) r(p)
+), c0 AS MATERIALIZED (
+  SELECT p, rn - 1 AS e, s, list_inner_product(s, s) AS cc FROM x WHERE rn <= {entries}
+)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT rn, p, min({{'d': cc - 2 * list_inner_product(x.s, c.s), 'e': e}}) AS best
+  FROM x JOIN c{i} c USING (p) GROUP BY rn, p
+)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (
+  SELECT p, e, list(m ORDER BY pos) AS s FROM (
+    SELECT p, e, pos, floor(sum(u) / count(*)) AS m FROM (
+      SELECT p, best.e AS e, unnest(s) AS u, generate_subscripts(s, 1) AS pos FROM a{i} JOIN x USING (rn, p))
+    GROUP BY p, e, pos) GROUP BY p, e
+), c{i + 1} AS MATERIALIZED (
+  SELECT p, e, n.s, list_inner_product(n.s, n.s) AS cc
+  FROM (SELECT p, e, coalesce(m.s, c.s) AS s FROM c{i} c LEFT JOIN m{i} m USING (p, e)) n
+)""")
+    last = f"c{rounds}"
+    return f"""
+WITH {", ".join(steps)}, final AS (
+  SELECT rn, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code,
+         sum(best.d + list_inner_product(s, s))::BIGINT AS error
+  FROM a{rounds} JOIN x USING (rn, p) GROUP BY rn
+), book AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(s, lambda u: u::BIGINT), ','), ',' ORDER BY p, e)) AS digest
+  FROM {last}
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, digest AS codebooks_sha256
+FROM k JOIN final USING (rn), book
+"""
+
+
 _N_CLASSES, _N_WORDS = 8, 13
 
 ORACLES = {
@@ -158,6 +201,7 @@ SELECT page_id, CASE WHEN length(h) BETWEEN 1 AND 253 THEN h END AS host, second
        coalesce(n, 0) AS n_matches, coalesce(lists, '') AS lists, entry, coalesce(blocked, false) AS blocked
 FROM c LEFT JOIN found USING (page_id)
 """,
+    "op13_limb_codes": _code_rounds(),
     "op6_jaccard_join": f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^ \\x09-\\x0D]+') AS w FROM documents
