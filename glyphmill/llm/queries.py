@@ -17,6 +17,7 @@ from glyphmill.llm import (
     mixing,
     neighbours,
     pii,
+    popcounts,
     slackpack,
     urllists,
     warc,
@@ -117,6 +118,11 @@ def op7_warc_bundles(spark, sf_dir):
     return warc.read_bundles(warc.archive(table(spark, sf_dir, "pages")))
 
 
+@query
+def op12_segment_popcounts(spark, sf_dir):
+    return popcounts.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op13_limb_codes(spark, sf_dir):
     return limbcodes.compress(table(spark, sf_dir, "embeddings"))
