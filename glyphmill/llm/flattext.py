@@ -6,13 +6,17 @@ word hashes from prefix sums of a 64-bit polynomial over that buffer.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BLOCK = 1 << 20
+_SLICE_BYTES = 4 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -38,9 +42,27 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(offsets) else data, offsets - offsets[0]
 
 
-def word_limits(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and the index of each text's first word (one more entry than texts)."""
-    solid = ~_SPACE[data]
+def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts of bounded size (at least one text each), with their first index."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    a, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > _SLICE_BYTES:
+            yield a, texts.slice(a, i - a)
+            a, held = i, 0
+        held += int(n) + 1
+    if a < len(sizes):
+        yield a, texts.slice(a)
+
+
+def word_limits(
+    data: np.ndarray, offsets: np.ndarray, solid: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and the index of each text's first word (one more entry than texts).
+
+    ``solid`` marks the bytes that words are made of; by default all but white space.
+    """
+    solid = ~_SPACE[data] if solid is None else solid
     before = np.empty(len(data) + 1, bool)
     before[0], before[1:] = False, solid
     after = np.empty(len(data) + 1, bool)

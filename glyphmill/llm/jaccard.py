@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.common import modest_batches
 from glyphmill.llm.components import components
-from glyphmill.llm.flattext import flat, mix, word_hashes, word_limits
+from glyphmill.llm.flattext import flat, mix, slices, word_hashes, word_limits
 from glyphmill.plans.sizing import small_side
 from glyphmill.session import written
 
@@ -46,7 +46,6 @@ BLOCK = 4096
 SIGNATURE_BITS = 512
 PAIRS_AT_ONCE = 1 << 17
 FIRST_TILES = 12
-_SLICE_BYTES = 4 << 20
 SKETCH = "doc_id bigint, key binary, n bigint, bits binary, bands array<bigint>, block int, counts array<bigint>"
 
 
@@ -101,19 +100,6 @@ def shingle_sets(texts: pa.Array, p: Params) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """Runs of texts of bounded size (at least one text each), with their first index."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    a, held = 0, 0
-    for i, n in enumerate(sizes):
-        if held and held + n > _SLICE_BYTES:
-            yield a, texts.slice(a, i - a)
-            a, held = i, 0
-        held += int(n) + 1
-    if a < len(sizes):
-        yield a, texts.slice(a)
-
-
 def set_key(shingles: np.ndarray) -> bytes:
     return hashlib.md5(shingles.tobytes(), usedforsecurity=False).digest()
 
@@ -133,7 +119,7 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
         empty = pa.scalar(None, pa.list_(pa.int64()))
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
-            for at, texts in _slices(batch.column("text")):
+            for at, texts in slices(batch.column("text")):
                 keys, sizes, bits, bands = [], [], [], []
                 for s in shingle_sets(texts, p):
                     sizes.append(len(s))
@@ -210,7 +196,7 @@ def shared_prefixes(docs: DataFrame, levels: np.ndarray, p: Params) -> DataFrame
     def prefixes(batches):
         for batch in batches:
             keep = batch.filter(pc.is_valid(batch.column("doc_id")))
-            for _, texts in _slices(keep.column("text")):
+            for _, texts in slices(keep.column("text")):
                 hs, ks, salts = [], [], []
                 for s in shingle_sets(texts, p):
                     if not len(s):
@@ -270,7 +256,7 @@ def set_data(docs: DataFrame, wanted: DataFrame, schema: str, p: Params) -> Data
     def compute(batches):
         for batch in batches:
             keys, bits = batch.column("key").to_pylist(), batch.column("bits").to_pylist()
-            for at, texts in _slices(batch.column("text")):
+            for at, texts in slices(batch.column("text")):
                 rows, data = [], []
                 for i, s in enumerate(shingle_sets(texts, p), at):
                     if len(s) and set_key(s) == keys[i]:

@@ -19,6 +19,7 @@ from glyphmill.llm import (
     pii,
     popcounts,
     slackpack,
+    treap,
     urllists,
     warc,
 )
@@ -118,6 +119,12 @@ def op7_warc_bundles(spark, sf_dir):
     return warc.read_bundles(warc.archive(table(spark, sf_dir, "pages")))
 
 
+@query
+def op11_term_grid_treap(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return treap.top_k(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 @query
 def op12_segment_popcounts(spark, sf_dir):
     return popcounts.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))

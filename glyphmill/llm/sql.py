@@ -68,6 +68,7 @@ FROM k JOIN final USING (rn), book
 """
 
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _N_CLASSES, _N_WORDS = 8, 13
 
 ORACLES = {
@@ -200,6 +201,27 @@ WITH c AS (
 SELECT page_id, CASE WHEN length(h) BETWEEN 1 AND 253 THEN h END AS host, second AS fetched,
        coalesce(n, 0) AS n_matches, coalesce(lists, '') AS lists, entry, coalesce(blocked, false) AS blocked
 FROM c LEFT JOIN found USING (page_id)
+""",
+    "op11_term_grid_treap": f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({_ASCII_LOWER.format("text")}, '{_TERM}') AS w FROM documents WHERE doc_id IS NOT NULL
+), c AS (
+  SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d
+), p AS (
+  SELECT doc_id, 10 + (90 * len(w) * n_docs) // n_terms AS m, term, count(*) AS tf
+  FROM (SELECT doc_id, w, unnest(w) AS term FROM d), c GROUP BY doc_id, w, n_docs, n_terms, term
+), f AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight
+  FROM p, c GROUP BY term, n_docs
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_ASCII_LOWER.format("text")}, '{_TERM}')) AS term
+  FROM benchmark WHERE item_id IS NOT NULL
+), s AS (
+  SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN p USING (term) GROUP BY item_id, doc_id HAVING score > 0
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM s QUALIFY rank <= 10
 """,
     "op13_limb_codes": _code_rounds(),
     "op6_jaccard_join": f"""
