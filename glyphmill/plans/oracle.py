@@ -7,6 +7,7 @@ shared.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from glyphmill.functions import bytelevel as bl
@@ -456,6 +457,99 @@ _add(
     """SELECT kind, count(*) AS n_words, count(*) >= 8 AS enough FROM words
 WHERE kind IN ('action', 'object', 'condition') GROUP BY kind""",
 )
+_LINK = r"\s+--(?:\s+(\S.*?)\s+--)?>\s+"
+
+
+def _graphs(name: str, source: str, key: str, text: str) -> str:
+    """CTEs name_node and name_edge (one row each), and name (lists per key), of diagram texts."""
+    return rf"""
+{name}_line AS (
+  SELECT {key}, ln, line, string_split(regexp_replace(line, '{_LINK}', chr(1), 'g'), chr(1)) AS ends,
+         regexp_extract_all(line, '{_LINK}', 1) AS labels
+  FROM (SELECT {key}, unnest(body) AS line, generate_subscripts(body, 1) AS ln FROM (
+    SELECT {key}, CASE WHEN regexp_matches(ls[1], '^(graph|flowchart)\s+\w+$') THEN ls[2:] ELSE ls END AS body FROM (
+      SELECT {key}, list_filter(list_transform(string_split({text}, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM {source})))),
+{name}_clear AS (
+  SELECT *, len(list_filter(ends, lambda e: NOT regexp_matches(e, '^\w+(\[.*\]|\{{.*\}})?$'))) = 0 AS clear FROM {name}_line),
+{name}_end AS (
+  SELECT {key}, ln * 100 + k AS pos, regexp_extract(e, '^\w+') AS node,
+         CASE WHEN e LIKE '%]' THEN 'box' WHEN e LIKE '%}}' THEN 'diamond' END AS kind,
+         regexp_replace(e, '^\w+.|.$', '', 'g') AS label, labels[k] AS link
+  FROM (SELECT {key}, ln, labels, unnest(ends) AS e, generate_subscripts(ends, 1) AS k FROM {name}_clear WHERE clear)),
+{name}_node AS MATERIALIZED (
+  SELECT {key}, node, min(pos) AS pos, coalesce(arg_max(kind, pos) FILTER (kind IS NOT NULL), 'bare') AS kind,
+         arg_max(label, pos) FILTER (kind IS NOT NULL) AS label
+  FROM {name}_end GROUP BY {key}, node),
+{name}_edge AS MATERIALIZED (
+  SELECT a.{key}, a.pos, a.node AS src, b.node AS dst, nullif(a.link, '') AS label
+  FROM {name}_end a JOIN {name}_end b ON a.{key} = b.{key} AND b.pos = a.pos + 1),
+{name} AS MATERIALIZED (
+  SELECT s.{key}, readable, names, kinds, node_labels, edges FROM (SELECT DISTINCT {key} FROM {source}) s
+  LEFT JOIN (SELECT {key}, bool_and(clear) AS readable FROM {name}_clear GROUP BY {key}) USING ({key})
+  LEFT JOIN (SELECT {key}, list(node ORDER BY pos) AS names, list(kind ORDER BY pos) AS kinds,
+                    list(label ORDER BY pos) AS node_labels FROM {name}_node GROUP BY {key}) USING ({key})
+  LEFT JOIN (SELECT {key}, list({{'src': src, 'dst': dst, 'label': label}} ORDER BY pos) AS edges FROM {name}_edge GROUP BY {key})
+    USING ({key}))
+"""
+
+
+_add(
+    "diagram_graphs",
+    PAIRS + "," + _graphs("gr", "uniq", "pair_id", "diagram"),
+    """SELECT pair_id, len(names)::BIGINT AS n_nodes,
+  array_to_string(list_transform(range(1, len(names) + 1), lambda j: names[j] || ':' || kinds[j] || ':' || node_labels[j]), chr(10)) AS nodes,
+  array_to_string(list_transform(edges, lambda e: e.src || '>' || e.dst || ':' || coalesce(e.label, '')), chr(10)) AS edges,
+  true AS survives, true AS drawn_same FROM gr""",
+)
+_add(
+    "shape_graphs",
+    PAIRS + "," + _graphs("gr", "uniq", "pair_id", "diagram") + "," + _graphs("sg", "shapes", "shape", "pattern"),
+    """SELECT p.shape, p.item, p.slot, u.n_pairs FROM (
+  SELECT shape, node || ':' || kind AS item, trim(label, '{}') AS slot FROM sg_node
+  UNION ALL SELECT shape, src || '>' || dst, trim(coalesce(label, ''), '{}') FROM sg_edge) p
+LEFT JOIN (SELECT shape, item, count(*) AS n_pairs FROM (
+  SELECT pair_id, node || ':' || kind AS item FROM gr_node UNION ALL SELECT pair_id, src || '>' || dst FROM gr_edge)
+  JOIN uniq USING (pair_id) GROUP BY ALL) u ON p.shape = u.shape AND p.item = u.item""",
+)
+# Equal up to the names of nodes: every way to match the nodes is tried.
+_ORDERS = [("[" + ", ".join(map(str, o)) + "]",) for n in range(1, 5) for o in itertools.permutations(range(1, n + 1))]
+
+
+def _seen(edges: str, names: str, order: str) -> str:
+    at = f"list_position({names}, {{0}})"
+    ends = [f"{order}[{at.format(f'e.{c}')}]" if order else at.format(f"e.{c}") for c in ("src", "dst")]
+    return (
+        f"list_sort(list_transform({edges}, lambda e: {ends[0]} || '>' || {ends[1]} || CASE WHEN e.label IS NULL THEN '-'"
+        " WHEN {masked} THEN 'X' ELSE '=' || e.label END))"
+    )
+
+
+def _same(labels: bool) -> str:
+    masked = "false" if labels else "list_contains(vals, e.label)"
+    kinds = "list_transform(o, lambda j: b.kinds[j])"
+    a, b = (_seen(*x).replace("{masked}", masked) for x in (("a.edges", "a.names", "o"), ("b.edges", "b.names", "")))
+    extra = " AND a.node_labels = list_transform(o, lambda j: b.node_labels[j])" if labels else ""
+    return f"coalesce(b.readable AND bool_or(a.kinds = {kinds}{extra} AND {a} = {b}), false)"
+
+
+_add(
+    "structural_match",
+    FAULTY
+    + ","
+    + _graphs("ga", "faulty", "pair_id", "diagram")
+    + ","
+    + _graphs("gb", "faulty", "pair_id", "generated")
+    + f""",
+orders(o) AS ({_values(_ORDERS).replace("'", "")}),
+judged AS (
+  SELECT pair_id, fault, b.readable, {_same(False)} AS same_structure, {_same(True)} AS same_graph
+  FROM faulty f JOIN ga a USING (pair_id) JOIN gb b USING (pair_id)
+  LEFT JOIN orders ON len(o) = len(a.names) AND len(o) = len(b.names)
+  GROUP BY pair_id, fault, b.readable)""",
+    """SELECT fault, count(*) AS n, count(*) FILTER (readable) AS n_readable,
+  round(count(*) FILTER (same_structure) / count(*), 6) AS structure_match,
+  round(count(*) FILTER (same_graph) / count(*), 6) AS graph_match FROM judged GROUP BY fault""",
+)
 _add("slot_category", PAIRS, "SELECT pair_id, slot, category FROM slotted")
 _add(
     "shape_slots",

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.functions import graphs
 from glyphmill.functions import text as tx
 from glyphmill.operators import bpe as bp
+from glyphmill.operators import diagrams
 from glyphmill.operators import evaluate as ev
 from glyphmill.operators import instruct, lexicon, packing, pairs, paraphrase, runs, synthesize
 from glyphmill.plans import inputs as i
@@ -103,6 +105,23 @@ def grammar_tables(spark, sf_dir):
     )
 
 
+@query
+def shape_graphs(spark, sf_dir):
+    """Node and edge tables of the shapes, with the number of pairs whose own graph has that node or edge."""
+    shapes = _shapes(spark)
+    made = written(diagrams.with_graph(i.distinct(spark, sf_dir)).select("shape", "graph"), "graphs")
+    slot = F.coalesce("slot", F.lit(""))
+    nodes = diagrams.shape_nodes(shapes).select("shape", "node_id", "kind", slot.alias("slot"))
+    nodes = nodes.select("shape", F.concat_ws(":", "node_id", "kind").alias("item"), "slot")
+    edges = diagrams.shape_edges(shapes).select(
+        "shape", F.concat("src", F.lit(">"), "dst").alias("item"), F.concat(F.coalesce("label", F.lit("")), slot).alias("slot")
+    )
+    drawn_nodes = diagrams.graph_nodes(made, "shape").select("shape", F.concat_ws(":", "node", "kind").alias("item"))
+    drawn_edges = diagrams.graph_edges(made, "shape").select("shape", F.concat("src", F.lit(">"), "dst").alias("item"))
+    used = drawn_nodes.unionByName(drawn_edges).groupBy("shape", "item").agg(F.count("*").alias("n_pairs"))
+    return nodes.unionByName(edges).join(used, ["shape", "item"], "left")
+
+
 @query
 def vocab_tables(spark, sf_dir):
     path = work_path(spark, "vocab")
@@ -158,6 +177,22 @@ def _prompt_texts(spark, sf_dir):
     return turns.unionByName(prompts)
 
 
+@query
+def diagram_graphs(spark, sf_dir):
+    """Every pair's diagram as a graph, written again from it, and drawn from the shapes' node and edge tables."""
+    shapes = _shapes(spark)
+    made = diagrams.with_graph(i.distinct(spark, sf_dir))
+    made = diagrams.render_from_tables(made, diagrams.shape_nodes(shapes), diagrams.shape_edges(shapes))
+    return made.select(
+        "pair_id",
+        F.size(F.col("graph")["nodes"]).cast("bigint").alias("n_nodes"),
+        graphs.listed_nodes(F.col("graph")).alias("nodes"),
+        graphs.listed_edges(F.col("graph")).alias("edges"),
+        (graphs.render_graph(F.col("graph")) == F.col("diagram")).alias("survives"),
+        (F.col("drawn") == F.col("diagram")).alias("drawn_same"),
+    )
+
+
 @query
 def title_case_warning(spark, sf_dir):
     return _prompt_texts(spark, sf_dir).select("key", tx.casing_warning(F.col("prompt")).alias("warn"))
@@ -568,6 +603,11 @@ def shape_match(spark, sf_dir):
     return ev.shape_match(i.predicted(spark, sf_dir))
 
 
+@query
+def structural_match(spark, sf_dir):
+    return diagrams.structure_report(diagrams.structure_scores(i.predicted(spark, sf_dir)), "fault")
+
+
 @query
 def miss_examples(spark, sf_dir):
     return ev.miss_examples(_scores(spark, sf_dir), 100)
