@@ -52,9 +52,28 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(256 + hidden.index(b)) for b in range(256)]
 
 
-def pretokens(text: Column) -> Column:
-    """Pre-tokens of a text, in order; together they are the text."""
-    return F.regexp_extract_all(text, F.lit(PRETOKEN), F.lit(0))
+# Names of special tokens inside a text, and the places right before and after one.
+_NAME = "|".join(t.replace("|", r"\|") for t in SPECIAL_TOKENS)
+_AROUND = f"(?={_NAME})|(?<={_NAME})"
+
+
+def pretokens(text: Column, specials: bool = False) -> Column:
+    """Pre-tokens of a text, in order; together they are the text.
+
+    With ``specials`` every name of a special token is a pre-token of its own,
+    and what stands before and after it is cut as if it were a text alone.
+    """
+    plain = F.regexp_extract_all(text, F.lit(PRETOKEN), F.lit(0))
+    if not specials:
+        return plain
+    parts = F.filter(F.split(text, _AROUND), lambda part: part != "")
+    cut = F.transform(
+        parts,
+        lambda part: F.when(part.isin(*SPECIAL_TOKENS), F.array(part)).otherwise(
+            F.regexp_extract_all(part, F.lit(PRETOKEN), F.lit(0))
+        ),
+    )
+    return F.when(F.contains(text, F.lit("<|")), F.flatten(cut)).otherwise(plain)
 
 
 def symbols(pretoken: Column) -> Column:

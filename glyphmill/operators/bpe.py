@@ -7,9 +7,7 @@ corpus of any size is tokenized without a shuffle.
 from __future__ import annotations
 
 import heapq
-
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,17 +19,14 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import bytelevel as bl
 from glyphmill.plans.sizing import fits
-from glyphmill.session import cut_lineage
+from glyphmill.operators.training import learn_merges
 from glyphmill.sources.tables import local_table
 
 # Fixed values.
 VOCAB_SIZE = 8192
 CHEAP_TOKENS = 2
 
-MAX_MERGES_PER_ROUND = 64
-ROUNDS_PER_CHECKPOINT = 5
 MEMO_WORDS = 500_000
-LOCAL_PRETOKENS = 250_000
 
 
 @dataclass(frozen=True)
@@ -105,162 +100,15 @@ def pair_counts(table: DataFrame) -> DataFrame:
     )
 
 
-def independent_prefix(ranked: Iterable[tuple[int, int]], limit: int) -> list[tuple[int, int]]:
-    """The longest head of the ranked pairs that one round may merge at once.
-
-    Merging (a, b) lowers the count of a pair only if that pair ends in a or
-    starts with b, and the pairs it creates, (x, ab) and (ab, y), are no more
-    frequent than (x, a) and (b, y).  While no pair starts with a taken right
-    symbol or ends in a taken left one, the next pair in the ranking is
-    therefore also the next pair one-by-one training would take.
-    """
-    taken: list[tuple[int, int]] = []
-    lefts: set[int] = set()
-    rights: set[int] = set()
-    for left, right in ranked:
-        if len(taken) == limit or left in rights or right in lefts:
-            break
-        taken.append((left, right))
-        lefts.add(left)
-        rights.add(right)
-    return taken
-
-
-def merge_pairs(table: DataFrame, pairs: Sequence[tuple[int, int]], first_id: int) -> DataFrame:
-    """Rewrite the symbols with a round's pairs, as literal replacements."""
-    merged = F.col("symbols")
-    for i, (left, right) in enumerate(pairs):
-        merged = F.replace(merged, F.lit(f" {left}  {right} "), F.lit(f" {first_id + i} "))
-    # A pre-token of one symbol has no pairs left.
-    return table.select(merged.alias("symbols"), "n").filter(F.col("symbols").contains("  "))
-
-
-def train_bpe(
-    freq: DataFrame,
-    vocab_size: int = VOCAB_SIZE,
-    merges_per_round: int = MAX_MERGES_PER_ROUND,
-    local_pretokens: int = 0,
-) -> Bpe:
+def train_bpe(freq: DataFrame, vocab_size: int = VOCAB_SIZE, **limits: int) -> Bpe:
     """Learn merges from ``(pretoken, n)`` up to ``vocab_size`` entries.
 
-    Pairs are ranked by count, then by the smaller ids.  A round takes the head
-    of the ranking that is safe to merge at once, so the merges equal those of
-    one-by-one training.  Only that head comes to the driver, unless at most
-    ``local_pretokens`` counted pre-tokens are merged there, with equal results.
+    Pairs are ranked by count, then by the smaller ids, and merged one after
+    the other; see ``training`` for how a round finds many merges at once and
+    for ``limits``, which do not change the result.
     """
-    merges: list[tuple[int, int]] = []
-    wanted = vocab_size - bl.FIRST_MERGE
-    table = _kept(symbol_table(freq).filter(F.col("symbols").contains("  ")))
-    if local_pretokens and fits(table, local_pretokens):
-        rows = table.select(bl.symbol_ids(F.col("symbols")).alias("ids"), "n").toLocalIterator()
-        merges = _merges_of_counted([(list(r["ids"]), r["n"]) for r in rows], wanted)
-        table.unpersist()
-        return Bpe(tuple(merges))
-    counts = _kept(pair_counts(table))
-    old: list[DataFrame] = []
-    rounds = 0
-    while len(merges) < wanted:
-        room = min(wanted - len(merges), merges_per_round)
-        ranking = counts.orderBy(F.desc("n"), "left", "right").limit(room)
-        taken = independent_prefix(((r["left"], r["right"]) for r in ranking.collect()), room)
-        # The ranking has read this round's counts, so their sources can go.
-        while old:
-            old.pop().unpersist()
-        if not taken:
-            break
-        first = bl.FIRST_MERGE + len(merges)
-        old = [table, counts]
-        counts = updated_counts(counts, table, taken, first)
-        table = merge_pairs(table, taken, first)
-        merges += taken
-        rounds += 1
-        if rounds % ROUNDS_PER_CHECKPOINT == 0:
-            table, counts = cut_lineage(table), cut_lineage(counts)
-        table, counts = _kept(table), _kept(counts)
-        table.count()
-    for df in (*old, table, counts):
-        df.unpersist()
-    return Bpe(tuple(merges))
-
-
-def _merges_of_counted(words: list[tuple[list[int], int]], wanted: int) -> list[tuple[int, int]]:
-    """One-by-one training on ``(ids, n)``.
-
-    Each change of a pair's count enters the heap, so an entry that differs
-    from the count is out of date and skipped.
-    """
-    counts: Counter[tuple[int, int]] = Counter()
-    holders: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for at, (ids, n) in enumerate(words):
-        for pair in zip(ids, ids[1:]):
-            counts[pair] += n
-            holders[pair].add(at)
-    heap = [(-n, pair) for pair, n in counts.items()]
-    heapq.heapify(heap)
-    merges: list[tuple[int, int]] = []
-    while heap and len(merges) < wanted:
-        n, pair = heapq.heappop(heap)
-        if counts.get(pair) != -n:
-            continue
-        new, changed = bl.FIRST_MERGE + len(merges), set()
-        merges.append(pair)
-        for at in holders.pop(pair):
-            ids, n = words[at]
-            merged = _replaced(ids, pair, new)
-            for p in zip(ids, ids[1:]):
-                counts[p] -= n
-                changed.add(p)
-            after = set(zip(merged, merged[1:]))
-            for p in zip(merged, merged[1:]):
-                counts[p] += n
-                changed.add(p)
-            for p in set(zip(ids, ids[1:])) - after:
-                holders[p].discard(at)
-            for p in after:
-                holders[p].add(at)
-            words[at] = (merged, n)
-        for p in changed:
-            if counts[p] > 0:
-                heapq.heappush(heap, (-counts[p], p))
-            else:
-                del counts[p]
-                holders.pop(p, None)
-    return merges
-
-
-def _replaced(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
-    """``ids`` with every ``pair`` replaced, leftmost first."""
-    out, i = [], 0
-    while i < len(ids):
-        if ids[i] == pair[0] and i + 1 < len(ids) and ids[i + 1] == pair[1]:
-            out.append(new)
-            i += 2
-        else:
-            out.append(ids[i])
-            i += 1
-    return out
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def updated_counts(
-    counts: DataFrame, table: DataFrame, pairs: Sequence[tuple[int, int]], first_id: int
-) -> DataFrame:
-    """Pair counts after a round, from those before it.
-
-    Only pre-tokens that hold a taken pair change: their old pairs are
-    subtracted and their new ones added, which is exact, since counts are sums.
-    """
-    holds = F.lit(False)
-    for left, right in pairs:
-        holds = holds | F.col("symbols").contains(f" {left}  {right} ")
-    touched = table.filter(holds)
-    lost = pair_counts(touched).withColumn("n", -F.col("n"))
-    gained = pair_counts(merge_pairs(touched, pairs, first_id))
-    changed = counts.unionByName(lost).unionByName(gained)
-    return changed.groupBy("left", "right").agg(F.sum("n").alias("n")).filter(F.col("n") > 0)
+    rounds = learn_merges(freq, vocab_size - bl.FIRST_MERGE, **limits)
+    return Bpe(tuple(merge for merges in rounds for merge in merges))
 
 
 # -- vocabulary tables --------------------------------------------------------
@@ -327,9 +175,12 @@ def _merge_word(ids: list[int], ranks: dict[tuple[int, int], int]) -> list[int]:
     return [x for x in ids if x != gone]
 
 
-def encode(text: Column, bpe: Bpe) -> Column:
+def encode(text: Column, bpe: Bpe, specials: bool = True) -> Column:
     """Token ids of a text, ``array<int>``; null stays null.
 
+    A special token's name inside the text becomes its one id; without
+    ``specials`` it is cut into pieces like any other text.
+
     Pre-tokens are cut in the JVM.  Each Arrow batch is dictionary-encoded, so
     a pre-token is merged once per batch (once per task while the memo holds
     it) and the ids are gathered by array operations.
@@ -337,9 +188,10 @@ def encode(text: Column, bpe: Bpe) -> Column:
     ranks = {pair: rank for rank, pair in enumerate(bpe.merges)}
     first = [bl.FIRST_BYTE + o for o in bl.byte_offsets()]
     memo: dict[str, list[int]] = {}
+    fixed = {name: [i] for i, name in enumerate(bl.SPECIAL_TOKENS)} if specials else {}
 
     def of_word(word: str) -> list[int]:
-        ids = memo.get(word)
+        ids = fixed.get(word) or memo.get(word)
         if ids is None:
             ids = _merge_word([first[b] for b in word.encode()], ranks)
             if len(memo) >= MEMO_WORDS:
@@ -359,7 +211,19 @@ def encode(text: Column, bpe: Bpe) -> Column:
         mask = words.is_null() if words.null_count else None
         return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), taken.flatten(), mask=mask)
 
-    return ids_of(bl.pretokens(text))
+    return ids_of(bl.pretokens(text, specials))
+
+
+def _texts(values: Sequence[str]) -> Column:
+    """A constant array, folded once when the query is planned."""
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
+def token_bytes(ids: Column, bpe: Bpe) -> Column:
+    """How many bytes the ordinary tokens of an id list stand for."""
+    sizes = _texts([str(len(t)) for t in bpe.token_bytes()]).cast("array<int>")
+    plain = F.filter(ids, lambda i: i >= bl.FIRST_BYTE)
+    return F.aggregate(plain, F.lit(0).cast("bigint"), lambda n, i: n + F.element_at(sizes, i + 1))
 
 
 def token_count(text: Column, bpe: Bpe) -> Column:
@@ -373,7 +237,7 @@ def decode(ids: Column, bpe: Bpe, skip_special: bool = True) -> Column:
     joined before they are read as UTF-8, since a token may end inside a
     character.
     """
-    table = F.split(F.lit(",".join(t.hex() for t in bpe.token_bytes())), ",")
+    table = _texts([t.hex() for t in bpe.token_bytes()])
     kept = F.filter(ids, lambda i: i >= bl.FIRST_BYTE) if skip_special else ids
     digits = F.array_join(F.transform(kept, lambda i: F.element_at(table, i + 1)), "")
     return F.make_valid_utf8(F.unhex(digits).cast("string"))
@@ -381,7 +245,7 @@ def decode(ids: Column, bpe: Bpe, skip_special: bool = True) -> Column:
 
 def token_strings(ids: Column, bpe: Bpe) -> Column:
     """Ids as the vocabulary shows them."""
-    table = F.split(F.lit("\n".join(bpe.tokens())), "\n")
+    table = _texts(bpe.tokens())
     return F.transform(ids, lambda i: F.element_at(table, i + 1))
 
 
@@ -452,6 +316,15 @@ def cheap_pairs(fit: DataFrame, bpe: Bpe, n: int = 6) -> DataFrame:
     )
 
 
+def token_conservation(encoded: DataFrame, bpe: Bpe, ids: str = "ids") -> DataFrame:
+    """Documents, bytes of text their tokens stand for, and end-of-text ids per split."""
+    return encoded.groupBy("split").agg(
+        F.count("*").alias("n_docs"),
+        F.sum(token_bytes(F.col(ids), bpe)).alias("text_bytes"),
+        F.sum(F.size(F.filter(ids, lambda i: i == bl.EOT))).alias("n_ends"),
+    )
+
+
 def token_totals(encoded: DataFrame, ids: str = "ids") -> DataFrame:
     """Documents, tokens and two-byte storage per split."""
     return encoded.groupBy("split").agg(

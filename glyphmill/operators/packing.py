@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphmill.functions import draw
 from glyphmill.functions.bytelevel import EOT
-from glyphmill.plans.sizing import BUCKET_DIGITS, global_rank, running_total, small_side
+from glyphmill.plans.sizing import BUCKET_DIGITS, bucket_totals, global_rank, running_total, small_side
 
 # Fixed values.
 DOC_SEED = 42
@@ -15,6 +16,9 @@ DOC_VAL_SHARE = 0.05
 BLOCK = 512
 BATCH = 16
 
+# Blocks whose ends of text are counted together when a stream is unpacked.
+UNPACK_BUCKET = 4096
+
 
 def split_docs(
     docs: DataFrame, share: float = DOC_VAL_SHARE, seed: int = DOC_SEED, key: str = "doc_id"
@@ -36,14 +40,18 @@ def with_eot(encoded: DataFrame, ids: str = "ids", eot: int = EOT) -> DataFrame:
 
 
 def pack_blocks(
-    encoded: DataFrame, length: int = BLOCK, seed: int = DOC_SEED, digits: int = BUCKET_DIGITS
+    encoded: DataFrame,
+    length: int = BLOCK,
+    seed: int = DOC_SEED,
+    digits: int = BUCKET_DIGITS,
+    keep_tail: bool = False,
 ) -> DataFrame:
     """Concatenate each split's documents in shuffled order and cut blocks.
 
     ``encoded`` is ``(doc_id, split, ids)`` and, if at hand, the length ``n``: of a
     written token table with ``n`` the first pass reads no ids.  Block i holds tokens ``i*length`` to
     ``(i+1)*length`` inclusive, so neighbours share one token; the tail that
-    fills no block is dropped.  Every document hands each block it touches its
+    fills no block is dropped, or is a shorter last block if ``keep_tail``.  Every document hands each block it touches its
     slice, and a block never gathers more than ``length + 1`` tokens.
     """
     sized = encoded.select(
@@ -55,7 +63,7 @@ def pack_blocks(
     ).filter("n > 0")
     placed = running_total(sized, ["split"], "_h", ["doc_id"], F.col("n"), "st", "total", digits)
     size = F.lit(length).cast("bigint")
-    n_blocks = F.floor((F.col("total") - 1) / size).cast("bigint")
+    n_blocks = (F.ceil(F.col("total") / size) if keep_tail else F.floor((F.col("total") - 1) / size)).cast("bigint")
     first = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("st") - 1) / size).cast("bigint"))
     last = F.least(F.floor((F.col("st") + F.col("n") - 1) / size).cast("bigint"), n_blocks - 1)
 
@@ -82,6 +90,41 @@ def pack_blocks(
     )
 
 
+def unpack_blocks(blocks: DataFrame, length: int = BLOCK, eot: int = EOT) -> DataFrame:
+    """The documents a token stream was packed from: ``split, doc_no, ids`` without the end-of-text id.
+
+    The first ``length`` tokens of a split's blocks tile its stream.  A block
+    cuts its own tokens at every end-of-text id and numbers the pieces by the
+    ends before it, so only pieces of one document meet.  Documents whose end
+    was dropped with the tail are left out.
+    """
+    own = F.slice("tokens", F.lit(1), F.least(F.lit(length), F.size("tokens")))
+    ends = F.filter(F.transform("own", lambda t, i: F.when(t == eot, i)), lambda i: i.isNotNull())
+    cut = blocks.select("split", "block_id", own.alias("own")).withColumn("ends", ends)
+    cut = cut.withColumn("n_ends", F.size("ends").cast("bigint"))
+    bucket = F.floor(F.col("block_id") / UNPACK_BUCKET).cast("bigint")
+    totals = bucket_totals(cut, ["split"], bucket, F.col("n_ends")).drop("_total")
+    local = W.partitionBy("split", "_bucket").orderBy("block_id").rowsBetween(W.unboundedPreceding, -1)
+    before = F.col("_before") + F.coalesce(F.sum("n_ends").over(local), F.lit(0))
+    numbered = cut.withColumn("_bucket", bucket).join(small_side(totals), ["split", "_bucket"]).withColumn("before", before)
+    limits = F.concat(F.array(F.lit(-1)), "ends", F.array(F.size("own")))
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.size("ends")),
+        lambda j: F.struct(
+            (F.col("before") + j).alias("doc_no"),
+            F.slice("own", F.get(limits, j) + 2, F.get(limits, j + 1) - F.get(limits, j) - 1).alias("part"),
+            (j < F.size("ends")).alias("closed"),
+        ),
+    )
+    rows = numbered.select("split", "block_id", F.explode(pieces).alias("p")).select("split", "block_id", "p.*")
+    gathered = rows.groupBy("split", "doc_no").agg(
+        F.sort_array(F.collect_list(F.struct("block_id", "part"))).alias("parts"), F.max("closed").alias("closed")
+    )
+    return gathered.filter("closed").select(
+        "split", "doc_no", F.flatten(F.transform("parts", lambda p: p["part"])).alias("ids")
+    )
+
+
 def next_token_pairs(blocks: DataFrame, length: int = BLOCK) -> DataFrame:
     """Block -> ``x`` and ``y``, the block shifted by one."""
     return blocks.select(
@@ -110,7 +153,7 @@ def epoch_batches(
     train = global_rank(shuffled, ["split"], "_h", ["block_id"], "_at", "_n", digits).drop("_h")
     rest = blocks.filter(F.col("split") != "train")
     counts = rest.groupBy("split").agg(F.count("*").cast("bigint").alias("_n"))
-    ordered = rest.withColumn("_at", F.col("block_id")).join(small_side(counts, rows=1), "split")
+    ordered = rest.withColumn("_at", F.col("block_id")).join(small_side(counts), "split")
     numbered = train.unionByName(ordered.select(*train.columns))
     full = F.floor(F.col("_n") / batch) * batch
     if drop_last:

@@ -12,6 +12,7 @@ from glyphmill.functions import draw
 from glyphmill.functions import text as tx
 from glyphmill.operators import lexicon, paraphrase
 from glyphmill.plans.sizing import global_rank, small_side
+from glyphmill.session import written
 from glyphmill.sources.tables import local_table
 
 # Fixed values.
@@ -332,23 +333,32 @@ def generate_pairs(
 ) -> DataFrame:
     """Distinct (prompt, diagram) pairs of a column of keys ``pair_id``.
 
-    The key range sets the size; ``n`` takes the first pairs by id.  A pair is a
-    function of its key, so only keys and 128-bit digests of the texts are
-    grouped, in a hash aggregate, and the first key of each pair draws again.
+    The key range sets the size; ``n`` takes the first pairs by id.  Every key
+    is drawn once, into a written table.  Only 128-bit digests of the texts are
+    grouped, and the keys that lose against a smaller one, which are few, are
+    taken out of the table.
     """
-
-    def drawn(of: DataFrame) -> DataFrame:
-        keys = split_keys(of, seed, novel_share=novel_share, hold_out_phrases=hold_out_phrases)
-        return draw_pairs(keys, kit, seed)
-
-    text = ("prompt", "diagram")
-    marks = drawn(ids.select("pair_id")).select(
-        "pair_id", "split", F.xxhash64(*text).alias("_a"), F.xxhash64(F.lit("second"), *text).alias("_b")
+    keys = split_keys(
+        ids.select("pair_id").distinct(), seed, novel_share=novel_share, hold_out_phrases=hold_out_phrases
     )
-    first = marks.groupBy("split", "_a", "_b").agg(F.min("pair_id").alias("pair_id"))
-    pairs = drawn(first.select("pair_id")).select(
-        "pair_id", "split", "shape", "prompt", "diagram", "slots", "novel"
+    text = ("prompt", "diagram")
+    made = draw_pairs(keys, kit, seed).select(
+        "pair_id",
+        "split",
+        "shape",
+        *text,
+        "slots",
+        "novel",
+        F.xxhash64(*text).alias("_a"),
+        F.xxhash64(F.lit("second"), *text).alias("_b"),
     )
+    made = written(made, "drawn-pairs")
+    mark = ["split", "_a", "_b"]
+    groups = made.groupBy(*mark).agg(F.min("pair_id").alias("_first"), F.count("*").alias("_copies"))
+    repeated = written(groups.filter("_copies > 1").drop("_copies"), "repeated-pairs")
+    losers = made.select("pair_id", *mark).join(small_side(repeated), mark).filter("pair_id > _first").select("pair_id")
+    losers = small_side(written(losers, "repeated-keys"))
+    pairs = made.drop("_a", "_b").join(losers, "pair_id", "left_anti")
     return pairs if n is None else pairs.orderBy("pair_id").limit(n)
 
 

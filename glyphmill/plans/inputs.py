@@ -16,25 +16,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import draw
-from glyphmill.functions import bytelevel as bl
 from glyphmill.operators import bpe as bp
 from glyphmill.operators import evaluate, lexicon, packing, pairs
 from glyphmill.plans.sizing import spread
 from glyphmill.sources.grammar import grammar
 from glyphmill.sources.tables import table
 
-# Merge rules the registered queries train; few enough for the SQL twin.
-QUERY_MERGES = 16
-
 _memo: dict[tuple, object] = {}
 
-# Whether queries are built on the vocabulary of full size; see ``full_size``.
+# Whether the kit is built with the vocabulary; see ``full_size``.
 _full: ContextVar[bool] = ContextVar("full", default=False)
 
 
 @contextmanager
 def full_size():
-    """Queries built inside use a vocabulary of ``VOCAB_SIZE`` entries from the mixed corpus, and a kit built with it."""
+    """Queries built inside use a kit of the words the vocabulary handles cheaply, and of its fragments."""
     before = _full.set(True)
     try:
         yield
@@ -118,24 +114,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> bp.Bpe:
-    if _full.get():
-        return _once(spark, sf_dir, "full bpe", lambda: full_vocabulary(spark, sf_dir))
-    return _once(
-        spark,
-        sf_dir,
-        "bpe",
-        lambda: bp.train_bpe(
-            bp.pretoken_frequencies(documents(spark, sf_dir)), bl.FIRST_MERGE + QUERY_MERGES
-        ),
-    )
+    """``VOCAB_SIZE`` entries trained on the tokenizer lines of all candidate words and the documents."""
+    return _once(spark, sf_dir, "bpe", lambda: bp.train_bpe(bp.pretoken_frequencies(tokenizer_input(spark, sf_dir))))
 
 
-def full_vocabulary(spark: SparkSession, sf_dir: str) -> bp.Bpe:
-    """``VOCAB_SIZE`` entries trained on the tokenizer lines of all candidate words and the documents."""
+def tokenizer_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates = candidate_kit(spark, sf_dir)
     made = pairs.generate_pairs(order_ids(spark, sf_dir), candidates)
-    mixed = pairs.mixed_corpus(pairs.tokenizer_lines(candidates.pool, made), documents(spark, sf_dir))
-    return bp.train_bpe(bp.pretoken_frequencies(mixed), local_pretokens=bp.LOCAL_PRETOKENS)
+    return pairs.mixed_corpus(pairs.tokenizer_lines(candidates.pool, made), documents(spark, sf_dir))
 
 
 def token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,10 +187,5 @@ def slot_text(slots) -> Column:
     )
 
 
-def id_text(ids) -> Column:
-    """md5 of an id list, for flat results."""
-    return F.md5(F.array_join(ids.cast("array<string>"), ",").cast("binary"))
-
-
 def opener_flag(key):
     return draw.pick(draw.digest(5, key, "header"), 3)

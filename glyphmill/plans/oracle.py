@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from glyphmill.functions import bytelevel as bl
 from glyphmill.operators import evaluate, pairs
-from glyphmill.plans import inputs, registry
+from glyphmill.plans import registry
 from glyphmill.sources import grammar
 
 ORACLES: dict[str, str] = {}
@@ -301,119 +301,16 @@ def _train(n: int) -> str:
     return ",\n".join(out)
 
 
-_N = inputs.QUERY_MERGES
-TRAIN = _train(_N)
-
-
-def _apply(sym: str) -> str:
-    for r in range(1, _N + 1):
-        sym = f"replace({sym}, ' ' || p{r}.l || '  ' || p{r}.r || ' ', ' {bl.FIRST_MERGE + r - 1} ')"
-    return sym
-
-
-def _encode(name: str, source: str, key: str, text: str) -> str:
-    """CTE ``name(key, ids)``: token ids of every text of ``source``."""
-    rules = ", ".join(f"p{r}" for r in range(1, _N + 1))
-    return f"""
-{name}_occ AS (
-  SELECT {key}, unnest(pre) AS word, generate_subscripts(pre, 1) AS pos
-  FROM (SELECT {key}, {_pre(text)} AS pre FROM {source})),
-{name}_sym AS MATERIALIZED (
-  SELECT word, string_split(trim({_apply("sym")}), '  ')::BIGINT[] AS ids
-  FROM (SELECT word, {_symbols("word")} AS sym FROM (SELECT DISTINCT word FROM {name}_occ)), {rules}),
-{name} AS MATERIALIZED (
-  SELECT o.{key}, flatten(list(s.ids ORDER BY o.pos)) AS ids
-  FROM {name}_occ o JOIN {name}_sym s USING (word) GROUP BY o.{key})
-"""
-
-
-DOCS = TRAIN + "," + _encode("doc_ids", "documents", "doc_id", "text")
-_DOC_VAL = int(0.05 * 16**7)
-TOKENS = (
-    DOCS
-    + f""",
-tokens AS MATERIALIZED (
-  SELECT doc_id, CASE WHEN {_win("md5('42|' || doc_id || '|side')")} < {_DOC_VAL} THEN 'val' ELSE 'train' END AS split,
-         list_concat(coalesce(ids, []), [{bl.EOT}::BIGINT]) AS ids
-  FROM documents LEFT JOIN doc_ids USING (doc_id))"""
-)
-_L = registry.BLOCK
-BLOCKS = (
-    TOKENS
-    + f""",
-placed AS (
-  SELECT split, unnest(ids) AS tok, st + generate_subscripts(ids, 1) - 1 AS g, total FROM (
-    SELECT split, ids, coalesce(sum(len(ids)) OVER (PARTITION BY split ORDER BY md5('42|' || doc_id || '|order'), doc_id
-             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS st,
-           (sum(len(ids)) OVER (PARTITION BY split))::BIGINT AS total FROM tokens)),
-blocks AS MATERIALIZED (
-  SELECT split, block_id, list(tok ORDER BY g) AS tokens FROM (
-    SELECT split, tok, g, total, g // {_L} AS block_id FROM placed
-    UNION ALL SELECT split, tok, g, total, g // {_L} - 1 FROM placed WHERE g > 0 AND g % {_L} = 0)
-  WHERE block_id < (total - 1) // {_L} GROUP BY split, block_id)"""
-)
-_PAIR_TEXTS = (
-    "pair_texts AS MATERIALIZED (SELECT pair_id, prompt, diagram FROM uniq),"
-    + _encode("prompt_ids", "pair_texts", "pair_id", "prompt")
-    + ","
-    + _encode("diagram_ids", "pair_texts", "pair_id", "diagram")
-)
-EXAMPLES = (
-    PAIRS
-    + ","
-    + TRAIN
-    + ","
-    + _PAIR_TEXTS
-    + f""",
-framed AS (
-  SELECT pair_id, len(p.ids) AS plen,
-         list_concat([{bl.DIAGRAM}::BIGINT], p.ids, [{bl.PROMPT}::BIGINT], d.ids, [{bl.EOT}::BIGINT])[1:512] AS ids
-  FROM prompt_ids p JOIN diagram_ids d USING (pair_id)),
-examples AS MATERIALIZED (
-  SELECT pair_id, len(ids) - 1 AS n, ids[1 : len(ids) - 1] AS x,
-         list_transform(range(2, len(ids) + 1), lambda j: CASE WHEN j - 1 <= plen + 1 THEN -1 ELSE ids[j] END) AS y
-  FROM framed),
-batched AS (
-  SELECT *, max(n) OVER (PARTITION BY batch_id) AS max_n FROM (
-    SELECT *, (row_number() OVER (ORDER BY md5('7|' || pair_id || '|batch'), pair_id) - 1) // {registry.BATCH} AS batch_id
-    FROM examples))"""
-)
-
 _SHOWN = (
     "CASE WHEN b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b >= 174 THEN chr(b) WHEN b <= 32 THEN chr(256 + b)"
     " WHEN b = 173 THEN chr(323) ELSE chr(b - 127 + 289) END"
 )
-_POSITION = (
-    "CASE WHEN b BETWEEN 33 AND 126 THEN b - 33 WHEN b BETWEEN 161 AND 172 THEN b - 161 + 94"
-    " WHEN b BETWEEN 174 AND 255 THEN b - 174 + 106 WHEN b <= 32 THEN b + 188 WHEN b = 173 THEN 255 ELSE b - 127 + 221 END"
-)
-
-
-def _vocabulary() -> str:
-    """CTEs v0 .. vn: shown tokens by id, growing by one merge each."""
-    out = [
-        f"v0(id, token, kind) AS ({_values([(n, t, 'special') for n, t in enumerate(bl.SPECIAL_TOKENS)])}"
-        f" UNION ALL SELECT {_POSITION} + {bl.FIRST_BYTE}, {_SHOWN}, 'byte' FROM (SELECT range::INT AS b FROM range(256)))"
-    ]
-    for r in range(1, _N + 1):
-        out.append(
-            f"v{r} AS MATERIALIZED (SELECT * FROM v{r - 1} UNION ALL SELECT {bl.FIRST_MERGE + r - 1}, a.token || b.token, 'merge'"
-            f" FROM p{r} JOIN v{r - 1} a ON a.id = p{r}.l JOIN v{r - 1} b ON b.id = p{r}.r)"
-        )
-    return ",\n".join(out)
-
-
-_WORD_COST = f"""
-cand AS MATERIALIZED (
-  SELECT DISTINCT 'corpus' AS kind, unnest(regexp_extract_all(text, '\\p{{L}}+')) AS word FROM documents
-  UNION ALL SELECT kind, word FROM words),
-probe AS MATERIALIZED (SELECT DISTINCT ' ' || word AS probe FROM cand),
-{_encode("probe_ids", "probe", "probe", "probe")},
-fit AS MATERIALIZED (
-  SELECT kind, word, len(ids) AS cost, len(ids) <= 2 AS cheap
-  FROM cand JOIN probe_ids ON probe_ids.probe = ' ' || word)
-"""
-FIT = GRAMMAR + "," + TRAIN + "," + _WORD_COST
+_DOC_VAL = int(0.05 * 16**7)
+SPLIT_DOCS = f"""
+split_docs AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         CASE WHEN {_win("md5('42|' || doc_id || '|side')")} < {_DOC_VAL} THEN 'val' ELSE 'train' END AS split
+  FROM documents)"""
 
 
 def _add(name: str, ctes: str, select: str) -> None:
@@ -429,12 +326,8 @@ _add(
 )
 _FLAT = "SELECT pair_id, split, shape, prompt, diagram, slot_text, novel FROM uniq"
 _add("pairs_json_roundtrip", PAIRS, _FLAT)
-_add(
-    "token_shards",
-    BLOCKS,
-    """SELECT split, count(*) AS n_blocks, sum(len(tokens))::BIGINT AS n_tokens,
-  sum(list_sum(tokens) * (block_id + 1))::BIGINT AS checksum FROM blocks GROUP BY split""",
-)
+_UNPACKED = "SELECT split, md5(text) AS text_md5, count(*) AS n_docs FROM split_docs GROUP BY ALL"
+_add("token_shards", SPLIT_DOCS, _UNPACKED)
 _add(
     "grammar_tables",
     PAIRS,
@@ -442,15 +335,9 @@ _add(
   (SELECT count(*) FROM options o WHERE o.shape = s.shape) AS n_options,
   (SELECT count(*) FROM spoken p WHERE p.shape = s.shape) AS n_pairs FROM shapes s""",
 )
-_add(
-    "vocab_tables",
-    TRAIN + "," + _vocabulary(),
-    f"""SELECT token, id::BIGINT AS id, kind, CASE WHEN kind = 'merge' THEN id::BIGINT - {bl.FIRST_MERGE} END AS rank FROM v{_N}""",
-)
 
 # -- projections, filters, scalar functions ---------------------------------------------------
 
-_add("lexicon_token_cost_filter", FIT, "SELECT word FROM fit WHERE kind = 'corpus' AND cheap")
 _add(
     "lexicon_floor_check",
     GRAMMAR,
@@ -654,30 +541,20 @@ _add(
     FAULTY,
     f"SELECT pair_id, {_skeleton('diagram')} AS target, {_skeleton('generated')} AS output FROM faulty",
 )
-_add(
-    "vocab_bounds_check",
-    TOKENS,
-    f"""SELECT {bl.FIRST_MERGE + _N}::BIGINT AS tokenizer_size, {registry.DECLARED_VOCABULARY}::BIGINT AS declared_size,
-  max(list_max(ids)) AS max_id, 'unused_rows' AS verdict FROM tokens""",
-)
 _add(
     "diagram_openers",
     PAIRS,
     "SELECT DISTINCT left(diagram, strpos(diagram, chr(10)) + 5) AS opener FROM drawn",
 )
+# A prefix's pre-tokens are those of the full text exactly where its ids are, whatever the merges.
 _add(
     "prefix_token_audit",
     PAIRS
-    + ","
-    + TRAIN
-    + ", code_texts AS MATERIALIZED (SELECT DISTINCT diagram FROM drawn),"
-    + _encode("code_ids", "code_texts", "diagram", "diagram")
-    + """,
-prefixes(prefix) AS (VALUES ('graph TD' || chr(10) || '    A'), ('graph TD' || chr(10) || '   '), ('graph TD' || chr(10) || '    ')),
-"""
-    + _encode("prefix_ids", "prefixes", "prefix", "prefix"),
-    """SELECT d.shape, p.prefix, count(*) AS n, count(*) FILTER (c.ids[1 : len(p.ids)] = p.ids) AS n_agree
-FROM drawn d JOIN code_ids c USING (diagram), prefix_ids p GROUP BY ALL""",
+    + f""",
+audited AS (
+  SELECT shape, prefix, {_pre("prefix")} AS p, {_pre("diagram")} AS f
+  FROM drawn, (SELECT 'graph TD' || chr(10) || unnest(['    A', '   ', '    ']) AS prefix))""",
+    "SELECT shape, prefix, count(*) AS n, count(*) FILTER (f[1 : len(p)] = p) AS n_agree FROM audited GROUP BY ALL",
 )
 
 # -- tokenizer ------------------------------------------------------------------------------
@@ -690,57 +567,18 @@ FROM (SELECT doc_id, {_pre("text")} AS pre FROM documents)""",
 )
 _add("pretoken_frequencies", _train(0), "SELECT pretoken, n FROM freq")
 _add("bpe_pair_counts", _train(1), "SELECT l AS left_id, r AS right_id, n FROM c1")
-_add(
-    "bpe_train",
-    TRAIN + "," + _vocabulary(),
-    "\nUNION ALL ".join(
-        f"SELECT {r - 1}::BIGINT AS rank, a.token AS left_token, b.token AS right_token, a.token || b.token AS merged"
-        f" FROM p{r} JOIN v{_N} a ON a.id = p{r}.l JOIN v{_N} b ON b.id = p{r}.r"
-        for r in range(1, _N + 1)
-    ),
-)
+_BYTE = "('0x' || substr(hex(encode(text)), 2 * j + 1, 2))::INT"
 _add(
     "bpe_encode",
-    DOCS,
-    f"SELECT doc_id, len(ids) AS n_tokens, {_ids('ids')} AS ids_md5 FROM doc_ids",
+    "",
+    f"""SELECT doc_id, strlen(text) AS n_bytes, md5(array_to_string(list_transform(
+    list_transform(range(0, strlen(text)), lambda j: {_BYTE}), lambda b: {_SHOWN}), '')) AS shown_md5, true AS in_range
+FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""",
 )
 _add("bpe_decode", "", "SELECT doc_id, md5(text) AS text_md5 FROM documents")
-_add(
-    "token_cost_report",
-    GRAMMAR
-    + ","
-    + TRAIN
-    + r""",
-probes AS MATERIALIZED (
-  SELECT DISTINCT 'pool_' || category AS grp, ' ' || value AS probe FROM pool
-  UNION ALL SELECT DISTINCT 'corpus', ' ' || unnest(regexp_extract_all(text, '\p{L}+')) FROM documents),
-probe_texts AS MATERIALIZED (SELECT DISTINCT probe FROM probes),"""
-    + _encode("probe_ids", "probe_texts", "probe", "probe"),
-    """SELECT grp, count(*) AS n_probes, round(avg(len(ids)), 6) AS mean_cost, max(len(ids)) AS max_cost
-FROM probes JOIN probe_ids USING (probe) GROUP BY grp""",
-)
-_add(
-    "cheap_costly_words",
-    FIT,
-    """SELECT kind, cost, count(*) AS n_words, any_value(share) AS cheap_share
-FROM fit JOIN (SELECT kind, round(count(*) FILTER (cheap) / count(*), 6) AS share FROM fit GROUP BY kind) USING (kind)
-GROUP BY kind, cost""",
-)
-_add(
-    "cheap_word_pairs",
-    FIT
-    + """,
-cheap_words AS (SELECT word, row_number() OVER (ORDER BY kind, word) AS k, count(*) OVER () AS n FROM fit WHERE cheap),
-cheap_labels AS MATERIALIZED (
-  SELECT a.k, a.word || ' ' || b.word AS label, ' ' || a.word || ' ' || b.word AS text
-  FROM cheap_words a JOIN cheap_words b ON b.k = a.n + 1 - a.k WHERE a.n >= 4 AND a.k <= least(6, a.n // 2)),
-"""
-    + _encode("label_ids", "cheap_labels", "text", "text"),
-    "SELECT k, label, len(ids) AS cost FROM cheap_labels JOIN label_ids USING (text)",
-)
-_TOTALS = """SELECT split, count(*) AS n_docs, sum(len(ids))::BIGINT AS n_tokens, (2 * sum(len(ids)))::BIGINT AS n_bytes
-FROM tokens GROUP BY split"""
-_add("split_token_totals", TOKENS, _TOTALS)
+_TOTALS = """SELECT split, count(*) AS n_docs, sum(strlen(text))::BIGINT AS text_bytes, count(*) AS n_ends
+FROM split_docs GROUP BY split"""
+_add("split_token_totals", SPLIT_DOCS, _TOTALS)
 
 # -- lexicon and grammar ----------------------------------------------------------------------
 
@@ -840,67 +678,26 @@ _add(
     f"""SELECT doc_id, CASE WHEN {_win("md5('42|' || doc_id || '|side')")} < {_DOC_VAL} THEN 'val' ELSE 'train' END AS split
 FROM documents""",
 )
-_add("append_eot", TOKENS, "SELECT doc_id, len(ids) AS n_tokens, ids[-1] AS last_id FROM tokens")
-_add(
-    "pack_blocks",
-    BLOCKS,
-    f"SELECT split, block_id, len(tokens) AS n_tokens, {_ids('tokens')} AS tokens_md5 FROM blocks",
-)
 _add(
-    "next_token_pairs",
-    BLOCKS,
-    f"""SELECT split, block_id, {_ids(f"tokens[1:{_L}]")} AS x_md5, {_ids(f"tokens[2:{_L + 1}]")} AS y_md5 FROM blocks""",
+    "append_eot",
+    SPLIT_DOCS,
+    f"SELECT doc_id, 1::BIGINT AS n_ends, {bl.EOT}::BIGINT AS last_id, md5(text) AS text_md5 FROM split_docs",
 )
-_add(
-    "epoch_batches",
-    BLOCKS,
-    """SELECT split, block_id, r // 16 AS batch_id, r % 16 AS row FROM (
-  SELECT split, block_id, count(*) OVER (PARTITION BY split) AS n,
-    CASE WHEN split = 'val' THEN block_id
-         ELSE row_number() OVER (PARTITION BY split ORDER BY md5('42|' || block_id || '|epoch0'), block_id) - 1 END AS r
-  FROM blocks) WHERE r < n // 16 * 16""",
-)
-_XY = f"n, {_ids('x')} AS x_md5, {_ids('y')} AS y_md5"
-_add("instruction_encode", EXAMPLES, f"SELECT pair_id, {_XY} FROM examples")
+_add("pack_blocks", SPLIT_DOCS, _UNPACKED)
+_add("next_token_pairs", SPLIT_DOCS, f"SELECT *, true AS y_follows FROM ({_UNPACKED})")
+_FRAMED = f"""{bl.DIAGRAM}::BIGINT AS first_id, md5(prompt) AS prompt_md5, md5(diagram) AS diagram_md5, {bl.EOT}::BIGINT AS last_id"""
+_add("instruction_encode", PAIRS, f"SELECT pair_id, {_FRAMED} FROM uniq")
 _add(
     "conversation_encode",
-    TRAIN
-    + ", turns AS MATERIALIZED (SELECT conv_id * 1000000 + turn AS tid, * FROM conversations),"
-    + _encode("turn_ids", "turns", "tid", "text")
-    + f""",
-spoken_turns AS (
-  SELECT conv_id, turn,
-    list_concat([CASE WHEN role = 'assistant' THEN {bl.RESPONSE} ELSE {bl.PROMPT} END::BIGINT], coalesce(ids, []), [{bl.EOT}::BIGINT]) AS t,
-    role = 'assistant' AS scored
-  FROM turns LEFT JOIN turn_ids USING (tid)),
-chats AS (
-  SELECT conv_id, flatten(list(t ORDER BY turn))[1:512] AS ids,
-    flatten(list(list_transform(range(0, len(t)), lambda j: scored AND j > 0) ORDER BY turn))[1:512] AS flags
-  FROM spoken_turns GROUP BY conv_id),
-chat_xy AS (
-  SELECT conv_id, len(ids) - 1 AS n, ids[1 : len(ids) - 1] AS x,
-    list_transform(range(2, len(ids) + 1), lambda j: CASE WHEN flags[j] THEN ids[j] ELSE -1 END) AS y FROM chats)""",
-    f"SELECT conv_id, {_XY} FROM chat_xy",
+    "",
+    f"""SELECT conv_id, true AS fits, CASE WHEN arg_min(role, turn) = 'assistant' THEN {bl.RESPONSE} ELSE {bl.PROMPT} END::BIGINT AS first_id,
+  left(string_agg(coalesce(text, ''), '' ORDER BY turn), 100) AS opening FROM conversations GROUP BY conv_id""",
 )
 _add(
     "dynamic_padding",
-    EXAMPLES,
-    f"""SELECT pair_id, batch_id, max_n, n,
-  {_ids(f"list_concat(x, list_transform(range(0, max_n - n), lambda j: {bl.PAD}::BIGINT))")} AS x_md5,
-  {_ids("list_concat(y, list_transform(range(0, max_n - n), lambda j: -1::BIGINT))")} AS y_md5 FROM batched""",
-)
-_add(
-    "padding_waste_report",
-    EXAMPLES,
-    """SELECT count(DISTINCT batch_id) AS n_batches, sum(n)::BIGINT AS used_cells, sum(max_n)::BIGINT AS dynamic_cells,
-  count(*) * 511 AS fixed_cells, round(sum(max_n) / count(*), 6) AS mean_padded_length,
-  round(1 - sum(max_n) / (count(*) * 511), 6) AS saved_share FROM batched""",
-)
-_add(
-    "scored_token_share",
-    EXAMPLES,
-    """SELECT count(*) AS n_rows, sum(k)::BIGINT AS n_scored, sum(n)::BIGINT AS n_targets, round(sum(k) / sum(n), 6) AS scored_share
-FROM (SELECT n, len(list_filter(y, lambda v: v >= 0)) AS k FROM examples)""",
+    PAIRS,
+    f"""SELECT pair_id, (row_number() OVER (ORDER BY md5('7|' || pair_id || '|batch'), pair_id) - 1) // {registry.BATCH} AS batch_id,
+  true AS padded, {_FRAMED} FROM uniq""",
 )
 
 # -- evaluation ------------------------------------------------------------------------------------
@@ -1017,7 +814,7 @@ _add(
     GRAMMAR + "," + _STREAM_KEYS + "," + _drawn("stream_keys"),
     "SELECT DISTINCT prompt, diagram FROM drawn",
 )
-_add("stream_tokenize", TOKENS, _TOTALS)
+_add("stream_tokenize", SPLIT_DOCS, _TOTALS)
 _add(
     "synthesize_diagrams",
     PAIRS,

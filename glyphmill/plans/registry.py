@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.functions import bytelevel as bl
 from glyphmill.functions import graphs
 from glyphmill.functions import text as tx
 from glyphmill.operators import bpe as bp
@@ -34,8 +35,12 @@ def query(f: Query) -> Query:
     return f
 
 
+def _md5_of(text):
+    return F.md5(text.cast("binary"))
+
+
 def _md5(column: str):
-    return F.md5(F.col(column).cast("binary"))
+    return _md5_of(F.col(column))
 
 
 # -- sources and sinks ----------------------------------------------------------
@@ -73,16 +78,11 @@ def _written_tokens(spark, sf_dir):
 
 @query
 def token_shards(spark, sf_dir):
-    tokens = _written_tokens(spark, sf_dir)
+    blocks = _blocks(spark, sf_dir)
     path = work_path(spark, "blocks")
-    stores.write_blocks(packing.pack_blocks(tokens, BLOCK), path)
-    stores.write_blocks(packing.pack_blocks(tokens, BLOCK), path)  # present, so kept
-    total = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a + t)
-    return stores.read_blocks(spark, path).groupBy("split").agg(
-        F.count("*").alias("n_blocks"),
-        F.sum(F.size("tokens")).alias("n_tokens"),
-        F.sum(total * (F.col("block_id") + 1)).alias("checksum"),
-    )
+    stores.write_blocks(blocks, path)
+    stores.write_blocks(blocks, path)  # present, so kept
+    return _unpacked(spark, sf_dir, stores.read_blocks(spark, path))
 
 
 def _phrase_use(spark, sf_dir):
@@ -302,9 +302,13 @@ def bpe_train(spark, sf_dir):
 
 @query
 def bpe_encode(spark, sf_dir):
-    ids = i.documents(spark, sf_dir).withColumn("ids", bp.encode(F.col("text"), i.vocabulary(spark, sf_dir)))
+    bpe = i.vocabulary(spark, sf_dir)
+    ids = i.documents(spark, sf_dir).withColumn("ids", bp.encode(F.col("text"), bpe))
     return ids.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), i.id_text(F.col("ids")).alias("ids_md5")
+        "doc_id",
+        bp.token_bytes(F.col("ids"), bpe).alias("n_bytes"),
+        _md5_of(F.array_join(bp.token_strings(F.col("ids"), bpe), "")).alias("shown_md5"),
+        F.forall("ids", lambda t: (t >= bl.FIRST_BYTE) & (t < bpe.size)).alias("in_range"),
     )
 
 
@@ -313,7 +317,7 @@ def bpe_decode(spark, sf_dir):
     bpe = i.vocabulary(spark, sf_dir)
     ids = i.documents(spark, sf_dir).withColumn("ids", bp.encode(F.col("text"), bpe))
     return ids.select(
-        "doc_id", F.md5(bp.decode(F.col("ids"), bpe).cast("binary")).alias("text_md5")
+        "doc_id", F.md5(bp.decode(F.col("ids"), bpe, skip_special=False).cast("binary")).alias("text_md5")
     )
 
 
@@ -342,7 +346,7 @@ def cheap_word_pairs(spark, sf_dir):
 
 @query
 def split_token_totals(spark, sf_dir):
-    return bp.token_totals(i.token_table(spark, sf_dir))
+    return bp.token_conservation(i.token_table(spark, sf_dir), i.vocabulary(spark, sf_dir))
 
 
 # -- lexicon and grammar -------------------------------------------------------------
@@ -467,37 +471,43 @@ def document_split(spark, sf_dir):
 
 @query
 def append_eot(spark, sf_dir):
+    text = bp.decode(F.col("ids"), i.vocabulary(spark, sf_dir))
     return i.token_table(spark, sf_dir).select(
         "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.size(F.filter("ids", lambda t: t == bl.EOT)).cast("bigint").alias("n_ends"),
         F.element_at("ids", -1).cast("bigint").alias("last_id"),
+        _md5_of(text).alias("text_md5"),
     )
 
 
 def _blocks(spark, sf_dir):
-    return packing.pack_blocks(_written_tokens(spark, sf_dir), BLOCK)
+    return packing.pack_blocks(_written_tokens(spark, sf_dir), BLOCK, keep_tail=True)
+
+
+def _unpacked(spark, sf_dir, blocks):
+    """The texts that come back out of packed blocks, per split."""
+    ids = packing.unpack_blocks(blocks, BLOCK)
+    text = bp.decode(F.col("ids"), i.vocabulary(spark, sf_dir))
+    return ids.select("split", _md5_of(text).alias("text_md5")).groupBy("split", "text_md5").agg(F.count("*").alias("n_docs"))
 
 
 @query
 def pack_blocks(spark, sf_dir):
-    return _blocks(spark, sf_dir).select(
-        "split",
-        "block_id",
-        F.size("tokens").cast("bigint").alias("n_tokens"),
-        i.id_text(F.col("tokens")).alias("tokens_md5"),
-    )
+    return _unpacked(spark, sf_dir, _blocks(spark, sf_dir))
 
 
 @query
 def next_token_pairs(spark, sf_dir):
-    return packing.next_token_pairs(_blocks(spark, sf_dir), BLOCK).select(
-        "split", "block_id", i.id_text(F.col("x")).alias("x_md5"), i.id_text(F.col("y")).alias("y_md5")
-    )
+    examples = written(packing.next_token_pairs(_blocks(spark, sf_dir), BLOCK), "next-token-pairs")
+    follows = F.slice("x", F.lit(2), F.size("x")) == F.slice("y", F.lit(1), F.greatest(F.size("x") - 1, F.lit(0)))
+    chained = examples.groupBy("split").agg(F.bool_and(follows).alias("y_follows"))
+    back = _unpacked(spark, sf_dir, examples.withColumnRenamed("x", "tokens"))
+    return back.join(chained, "split")
 
 
 @query
 def epoch_batches(spark, sf_dir):
-    blocks = written(_blocks(spark, sf_dir), "blocks")
+    blocks = written(packing.pack_blocks(_written_tokens(spark, sf_dir), BLOCK), "blocks")
     return packing.epoch_batches(blocks).select("split", "block_id", "batch_id", "row")
 
 
@@ -510,15 +520,22 @@ def _batched(spark, sf_dir):
     return instruct.assign_batches(examples, BATCH)
 
 
-def _flat_examples(df, *keys):
-    return df.select(
-        *keys, "n", i.id_text(F.col("x")).alias("x_md5"), i.id_text(F.col("y")).alias("y_md5")
-    )
+def _framed(df, bpe):
+    """What an example says: its first id, the masked text, the scored text, and its last target."""
+    masked = F.zip_with("x", F.concat(F.array(F.lit(-1)), "y"), lambda x, y: F.when(y < 0, x))
+    scored = F.filter("y", lambda t: t >= 0)
+    return [
+        F.get("x", F.lit(0)).cast("bigint").alias("first_id"),
+        _md5_of(bp.decode(F.filter(masked, lambda t: t.isNotNull()), bpe)).alias("prompt_md5"),
+        _md5_of(bp.decode(scored, bpe)).alias("diagram_md5"),
+        F.element_at(scored, -1).cast("bigint").alias("last_id"),
+    ]
 
 
 @query
 def instruction_encode(spark, sf_dir):
-    return _flat_examples(_examples(spark, sf_dir), "pair_id")
+    examples = _examples(spark, sf_dir)
+    return examples.select("pair_id", *_framed(examples, i.vocabulary(spark, sf_dir)))
 
 
 def _chats(spark, sf_dir):
@@ -529,13 +546,27 @@ def _chats(spark, sf_dir):
 
 @query
 def conversation_encode(spark, sf_dir):
-    return _flat_examples(_chats(spark, sf_dir), "conv_id")
+    # 511 ids of at most 100 turns hold the first 100 characters of any conversation.
+    text = bp.decode(F.col("x"), i.vocabulary(spark, sf_dir))
+    return _chats(spark, sf_dir).select(
+        "conv_id",
+        (F.col("n") < instruct.MAX_LEN).alias("fits"),
+        F.get("x", F.lit(0)).cast("bigint").alias("first_id"),
+        F.substring(text, 1, 100).alias("opening"),
+    )
 
 
 @query
 def dynamic_padding(spark, sf_dir):
     padded = instruct.pad_batches(_batched(spark, sf_dir))
-    return _flat_examples(padded, "pair_id", "batch_id", "max_n")
+    tail = F.slice("x", F.col("n").cast("int") + 1, F.size("x")), F.slice("y", F.col("n").cast("int") + 1, F.size("y"))
+    clean = F.forall(tail[0], lambda t: t == bl.PAD) & F.forall(tail[1], lambda t: t == instruct.IGNORE)
+    even = (F.size("x") == F.col("max_n")) & (F.size("y") == F.col("max_n"))
+    head = padded.withColumn("x", F.slice("x", F.lit(1), F.col("n").cast("int")))
+    framed = _framed(head, i.vocabulary(spark, sf_dir))
+    return padded.withColumn("padded", clean & even).withColumn(
+        "x", F.slice("x", F.lit(1), F.col("n").cast("int"))
+    ).select("pair_id", "batch_id", "padded", *framed)
 
 
 @query
@@ -673,7 +704,7 @@ def stream_tokenize(spark, sf_dir):
         source, i.vocabulary(spark, sf_dir), sink, work_path(spark, "stream-tokens-state")
     ).awaitTermination()
     shards = spark.read.schema("doc_id bigint, split string, ids array<int>").parquet(sink)
-    return bp.token_totals(shards)
+    return bp.token_conservation(shards, i.vocabulary(spark, sf_dir))
 
 
 # -- prompt to diagram -----------------------------------------------------------------------------
@@ -697,7 +728,7 @@ def unmatched_prompts(spark, sf_dir):
     return synthesize.unmatched(prompts, matched, "key").select("key", "reason")
 
 
-# -- the vocabulary of full size -------------------------------------------------------------------
+# -- the kit of cheap words -----------------------------------------------------------------------
 
 
 def _full_size(f: Query) -> Query:
@@ -708,15 +739,8 @@ def _full_size(f: Query) -> Query:
     return build
 
 
-# Queries that use the vocabulary, trained to its full size on the mixed corpus.
-# SQL cannot repeat that many merges, so these have no twin.
-FULL_VOCABULARY = (
-    "append_eot bpe_decode bpe_encode bpe_train cheap_costly_words cheap_word_pairs conversation_encode "
-    "dynamic_padding epoch_batches instruction_encode lexicon_token_cost_filter next_token_pairs pack_blocks "
-    "padding_waste_report prefix_token_audit scored_token_share split_token_totals stream_tokenize "
-    "token_cost_report token_shards vocab_bounds_check vocab_tables"
-).split()
-# Queries that use the pools and fragments: the kit is built with that vocabulary.
+# Queries that use the pools and fragments, with a kit built from what the vocabulary handles cheaply.
+# SQL cannot repeat that choice, so these have no twin.
 FULL_KIT = (
     "axis_costs axis_sets corrupted_outputs diagram_openers diagram_skeleton generate_pairs label_pools "
     "lexicon_report metric_self_check miss_examples normalize_code novel_slots novel_spans pair_mix_report "
@@ -724,4 +748,4 @@ FULL_KIT = (
     "sanitize_diagrams shape_accuracy shape_match slot_metrics slot_outcomes split_leakage_audit stage_audit "
     "stream_pairs synthesize_diagrams title_case_warning unmatched_prompts"
 ).split()
-FULL: dict[str, Query] = {f"full_{name}": _full_size(QUERIES[name]) for name in FULL_VOCABULARY + FULL_KIT}
+FULL: dict[str, Query] = {f"full_{name}": _full_size(QUERIES[name]) for name in FULL_KIT}

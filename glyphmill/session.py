@@ -64,9 +64,7 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 def clear_work(spark: SparkSession) -> None:
     """Remove every intermediate table of this application; results that still read them end here."""
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    remove_path(spark, work_dir(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -78,15 +76,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written_at(df: DataFrame, name: str, *partition_by: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as a Parquet table in the shared folder; the table read back, and its path."""
+    path = work_path(df.sparkSession, name)
+    writer = df.write
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Used between two passes over an expensive input: the second pass reads only
     the columns it needs and survives the loss of any executor.
     """
-    path = work_path(df.sparkSession, name)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written_at(df, name, *partition_by)[0]
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a written table whose last reader is done."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

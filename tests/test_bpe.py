@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,6 +14,7 @@ from tokenizers import Tokenizer, decoders, models, pre_tokenizers, trainers
 
 from glyphmill.functions import bytelevel as bl
 from glyphmill.operators import bpe as bp
+from glyphmill.operators import training
 from glyphmill.session import work_path
 from glyphmill.sources import stores
 
@@ -70,7 +73,8 @@ def test_vocabulary_equals_library(trained):
 
 def test_one_by_one_training_gives_the_same_merges(trained):
     bpe, _, freq = trained
-    assert bp.train_bpe(freq, bl.FIRST_MERGE + 30, merges_per_round=1).merges == bpe.merges[:30]
+    assert bp.train_bpe(freq, bl.FIRST_MERGE + 30, pairs=1).merges == bpe.merges[:30]
+    assert bp.train_bpe(freq, bl.FIRST_MERGE + 60, pairs=500, most_runs=20).merges == bpe.merges[:60]
 
 
 def test_training_with_ties_and_repeats(spark):
@@ -146,10 +150,10 @@ def test_token_strings(spark, trained):
 
 
 def test_independent_prefix_stops_at_the_first_conflict():
-    assert bp.independent_prefix([(1, 2), (3, 4), (2, 5), (6, 7)], 9) == [(1, 2), (3, 4)]
-    assert bp.independent_prefix([(1, 2), (3, 1)], 9) == [(1, 2)]
-    assert bp.independent_prefix([(1, 2), (1, 3), (4, 2)], 2) == [(1, 2), (1, 3)]
-    assert bp.independent_prefix([(1, 1), (1, 2)], 9) == [(1, 1)]
+    assert training.independent_prefix([(1, 2), (3, 4), (2, 5), (6, 7)], 9) == [(1, 2), (3, 4)]
+    assert training.independent_prefix([(1, 2), (3, 1)], 9) == [(1, 2)]
+    assert training.independent_prefix([(1, 2), (1, 3), (4, 2)], 2) == [(1, 2), (1, 3)]
+    assert training.independent_prefix([(1, 1), (1, 2)], 9) == [(1, 1)]
 
 
 def test_check_vocab(spark):
@@ -231,14 +235,65 @@ def test_an_unfinished_shard_folder_is_written_again(spark):
     assert stores.read_blocks(spark, path).count() == 1
 
 
-def test_updated_counts_equal_a_recount(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
-    table = bp.symbol_table(bp.pretoken_frequencies(docs)).filter(F.col("symbols").contains("  ")).cache()
-    counts = bp.pair_counts(table)
-    for k, row in enumerate(counts.orderBy(F.desc("n"), "left", "right").limit(3).collect()):
-        pair = [(row["left"], row["right"])]
-        counts = bp.updated_counts(counts, table, pair, bl.FIRST_MERGE + k)
-        table = bp.merge_pairs(table, pair, bl.FIRST_MERGE + k)
-    whole = bp.pair_counts(table).select("left", "right", "n")
-    assert counts.select("left", "right", "n").exceptAll(whole).count() == 0
-    assert whole.exceptAll(counts.select("left", "right", "n")).count() == 0
+def test_pair_totals_equal_a_count_of_symbols(spark, sf_dir):
+    freq = bp.pretoken_frequencies(spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40))
+    whole = {(r["left"], r["right"]): r["n"] for r in bp.pair_counts(bp.symbol_table(freq)).collect()}
+    found = {training._pair(r["pair"]): r["n"] for r in training.pair_totals(training.coded(freq)).collect()}
+    assert found == whole
+
+
+def rows_of(df):
+    return sorted((np.frombuffer(r["ids"], np.int32).tolist(), r["n"]) for r in df.collect())
+
+
+def table_of(spark, rows):
+    coded = [(np.array(ids, np.int32).tobytes(), n) for ids, n in rows]
+    return spark.createDataFrame(coded, "ids binary, n bigint").repartition(2)
+
+
+def test_runs_are_the_longest_stretches_of_taken_pairs(spark):
+    table = table_of(spark, [([1, 2, 3, 9, 1, 2], 5), ([9, 9], 1), ([2, 3, 1], 2), ([1, 2], 4)])
+    taken = [(1 << 32) | 2, (2 << 32) | 3]
+    assert rows_of(training.runs_of(table, taken)) == [([1, 2], 9), ([1, 2, 3], 5), ([2, 3], 2)]
+
+
+def test_a_rewrite_merges_leftmost_first_and_drops_single_symbols(spark):
+    table = table_of(spark, [([5, 5, 5, 5, 5], 1), ([5, 5], 2), ([6, 5, 5, 6], 3), ([7, 8], 4)])
+    merged = training.merged(table, [(5, 5), (300, 300)], 300)
+    assert rows_of(merged) == [([6, 300, 6], 3), ([7, 8], 4), ([301, 5], 1)]
+
+
+@given(st.lists(st.tuples(st.lists(st.integers(0, 3), min_size=2, max_size=9), st.integers(1, 5)), min_size=1, max_size=25), st.integers(1, 6))
+@settings(max_examples=200, deadline=None)
+def test_runs_decide_the_next_merges_like_whole_words(words, taken):
+    """The replay over runs of the top pairs equals that over whole words, down to the best pair left out."""
+    counts = Counter(p for ids, n in words for p in zip(ids, ids[1:]) for _ in range(n))
+    ranked = sorted(counts, key=lambda p: (-counts[p], p))
+    above = counts[ranked[taken]] if len(ranked) > taken else 0
+    kept = {p for p in ranked if counts[p] > above}
+    runs = Counter()
+    for ids, n in words:
+        run = ids[:1]
+        for a, b in zip(ids, ids[1:]):
+            if (a, b) in kept:
+                run.append(b)
+            else:
+                runs[tuple(run)] += n
+                run = [b]
+        runs[tuple(run)] += n
+    found = training.replay(list(runs.items()), 99, 100, above)
+    assert found == training.replay(words, len(found), 100)
+    assert found or not kept
+
+
+def test_special_tokens_inside_a_text_are_one_id_each(spark, trained):
+    bpe, lib, _ = trained
+    names = bl.SPECIAL_TOKENS
+    texts = ["".join(names), " ".join(names), "a" + "b  ".join(names) + " c", "x!!<|endoftext|>!!", "<|end|> <|endoftext| <|pad|>>", "<<|pad|>|>"]
+    assert ids_of(spark, bpe, texts) == [lib.encode(t).ids for t in texts]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = bp.encode(F.col("text"), bpe, specials=False)
+    rows = df.select("text", plain.alias("ids"), bp.decode(plain, bpe).alias("back")).collect()
+    assert all(r["back"] == r["text"] and min(r["ids"]) >= bl.FIRST_BYTE for r in rows)
+    shown = df.select("text", bp.decode(bp.encode(F.col("text"), bpe), bpe, skip_special=False).alias("back")).collect()
+    assert all(r["back"] == r["text"] for r in shown)

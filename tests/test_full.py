@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections import Counter
 
 import pytest
 from test_bpe import library
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 import __spark_entry__ as driver
 from glyphmill.functions import bytelevel as bl
 from glyphmill.operators import bpe as bp
-from glyphmill.operators import pairs
+from glyphmill.operators import instruct, pairs
 from glyphmill.plans import inputs
 from glyphmill.plans.registry import DECLARED_VOCABULARY, FULL
 
@@ -43,16 +45,16 @@ def one_by_one(freq, wanted):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_counted_and_distributed_training_equal_one_by_one(spark, seed):
+def test_training_by_rounds_equals_one_by_one(spark, seed):
     rng = random.Random(seed)
     words = {"aaaaaaa", "aaaa", "abababa", "x", "Ġé", "漢字漢字"}
     words |= {"".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(60)}
     freq = [(w, rng.randint(1, 4)) for w in sorted(words)]
     df = spark.createDataFrame(freq, "pretoken string, n bigint")
     want = one_by_one(freq, 10_000)
-    assert bp.train_bpe(df, bl.FIRST_MERGE + 10_000, local_pretokens=1000).merges == want
-    assert bp.train_bpe(df, bl.FIRST_MERGE + 30, local_pretokens=1000).merges == want[:30]
-    assert bp.train_bpe(df, bl.FIRST_MERGE + 30, local_pretokens=5).merges == want[:30]
+    assert bp.train_bpe(df, bl.FIRST_MERGE + 10_000).merges == want
+    assert bp.train_bpe(df, bl.FIRST_MERGE + 10_000, pairs=40, most_runs=30).merges == want
+    assert bp.train_bpe(df, bl.FIRST_MERGE + 30, pairs=2).merges == want[:30]
 
 
 def test_full_vocabulary_is_that_of_the_library_over_the_mixed_corpus(spark, sf_dir):
@@ -60,30 +62,70 @@ def test_full_vocabulary_is_that_of_the_library_over_the_mixed_corpus(spark, sf_
     made = pairs.generate_pairs(inputs.order_ids(spark, sf_dir), kit)
     mixed = pairs.mixed_corpus(pairs.tokenizer_lines(kit.pool, made), inputs.documents(spark, sf_dir))
     lib = library([r["text"] for r in mixed.select("text").collect()], bp.VOCAB_SIZE).get_vocab()
-    rows = driver.queries()["full_vocab_tables"](spark, sf_dir).collect()
+    rows = driver.queries()["vocab_tables"](spark, sf_dir).collect()
     assert {r["token"]: r["id"] for r in rows} == lib
-    assert len(rows) > bl.FIRST_MERGE + inputs.QUERY_MERGES
-
-
-def test_full_queries_use_the_full_vocabulary(spark, sf_dir):
-    assert set(FULL) <= set(driver.queries())
-    few, full = (
-        {r["doc_id"]: r["n_tokens"] for r in driver.queries()[q](spark, sf_dir).collect()}
-        for q in ("bpe_encode", "full_bpe_encode")
-    )
-    assert few.keys() == full.keys()
-    assert sum(full.values()) < 0.5 * sum(few.values())
-    decoded = {q: sorted(driver.queries()[q](spark, sf_dir).collect()) for q in ("bpe_decode", "full_bpe_decode")}
-    assert decoded["bpe_decode"] == decoded["full_bpe_decode"]
-    row = driver.queries()["full_vocab_bounds_check"](spark, sf_dir).first()
+    rules = driver.queries()["bpe_train"](spark, sf_dir).orderBy("rank").collect()
+    assert [r["rank"] for r in rules] == list(range(len(lib) - bl.FIRST_MERGE))
+    assert all(r["merged"] == r["left_token"] + r["right_token"] and r["merged"] in lib for r in rules)
+
+
+def test_queries_use_the_vocabulary_of_the_library(spark, sf_dir):
+    bpe = inputs.vocabulary(spark, sf_dir)
+    texts = {r["doc_id"]: r["text"] for r in inputs.documents(spark, sf_dir).collect()}
+    lib = Tokenizer(models.BPE.from_file(*library_files(bpe)))
+    lib.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    ids = {r["doc_id"]: r["ids"] for r in inputs.token_table(spark, sf_dir).collect()}
+    assert ids == {k: lib.encode(t).ids + [bl.EOT] for k, t in texts.items()}
+    row = driver.queries()["vocab_bounds_check"](spark, sf_dir).first()
     assert row["tokenizer_size"] <= DECLARED_VOCABULARY and row["verdict"] != "error"
-    kept, all_kept = (
-        {r["word"] for r in driver.queries()[q](spark, sf_dir).collect()}
-        for q in ("lexicon_token_cost_filter", "full_lexicon_token_cost_filter")
-    )
-    assert len(all_kept) > len(kept)
-    examples = driver.queries()["full_instruction_encode"](spark, sf_dir).collect()
-    assert examples
+
+    costs = lambda words: {w: len(lib.encode(" " + w).ids) for w in words}
+    words = {r["word"] for r in inputs.document_words(spark, sf_dir).collect()}
+    kept = {r["word"] for r in driver.queries()["lexicon_token_cost_filter"](spark, sf_dir).collect()}
+    assert kept == {w for w, n in costs(words).items() if n <= 2} and kept != words
+
+    fit = {(r["kind"], r["cost"]): r["n_words"] for r in driver.queries()["cheap_costly_words"](spark, sf_dir).collect()}
+    listed = [(r["kind"], r["word"]) for r in inputs.lexicon_words(spark, sf_dir).collect()] + [("corpus", w) for w in words]
+    cost = costs({w for _, w in listed})
+    assert fit == Counter((k, cost[w]) for k, w in listed)
+    cheap = sorted((k, w) for k, w in listed if cost[w] <= 2)
+    want = [f"{cheap[k][1]} {cheap[-1 - k][1]}" for k in range(min(6, len(cheap) // 2))]
+    pairs_ = driver.queries()["cheap_word_pairs"](spark, sf_dir).orderBy("k").collect()
+    assert [(r["label"], r["cost"]) for r in pairs_] == [(w, len(lib.encode(" " + w).ids)) for w in want]
+    report = {r["grp"]: (r["n_probes"], r["max_cost"]) for r in driver.queries()["token_cost_report"](spark, sf_dir).collect()}
+    assert report["corpus"] == (len(words), max(costs(words).values()))
+
+
+def library_files(bpe):
+    """The rules in the library's own file format."""
+    import json
+    import tempfile
+
+    tokens = bpe.tokens()
+    folder = tempfile.mkdtemp()
+    with open(f"{folder}/vocab.json", "w") as f:
+        json.dump({t: k for k, t in enumerate(tokens)}, f)
+    with open(f"{folder}/merges.txt", "w") as f:
+        f.write("\n".join(f"{tokens[a]} {tokens[b]}" for a, b in bpe.merges))
+    return f"{folder}/vocab.json", f"{folder}/merges.txt"
+
+
+def plain_examples(spark, sf_dir):
+    examples = instruct.encode_pairs(inputs.distinct(spark, sf_dir), inputs.vocabulary(spark, sf_dir))
+    return {r["pair_id"]: r for r in examples.select("pair_id", "n", "y").collect()}
+
+
+def test_padding_and_scored_shares_match_plain_sums(spark, sf_dir):
+    rows = plain_examples(spark, sf_dir)
+    order = sorted(rows, key=lambda k: (hashlib.md5(f"7|{k}|batch".encode()).hexdigest(), k))
+    batches = [[rows[k]["n"] for k in order[a : a + 32]] for a in range(0, len(order), 32)]
+    got = driver.queries()["padding_waste_report"](spark, sf_dir).first()
+    assert got["n_batches"] == len(batches)
+    assert got["used_cells"] == sum(map(sum, batches))
+    assert got["dynamic_cells"] == sum(len(b) * max(b) for b in batches)
+    share = driver.queries()["scored_token_share"](spark, sf_dir).first()
+    assert share["n_targets"] == sum(r["n"] for r in rows.values())
+    assert share["n_scored"] == sum(sum(t >= 0 for t in r["y"]) for r in rows.values())
 
 
 def test_full_kit_takes_cheap_words_and_fragments_of_the_vocabulary(spark, sf_dir):

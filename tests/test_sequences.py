@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -186,3 +187,15 @@ def test_a_null_turn_is_an_empty_one(spark):
 def test_a_null_document_is_a_lone_end_mark(spark):
     df = spark.createDataFrame([(0, "train", [5]), (1, "train", None)], TOKENS)
     assert [r["ids"] for r in packing.with_eot(df).orderBy("doc_id").collect()] == [[5, bl.EOT], [bl.EOT]]
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 7, 50])
+def test_unpacking_gives_back_every_document(spark, length):
+    docs = [[11, 12, 13], [], [14], [15] * 20, [16, 17], [], [18]]
+    rows = [(i, ["train", "val"][i % 3 == 0], ids + [packing.EOT]) for i, ids in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id long, split string, ids array<int>")
+    back = packing.unpack_blocks(packing.pack_blocks(df, length, keep_tail=True), length).collect()
+    assert sorted((r["split"], r["ids"]) for r in back) == sorted((s, ids[:-1]) for _, s, ids in rows)
+    cut = packing.unpack_blocks(packing.pack_blocks(df, length), length).collect()
+    whole = Counter((r["split"], tuple(r["ids"])) for r in back)
+    assert not Counter((r["split"], tuple(r["ids"])) for r in cut) - whole
