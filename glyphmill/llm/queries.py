@@ -29,8 +29,6 @@ from glyphmill.session import written
 from glyphmill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-# Further queries without a SQL twin.
-WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(f):
@@ -38,11 +36,6 @@ def query(f):
     return f
 
 
-def whole(f):
-    WHOLE[f.__name__] = f
-    return f
-
-
 @query
 def op1_distribution_divergence(spark, sf_dir):
     feats = written(divergence.features(table(spark, sf_dir, "documents")), "divergence")
@@ -154,14 +147,7 @@ def _changes(events):
     return events.select("pattern", "at", changes.alias("c")).select("pattern", "at", "c.*")
 
 
-def list_entries(spark, sf_dir):
-    """An event whose id is a page's id changes a list for that page's host at the event's time."""
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("event_id"), urllists.host(F.col("url")).alias("pattern"))
-    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").alias("at"))
-    return _changes(events.join(pages, "event_id"))
-
-
-def all_list_entries(events, pages):
+def list_entries(events, pages):
     """Every event changes a list for one host: the distinct hosts in md5 order, taken in turn by event id."""
     hosts = pages.select(urllists.host(F.col("url")).alias("pattern")).dropna().distinct()
     hosts = hosts.select(F.lit(0).alias("all"), "pattern", F.md5(F.col("pattern").cast("binary")).alias("hex"))
@@ -186,10 +172,5 @@ def _judged(captures, entries):
 
 @query
 def op8_temporal_url_lists(spark, sf_dir):
-    return _judged(_captures(spark, sf_dir), list_entries(spark, sf_dir))
-
-
-@whole
-def op8_temporal_url_lists_all_events(spark, sf_dir):
-    entries = all_list_entries(table(spark, sf_dir, "events"), table(spark, sf_dir, "pages"))
+    entries = list_entries(table(spark, sf_dir, "events"), table(spark, sf_dir, "pages"))
     return _judged(_captures(spark, sf_dir), entries)

@@ -178,13 +178,16 @@ WITH c AS (
     FROM c WHERE length(h) BETWEEN 1 AND 253), (VALUES ('a'), ('b')) v(t),
     LATERAL (SELECT CASE WHEN t = 'a' THEN '' WHEN seg <> '' THEN '/' || seg END AS tail)
   WHERE tail IS NOT NULL
+), hosts AS (
+  SELECT h AS pattern, row_number() OVER (ORDER BY md5(h), h) - 1 AS place, count(*) OVER () AS n
+  FROM (SELECT DISTINCT h FROM c WHERE length(h) BETWEEN 1 AND 253)
 ), e AS (
-  SELECT h AS pattern, epoch_us(ts) // 1000000 AS start, ts,
+  SELECT pattern, epoch_us(ts) // 1000000 AS start, ts,
          CASE event_type WHEN 'error' THEN 'malware' WHEN 'signup' THEN 'malware' WHEN 'click' THEN 'ads'
            WHEN 'view' THEN 'ads' WHEN 'purchase' THEN 'partners' END AS list_name,
          CASE WHEN event_type = 'purchase' THEN 'allow' ELSE 'block' END AS kind,
          event_type IN ('error', 'click', 'purchase') AS active
-  FROM events JOIN c ON event_id = page_id WHERE length(h) BETWEEN 1 AND 253
+  FROM events JOIN hosts ON event_id % n = place
 ), points AS (
   SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY list_name, kind, pattern, start ORDER BY ts DESC, active DESC) = 1
 ), spans AS (

@@ -19,7 +19,7 @@ from glyphmill.llm import pii, queries, urllists
 def test_every_event_makes_a_list_entry(spark, sf_dir):
     events, pages = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "pages"))
     rows = events.select("event_id", "event_type", "ts").collect()
-    entries = queries.all_list_entries(events, pages).collect()
+    entries = queries.list_entries(events, pages).collect()
     assert len(entries) == len(rows)
     assert sorted(e["at"] for e in entries) == sorted(r["ts"] for r in rows)
 
@@ -31,7 +31,7 @@ def test_every_event_makes_a_list_entry(spark, sf_dir):
         name, kind, action = queries.LIST_ACTIONS[r["event_type"]]
         micros = r["ts"].replace(tzinfo=r["ts"].tzinfo or timezone.utc)
         dated[hosts[r["event_id"] % len(hosts)], name, kind].append((micros, action == "add"))
-    got = {r["page_id"]: r for r in driver.queries()["op8_temporal_url_lists_all_events"](spark, sf_dir).collect()}
+    got = {r["page_id"]: r for r in driver.queries()["op8_temporal_url_lists"](spark, sf_dir).collect()}
     assert len(got) == len(found)
     states = set()
     for p in found:
@@ -50,6 +50,11 @@ def test_every_event_makes_a_list_entry(spark, sf_dir):
         assert row["blocked"] == ("block" in kinds and "allow" not in kinds)
         states.add((p["host"], row["lists"]))
     assert len(states) > len(hosts)
+    # Entries cover the month, and most captures lie between two of them.
+    times = sorted(e["at"].replace(tzinfo=timezone.utc).timestamp() for e in entries)
+    assert times[-1] - times[0] > 27 * 86_400
+    seconds = [1_704_067_200 + p["page_id"] * 7919 % 2_592_000 for p in found]
+    assert sum(times[0] < t < times[-1] for t in seconds) > 0.5 * len(seconds)
 
 
 # -- 4: thresholds over all candidates ---------------------------------------------
