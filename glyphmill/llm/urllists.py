@@ -86,12 +86,9 @@ def judge(
         F.col(url_column).alias("url"),
         F.floor(F.unix_micros(F.col(time_column).cast("timestamp")) / 1_000_000).cast("bigint").alias("second"),
     ).dropna()
-    # An explicit number of partitions is not merged, so that the keys are spread out by many tasks.
-    spread = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    moments = moments.repartition(spread, "url", "second").distinct()
-    asked = moments.select("url", "second", F.explode(keys(F.col("url"))).alias("pattern")).withColumn(
-        "slice", F.floor(F.col("second") / width)
-    )
+    # Keys are laid out where the captures are read, by as many tasks, and repeated ones dropped after.
+    asked = moments.select("url", "second", F.explode(keys(F.col("url"))).alias("pattern")).distinct()
+    asked = asked.withColumn("slice", F.floor(F.col("second") / width))
     # An open interval ends with the last capture; only slices that captures reach are laid out.
     span = moments.agg(F.min("second").alias("first"), F.max("second").alias("last")).first()
     if span["first"] is None:
