@@ -12,7 +12,7 @@ Texts with equal shingle sets form one class; all work is between classes.
     Classes sharing such a shingle meet in a tile, cut by size band (sets whose
     sizes differ too much cannot link) and, where a tile is large, into pairs
     of blocks.  Tiles whose classes are all in one group are done already.
-    Inside a tile, 512-bit hashed bitmaps bound each pair's overlap from above;
+    Inside a tile, 1024-bit hashed bitmaps bound each pair's overlap from above;
     what passes is verified by intersecting the sorted shingle arrays.
 
 Nothing is dropped on the way: step 1 only finds links sooner, and the order of
@@ -40,10 +40,10 @@ from glyphmill.llm.common import modest_batches
 from glyphmill.llm.components import components
 from glyphmill.llm.flattext import flat, mix, slices, word_hashes, word_limits
 from glyphmill.plans.sizing import small_side
-from glyphmill.session import written
+from glyphmill.session import remove_path, written, written_at
 
 BLOCK = 4096
-SIGNATURE_BITS = 512
+SIGNATURE_BITS = 1024
 PAIRS_AT_ONCE = 1 << 17
 FIRST_TILES = 12
 SKETCH = "doc_id bigint, key binary, n bigint, bits binary, bands array<bigint>, block int, counts array<bigint>"
@@ -106,7 +106,7 @@ def set_key(shingles: np.ndarray) -> bytes:
 
 def _signature(shingles: np.ndarray) -> bytes:
     bits = np.zeros(SIGNATURE_BITS, bool)
-    bits[(shingles >> np.uint64(55)).astype(np.int64)] = True
+    bits[(shingles >> np.uint64(65 - SIGNATURE_BITS.bit_length())).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
@@ -346,13 +346,14 @@ def near_pairs(classes: DataFrame, turn: int) -> DataFrame:
 
 
 def near_links(classes: DataFrame, docs: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
-    """Verified links found by leaders, and ``classes`` with the groups they form.
+    """Verified links found by leaders, and the classes' ``key, k1, bands`` with the ``group`` they form.
 
     A member may miss one leader and meet the next, so a large group of near
     copies is joined in a few turns, each with at most one comparison per band
     and member.
     """
-    grouped = classes.withColumn("group", F.col("key"))
+    known = classes.select("key", "k1", "bands")
+    grouped = known.withColumn("group", F.col("key"))
     links = None
     for turn in range(p.rounds):
         found = verified(near_pairs(grouped, turn), classes, docs, p, likely=True)
@@ -360,38 +361,36 @@ def near_links(classes: DataFrame, docs: DataFrame, p: Params) -> tuple[DataFram
             break
         links = found if links is None else links.unionByName(found)
         labels = components(links).select(F.col("node").alias("key"), "label")
-        grouped = classes.join(labels, "key", "left").withColumn("group", F.coalesce("label", "key")).drop("label")
+        grouped = known.join(labels, "key", "left").withColumn("group", F.coalesce("label", "key")).drop("label")
         grouped = written(grouped, "grouped")
     return links, grouped
 
 
-def tile_pairs(prefixes: DataFrame, grouped: DataFrame, p: Params) -> DataFrame:
+def tile_pairs(prefixes: DataFrame, grouped: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
     """Candidate pairs between different groups, from the tiles of shared prefix shingles."""
-    met = written(
+    spark = prefixes.sparkSession
+    met, met_path = written_at(
         prefixes.join(grouped.select("k1", "key", "group"), "k1").select("h", "key", "group"), "tile-members"
     )
     # Near copies share many shingles, so many tiles hold the same classes; one of each is enough.
     same = [F.bit_xor(F.xxhash64(F.lit(k), F.col("key"))).alias(f"x{k}") for k in (1, 2)]
     mixed = met.groupBy("h").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("m"), *same)
     mixed = mixed.filter(F.col("low") != F.col("high")).groupBy("m", "x1", "x2").agg(F.min("h").alias("h"))
-    mixed = written(mixed.select("h"), "mixed-tiles")
-    own_tiles = written(met.join(mixed, "h"), "own-tiles")
+    own_tiles = written(met.join(mixed.select("h", "m"), "h"), "own-tiles")
+    remove_path(spark, met_path)
     # A pair belongs to the first tile it shares; the first few tiles of each class tell most repeats.
     firsts = own_tiles.groupBy("key").agg(F.slice(F.sort_array(F.collect_list("h")), 1, FIRST_TILES).alias("firsts"))
-    of = grouped.select("key", "n", "bits").join(firsts, "key")
+    of = classes.select("key", "n", "bits").join(firsts, "key")
     rows = own_tiles.join(written(of, "tile-classes"), "key")
-    # Bands are as wide as the largest size ratio of a link, so a set meets its
-    # own band and, as the larger one, the band below.
+    # Only crowded tiles are cut: into size bands as wide as the largest size ratio of a link (a set meets its own
+    # band and, as the larger one, the band below), and those into pairs of blocks.
+    crowded = F.col("m") > p.tile
     home = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / p.percent)) + 1e-9)
-    rows = rows.withColumn("band", F.explode(F.array(home, home - 1))).withColumn("visits", F.col("band") != home)
-    rows = written(rows, "tile-rows")
-    tiles = rows.groupBy("h", "band").agg(F.count("*").alias("size"), F.count_if(~F.col("visits")).alias("own"))
-    tiles = written(tiles.filter((F.col("size") > 1) & (F.col("own") > 0)), "tiles")
-    parts = F.ceil(F.col("size") / p.tile).cast("int")
-    mine = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
-    rows = rows.join(tiles.select("h", "band", parts.alias("parts")), ["h", "band"]).withColumn("mine", mine)
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    rows = rows.withColumn("other", other).withColumns(
+    bands = F.when(crowded, F.array(home, home - 1)).otherwise(F.array(F.lit(0).cast("bigint")))
+    rows = rows.withColumn("band", F.explode(bands)).withColumn("visits", crowded & (F.col("band") != home))
+    parts = F.when(crowded, F.ceil(F.col("m") / p.tile)).otherwise(1).cast("int")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("key"), parts).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).withColumns(
         {"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}
     )
 
@@ -473,8 +472,10 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     classes = written(classes.select("key", k1.alias("k1"), "rep", "of.*"), "classes")
 
     near, grouped = near_links(classes, docs, p)
-    prefixes = written(shared_prefixes(docs, rarity_levels(sketch, p), p), "prefixes")
-    far = verified(tile_pairs(prefixes, grouped, p), classes, docs, p, likely=False)
+    prefixes, path = written_at(shared_prefixes(docs, rarity_levels(sketch, p), p), "prefixes")
+    candidates = tile_pairs(prefixes, grouped, classes, p)
+    remove_path(docs.sparkSession, path)
+    far = verified(candidates, classes, docs, p, likely=False)
     labels = components(near.unionByName(far)).select(F.col("node").alias("key"), "label")
     named = classes.join(labels, "key", "left").select("key", "rep", F.coalesce("label", "key").alias("label"))
     named = written(named, "named")
