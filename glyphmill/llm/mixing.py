@@ -3,8 +3,12 @@
 Token counts of every (source, language, topic) cell are raked until their
 marginals meet the targets; a cell's ratio of raked to present tokens, scaled
 to the token budget and capped at one, is the probability with which its
-documents are drawn.  Cells are a table and all sweeps are joins and sums over
-it, so the number of sources is not bounded by any one task.
+documents are first drawn.  A cell at the cap cannot give all it should, so the
+probabilities are raked again under that bound, towards the marginals within
+reach: a value's share of the budget, but no more tokens than it has, the rest
+spread over the other values.  Cells are a table and all sweeps are joins and
+sums over it, so the number of sources is not bounded by any one task.
+``marginals`` tells target, reachable and expected share of every value.
 
 * Null sources and languages are values of their own.
 * A target value that no document has is ignored; a value without a target
@@ -47,6 +51,9 @@ class Params:
     keep_share: float = 0.75
     tolerance: float = 1e-3
     max_sweeps: int = 50
+    # Largest relative gap to a reachable marginal at which the bounded sweeps stop.
+    close_enough: float = 5e-3
+    bounded_sweeps: int = 12
     seed: int = 11
 
 
@@ -132,19 +139,100 @@ def probabilities(raked: DataFrame, params: Params = Params()) -> DataFrame:
     return rated.withColumn("probability", F.least(F.col("ratio") * scale, F.lit(1.0)))
 
 
+def reachable(table: DataFrame, dimension: str, params: Params, budget: float) -> DataFrame:
+    """``dimension, target, goal``: the tokens each value should have of the budget, and those it can have."""
+    now = table.groupBy(dimension).agg(F.sum("tokens").cast("double").alias("now"))
+    wished = lookup(goals(table, dimension, params), now, [dimension])
+    wished = written(wished.withColumnRenamed("goal", "wish"), f"wish-{dimension}")
+    wishes = wished.agg(F.sum("wish")).first()[0] or 1.0
+    scale, full = budget / wishes, -1
+    while True:
+        short = F.col("wish") * scale >= F.col("now")
+        sums = wished.agg(
+            F.sum(F.when(short, F.col("now"))).alias("sure"),
+            F.sum(F.when(~short, F.col("wish"))).alias("open"),
+            F.count_if(short).alias("full"),
+        ).first()
+        if not sums["open"] or sums["full"] == full:
+            break
+        full, scale = sums["full"], max(scale, (budget - (sums["sure"] or 0)) / sums["open"])
+    goal = F.least(F.col("now"), F.col("wish") * scale)
+    return wished.select(dimension, (F.col("wish") * (budget / wishes)).alias("target"), goal.alias("goal"))
+
+
+def bounded(rated: DataFrame, params: Params = Params()) -> DataFrame:
+    """``rated`` (cells with ``tokens`` and ``probability``) raked to the reachable marginals, no probability above one.
+
+    A value with too many tokens lowers all its cells, one with too few raises
+    those below one.  Sweeps end when every marginal is close enough, or, where
+    the marginals contradict each other, when a sweep hardly narrows the largest
+    gap any more; the gaps that remain are what ``marginals`` shows.
+    """
+    given = F.col("tokens") * F.col("probability")
+    budget = rated.agg(F.sum(given)).first()[0] or 0.0
+    if not budget:
+        return rated
+    targets = {d: written(reachable(rated, d, params, budget), f"reachable-{d}") for d in DIMENSIONS}
+    fitted, before = rated, float("inf")
+    for _ in range(params.bounded_sweeps):
+        gap = F.lit(0.0)
+        for d in DIMENSIONS:
+            now = fitted.groupBy(d).agg(F.sum(given).alias("now"), F.sum(F.when(F.col("probability") < 1, given)).alias("open"))
+            goal = targets[d].select(F.col(d).alias("value"), "goal")
+            now = now.join(goal, F.col(d).eqNullSafe(F.col("value"))).filter("now > 0")
+            up = (F.col("goal") - F.col("now") + F.col("open")) / F.nullif("open", F.lit(0.0))
+            change = now.select(
+                d,
+                F.least(F.col("goal") / F.col("now"), F.lit(1.0)).alias("down"),
+                F.greatest(F.coalesce(up, F.lit(1.0)), F.lit(1.0)).alias("up"),
+                F.abs(F.col("goal") / F.col("now") - 1).alias(f"gap_{d}"),
+            )
+            fitted = lookup(fitted.drop(f"gap_{d}"), change, [d])
+            raised = F.when(F.col("probability") < 1, F.col("probability") * F.coalesce("up", F.lit(1.0)))
+            raised = F.least(F.coalesce(raised, F.col("probability")), F.lit(1.0))
+            lowered = F.col("probability") * F.coalesce("down", F.lit(1.0))
+            fitted = fitted.withColumn("probability", F.when(F.col("down") < 1, lowered).otherwise(raised)).drop("up", "down")
+            gap = F.greatest(gap, F.coalesce(f"gap_{d}", F.lit(0.0)))
+        fitted = written(fitted, "bounded")
+        widest = fitted.agg(F.max(gap)).first()[0] or 0.0
+        if widest < params.close_enough or widest > 0.95 * before:
+            break
+        before = widest
+    return fitted.select(*rated.columns)
+
+
+def marginals(fitted: DataFrame, params: Params = Params()) -> DataFrame:
+    """``dimension, value, target, reachable, expected``: shares of the expected sample, one row per value."""
+    given = F.col("tokens") * F.col("probability")
+    budget = fitted.agg(F.sum(given)).first()[0] or 1.0
+    out = None
+    for d in DIMENSIONS:
+        now = fitted.groupBy(d).agg(F.sum(given).alias("now"))
+        rows = lookup(reachable(fitted, d, params, budget), now, [d]).select(
+            F.lit(d).alias("dimension"),
+            F.col(d).alias("value"),
+            *[(F.col(c) / budget).alias(n) for c, n in (("target", "target"), ("goal", "reachable"), ("now", "expected"))],
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def chances(docs: DataFrame, params: Params = Params()) -> DataFrame:
+    """Cells with the ``probability`` of their documents."""
+    table = written(cells(docs), "cells")
+    return bounded(written(probabilities(rake(table, params), params), "rated"), params)
+
+
 def draw(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """``docs`` with ``topic``, ``n_tokens``, ``probability`` and ``drawn``."""
-    table = written(cells(docs), "cells")
-    chances = probabilities(rake(table, params), params).select(
-        *[F.col(d).alias(f"cell_{d}") for d in DIMENSIONS], "probability"
-    )
+    drawn_with = chances(docs, params).select(*[F.col(d).alias(f"cell_{d}") for d in DIMENSIONS], "probability")
     rows = boxed(docs).select(
         "row",
         F.col("row.source").cast("string").alias("cell_source"),
         F.col("row.lang").cast("string").alias("cell_lang"),
         topic(body("row.text")).alias("cell_topic"),
     )
-    joined = lookup(rows, written(chances, "chances"), [f"cell_{d}" for d in DIMENSIONS])
+    joined = lookup(rows, written(drawn_with, "chances"), [f"cell_{d}" for d in DIMENSIONS])
     nameless = F.when(F.col("row.doc_id").isNull(), F.col("row.text"))
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(params.seed), F.col("row.doc_id"), nameless), 11)
     return unboxed(
