@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import modest_batches
-from glyphmill.llm.wordbpe import WordBpe
+from glyphmill.llm.wordbpe import of_worker
 from glyphmill.session import written
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, p: Params) -> DataFrame:
     """The pieces of every document, in one narrow pass over the texts."""
 
     def cut(batches):
-        bpe = WordBpe(p.tokenizer)
+        bpe = of_worker(p.tokenizer)
         end = np.array([p.end_id], "<u4").tobytes()
         for batch in batches:
             texts, names = batch.column("text"), batch.column("doc_id")

@@ -10,6 +10,8 @@ special token's text, go through the library's own tokenizer.
 from __future__ import annotations
 
 import json
+import sys
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -159,6 +161,19 @@ class WordBpe:
         return taken.flatten().to_numpy(zero_copy_only=False), sizes[words].astype(np.int64)
 
 
+def of_worker(path: str) -> WordBpe:
+    """The tokenizer of this Python process: later tasks find it built, with the chunks it has learned.
+
+    Functions travel to workers by value, so a global of this module would
+    begin anew with every task; a module of its own name lasts with the process.
+    """
+    kept = sys.modules.setdefault("_glyphmill_worker", types.ModuleType("_glyphmill_worker"))
+    known = vars(kept).setdefault("tokenizers", {})
+    if path not in known:
+        known[path] = WordBpe(path)
+    return known[path]
+
+
 def _byte_symbols() -> list[str]:
     """The printable character that byte-level vocabularies use for each byte."""
     printable = [b for b in range(256) if 33 <= b <= 126 or (161 <= b and b != 173)]
