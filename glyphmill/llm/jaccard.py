@@ -35,8 +35,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from glyphmill.llm.common import modest_batches
+from glyphmill.llm.common import boxed, modest_batches
 from glyphmill.llm.components import components
 from glyphmill.llm.flattext import flat, mix, slices, word_hashes, word_limits
 from glyphmill.plans.sizing import small_side
@@ -459,8 +460,8 @@ def _tile_starts(t: pa.Table) -> np.ndarray:
     return new
 
 
-def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
+def near_duplicates(docs: DataFrame, p: Params = Params(), with_key: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs``; ``with_key`` adds the key of its set."""
     modest_batches(docs.sparkSession)
     sketch = written(sketches(docs, p), "sketches")
     members = sketch.filter(F.col("block").isNull()).select("doc_id", "key", "n", "bits", "bands")
@@ -486,12 +487,38 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
+        *([F.col("key").alias("set_key")] if with_key else []),
     )
 
 
+def keyed(docs: DataFrame, p: Params) -> DataFrame:
+    """``docs`` (``doc_id, text`` and others) with the key of each text's set as ``set_key``, null without shingles."""
+
+    def compute(batches):
+        for batch in batches:
+            for at, texts in slices(batch.column("text")):
+                keys = [set_key(s) if len(s) else None for s in shingle_sets(texts, p)]
+                part = batch.slice(at, len(keys))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.binary())], names=[*part.schema.names, "set_key"])
+
+    return docs.mapInArrow(compute, StructType([*docs.schema, StructField("set_key", BinaryType())]))
+
+
 def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """The rows of ``docs`` whose document is its component's smallest, and rows without an id."""
-    found = near_duplicates(docs, p).filter(F.col("doc_id") == F.col("component_id"))
-    ids = small_side(written(found.select(F.col("doc_id").alias("kept_id")).distinct(), "kept-ids"))
-    kept = docs.join(ids, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One row of ``docs`` per component, under its smallest id, and all rows without an id.
+
+    Ids are nearly always unique, and then the id tells the row.  Of rows that
+    share an id, those stay whose own text leads its component, one of each.
+    """
+    found = near_duplicates(docs, p, with_key=True).filter(F.col("doc_id") == F.col("component_id"))
+    found = written(found.select(F.col("doc_id").alias("kept_id"), F.col("set_key").alias("kept_key")).distinct(), "kept-ids")
+    ids = docs.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n"))
+    shared = small_side(written(ids.filter("n > 1").select("kept_id"), "shared-ids"))
+    same = F.col("doc_id") == F.col("kept_id")
+    alone = docs.join(shared, same, "left_anti").filter(F.col("doc_id").isNotNull())
+    alone = alone.join(small_side(found.select("kept_id").distinct()), same, "left_semi")
+    several = boxed(docs.join(shared, same, "left_semi")).select("row", "row.doc_id", "row.text")
+    several = keyed(several, p).join(small_side(found), same & F.col("set_key").eqNullSafe(F.col("kept_key")), "left_semi")
+    one = several.groupBy("doc_id", "set_key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    nameless = docs.filter(F.col("doc_id").isNull())
+    return alone.unionByName(one.select("row.*")).unionByName(nameless)
