@@ -23,10 +23,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the lines that it shares with others; ``n_chars`` follows the text."""
-    found = linededup.drop_shared_lines(docs)
-    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    size = F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("bigint")).otherwise(F.col("n_chars"))
-    return found.withColumns({"text": text, "n_chars": size}).select(docs.columns)
+    # All columns travel in one, so that none can be taken for a column the operator adds.
+    found = linededup.drop_shared_lines(docs.select(F.struct("*").alias("row_"), "doc_id", "text"))
+    changed = F.col("n_dropped") > 0
+    new = {
+        "text": F.when(changed, F.col("kept_text")).otherwise(F.col("row_.text")),
+        "n_chars": F.when(changed, F.length("kept_text").cast("bigint")).otherwise(F.col("row_.n_chars")),
+    }
+    return found.select(*[new.get(c, F.col("row_")[c]).alias(c) for c in docs.columns])
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +40,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose sources, languages and topics approach their target weights."""
-    return mixing.draw(docs).filter("drawn").select(docs.columns)
+    drawn = mixing.draw(docs.select(F.struct("*").alias("row_"), "doc_id", "text", "lang", "source"))
+    return drawn.filter("drawn").select("row_.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
