@@ -328,6 +328,7 @@ _FLAT = "SELECT pair_id, split, shape, prompt, diagram, slot_text, novel FROM un
 _add("pairs_json_roundtrip", PAIRS, _FLAT)
 _UNPACKED = "SELECT split, md5(text) AS text_md5, count(*) AS n_docs FROM split_docs GROUP BY ALL"
 _add("token_shards", SPLIT_DOCS, _UNPACKED)
+_add("token_file", SPLIT_DOCS, _UNPACKED)
 _add(
     "grammar_tables",
     PAIRS,

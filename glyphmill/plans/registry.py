@@ -16,7 +16,7 @@ from glyphmill.operators import evaluate as ev
 from glyphmill.operators import instruct, lexicon, packing, pairs, paraphrase, runs, synthesize
 from glyphmill.plans import inputs as i
 from glyphmill.session import work_path, written
-from glyphmill.sources import stores
+from glyphmill.sources import stores, tokenfile
 from glyphmill.sources.grammar import grammar
 from glyphmill.sources.tables import read_corpus, table
 from glyphmill.streaming import jobs
@@ -85,6 +85,13 @@ def token_shards(spark, sf_dir):
     return _unpacked(spark, sf_dir, stores.read_blocks(spark, path))
 
 
+@query
+def token_file(spark, sf_dir):
+    path = work_path(spark, "token-file")
+    tokenfile.write_token_file(i.token_table(spark, sf_dir), path)
+    return _unpacked(spark, sf_dir, tokenfile.read_token_file(spark, path, BLOCK))
+
+
 def _phrase_use(spark, sf_dir):
     """How often the orders draw each paraphrase."""
     kit = i.kit(spark, sf_dir)
