@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,20 +15,32 @@ CLOSED_CATEGORIES = ("label",)
 VAL_SHARE = 0.15
 VALUE_SEED = 1234
 FLOOR = 8
+SHOWN_WORD = r"""^\p{L}[^\s{}\[\]<>|"]*$"""
 MAX_WORD_TOKENS = 2
 MAX_WORDS = 65_536
 
 
+def _candidates(word_tables: Sequence[DataFrame]) -> DataFrame:
+    merged = word_tables[0].select("kind", "word")
+    for words in word_tables[1:]:
+        merged = merged.unionByName(words.select("kind", "word"))
+    return merged.filter(F.col("word").isNotNull()).distinct()
+
+
 def merge_words(*word_tables: DataFrame) -> DataFrame:
-    """Distinct alphabetic candidate words ``(kind, word)`` of several sources.
+    """Distinct candidate words ``(kind, word)`` of several sources that a diagram can show.
 
+    A word begins with a letter and may hold digits, hyphens and the like, but
+    nothing that would end a label: blanks, brackets, braces, quotes or bars.
     ``distinct`` combines map-side, so a word held by a third of all rows costs
     one row per task in the shuffle.
     """
-    merged = word_tables[0].select("kind", "word")
-    for words in word_tables[1:]:
-        merged = merged.unionByName(words.select("kind", "word"))
-    return merged.filter(F.col("word").rlike(r"^\p{L}+$")).distinct()
+    return _candidates(word_tables).filter(F.col("word").rlike(SHOWN_WORD))
+
+
+def dropped_words(*word_tables: DataFrame) -> DataFrame:
+    """The distinct candidate words that ``merge_words`` leaves out."""
+    return _candidates(word_tables).filter(~F.col("word").rlike(SHOWN_WORD))
 
 
 def check_floor(words: DataFrame, floor: int = FLOOR) -> DataFrame:
@@ -100,8 +114,8 @@ def split_pools(pools: DataFrame, share: float = VAL_SHARE, seed: int = VALUE_SE
     )
 
 
-def lexicon_report(pool: DataFrame) -> DataFrame:
-    """Values per category: total, train, val, and whether the set is closed."""
+def lexicon_report(pool: DataFrame, n_dropped: int = 0) -> DataFrame:
+    """Values per category: total, train, val, whether the set is closed; and the candidate words left out of all."""
     train = F.sum(F.when(F.col("split") == "train", 1).otherwise(0))
     val = F.sum(F.when(F.col("split") == "val", 1).otherwise(0))
     closed = F.col("category").isin(*CLOSED_CATEGORIES)
@@ -112,6 +126,7 @@ def lexicon_report(pool: DataFrame) -> DataFrame:
         "n_train",
         "n_val",
         closed.alias("closed"),
+        F.lit(n_dropped).cast("bigint").alias("n_dropped"),
     )
 
 

@@ -46,8 +46,8 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build):
     return _memo[key]
 
 
-def lexicon_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packaged words plus the words of part names and event types."""
+def lexicon_sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Packaged words, the words of part names, and event types."""
     name = F.split("p_name", " ")
     part = table(spark, sf_dir, "part").select(
         F.explode(
@@ -60,8 +60,11 @@ def lexicon_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         F.lit("action").alias("kind"), F.initcap("event_type").alias("word")
     )
-    packaged = grammar(spark)["words"]
-    return lexicon.merge_words(packaged, part.select("w.kind", "w.word"), events)
+    return [grammar(spark)["words"], part.select("w.kind", "w.word"), events]
+
+
+def lexicon_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.merge_words(*lexicon_sources(spark, sf_dir))
 
 
 def kit_words(spark: SparkSession, sf_dir: str) -> DataFrame:

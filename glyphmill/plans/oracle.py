@@ -50,6 +50,9 @@ def _norm(text: str) -> str:
 
 _SHAPES = [(n, s, p) for n, (s, p) in enumerate(sorted(grammar.shape_rows()))]
 
+# Words that a diagram can show.
+_SHOWN_WORD = r"""\p{L}[^\s{}\[\]<>|"]*"""
+
 GRAMMAR = rf"""
 shapes(shape_no, shape, pattern) AS ({_values(_SHAPES)}),
 shape_slots AS (
@@ -66,7 +69,7 @@ named AS (
   UNION ALL SELECT 'action', event_type FROM events),
 words AS (
   SELECT DISTINCT kind, upper(left(word, 1)) || lower(substr(word, 2)) AS word
-  FROM named WHERE regexp_full_match(word, '\p{{L}}+')),
+  FROM named WHERE regexp_full_match(word, '{_SHOWN_WORD}')),
 pool_all AS (
   SELECT 'act' AS category, a.word || ' ' || o.word AS value
   FROM words a, words o WHERE a.kind = 'action' AND o.kind = 'object'
@@ -589,9 +592,9 @@ _add(
     "lexicon_report",
     GRAMMAR,
     """SELECT category, CASE WHEN category = 'label' THEN n_train ELSE n_train + n_val END AS n_values, n_train, n_val,
-  category = 'label' AS closed FROM (
-    SELECT category, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val
-    FROM pool GROUP BY category)""",
+  category = 'label' AS closed, (SELECT count(DISTINCT (kind, word)) FROM named WHERE NOT regexp_full_match(word, '__WORD__')) AS n_dropped
+FROM (SELECT category, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val
+    FROM pool GROUP BY category)""".replace("__WORD__", _SHOWN_WORD),
 )
 _USE = """
 used AS (SELECT shape, split, paraphrase, count(*) AS n_pairs FROM spoken GROUP BY ALL),

@@ -371,7 +371,8 @@ def pool_value_split(spark, sf_dir):
 
 @query
 def lexicon_report(spark, sf_dir):
-    return lexicon.lexicon_report(lexicon.split_pools(lexicon.label_pools(i.kit_words(spark, sf_dir))))
+    n_dropped = lexicon.dropped_words(*i.lexicon_sources(spark, sf_dir)).count()
+    return lexicon.lexicon_report(lexicon.split_pools(lexicon.label_pools(i.kit_words(spark, sf_dir))), n_dropped)
 
 
 @query

@@ -29,7 +29,7 @@ def stream_pairs(
 ) -> DataFrame:
     """Fresh training pairs of a stream of keys, distinct on (prompt, diagram).
 
-    The draws are stateless lookups; only the two texts of a pair are kept as
+    The draws are stateless lookups; only a 128-bit digest of a pair is kept as
     state, until the watermark passes ``remember``.
     """
     drawn = keys.select(
@@ -39,10 +39,14 @@ def stream_pairs(
         F.lit("train").alias("phrase_split"),
         pairs.draw.below(pairs.draw.digest(seed, F.col("pair_id"), "side"), novel_share, 1).alias("novel"),
     )
+    text = ("prompt", "diagram")
+    marks = {"_a": F.xxhash64(*text), "_b": F.xxhash64(F.lit("second"), *text)}
     return (
         pairs.draw_pairs(drawn, kit, seed)
+        .withColumns(marks)
         .withWatermark("arrived", remember)
-        .dropDuplicatesWithinWatermark(["prompt", "diagram"])
+        .dropDuplicatesWithinWatermark(["_a", "_b"])
+        .drop("_a", "_b")
     )
 
 

@@ -14,6 +14,7 @@ from glyphmill.operators import lexicon, pairs, paraphrase
 from glyphmill.session import work_path
 from glyphmill.sources import grammar as g
 from glyphmill.sources import stores
+from glyphmill.streaming import jobs
 
 
 @pytest.fixture(scope="module")
@@ -237,3 +238,35 @@ def test_distinct_pairs_are_drawn_once(kit, ids):
     columns = ["pair_id", "split", "shape", "prompt", "diagram", "novel"]
     assert made.count() == want.count()
     assert made.select(columns).exceptAll(want.select(columns)).count() == 0
+
+
+def test_words_that_break_no_label_stay_and_the_rest_is_counted(spark):
+    words = ["Cup", "T-shirt", "3D", "Mp3", "a b", "x]", "{y}", "O'Neil", "", None, "é1", "p|q", "r>s"]
+    df = spark.createDataFrame([("object", w) for w in words + words], "kind string, word string")
+    kept = {r["word"] for r in lexicon.merge_words(df, df.limit(2)).collect()}
+    assert kept == {"Cup", "T-shirt", "Mp3", "O'Neil", "é1"}
+    assert {r["word"] for r in lexicon.dropped_words(df).collect()} == {"3D", "a b", "x]", "{y}", "", "p|q", "r>s"}
+
+
+def test_stream_state_holds_digests_and_survives_a_restart(spark, kit, tmp_path):
+    source, sink, state = (str(tmp_path / n) for n in ("source", "sink", "state"))
+    keys = spark.range(120).select(F.col("id").alias("pair_id"), F.current_timestamp().alias("arrived"))
+
+    def run(sink=sink, state=state):
+        stream = spark.readStream.schema("pair_id bigint, arrived timestamp").parquet(source)
+        made = jobs.stream_pairs(stream, kit)
+        jobs.append_parquet(made.select("pair_id", "prompt", "diagram"), sink, state).awaitTermination()
+
+    keys.filter("pair_id < 80").write.parquet(source)
+    run()
+    keys.filter("pair_id >= 40").write.mode("append").parquet(source)
+    run()
+    rows = spark.read.parquet(sink)
+    assert rows.count() == rows.select("prompt", "diagram").distinct().count()
+    run(f"{sink}-alone", f"{state}-alone")
+    alone = spark.read.parquet(f"{sink}-alone")
+    texts = lambda df: sorted(tuple(r) for r in df.select("prompt", "diagram").collect())
+    assert texts(rows) == texts(alone)
+    # A state row is two 64-bit numbers and a time, not the texts.
+    key = spark.read.format("statestore").load(state).select("key.*")
+    assert [t for _, t in key.dtypes] == ["bigint", "bigint"]
