@@ -1,10 +1,11 @@
 """Token ids of whole texts for a word-end BPE tokenizer, many words at a time.
 
 The tokenizer never looks across white space, so a text's ids are those of its
-chunks in order.  Chunks are dictionary-encoded; each distinct one is cut into
-words and punctuation, and all new words are merged together, one merge of
-every word a round, in arrays.  Chunks outside the plain Latin range, or with a
-special token's text, go through the library's own tokenizer.
+chunks in order.  Plain ASCII chunks are cut into words, digits and punctuation
+by arrays over their bytes; distinct words are told by a 64-bit hash, and all
+new ones are merged together, one merge of every word a round.  Other Latin
+chunks are cut by the pattern; chunks beyond, or with a special token's text,
+go through the library's own tokenizer.
 """
 
 from __future__ import annotations
@@ -15,15 +16,29 @@ import types
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
+from glyphmill.llm.flattext import flat, word_hashes, word_limits
+
 _NONE = np.int32(2**30)
 _LONGEST = 64
 _MEMO = 250_000
 _SAFE = r"[\x21-\x7e¡-įı-ſ]+"
 _EMPTY = b""
+_KEPT_WORDS = 1_000_000
+
+# What a byte is in a plain chunk; chunks with odd bytes are cut by the pattern.
+_LETTER, _DIGIT, _OTHER, _ODD = range(4)
+_KIND = np.full(256, _OTHER, np.int8)
+_KIND[128:] = _ODD
+_KIND[:33] = _ODD
+_KIND[[127, ord("'"), ord("|")]] = _ODD
+_KIND[ord("0") : ord("9") + 1] = _DIGIT
+for _first in "Aa":
+    _KIND[ord(_first) : ord(_first) + 26] = _LETTER
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 class PairTable:
@@ -74,6 +89,7 @@ class WordBpe:
         self.safe = regex.compile(_SAFE)
         # Fixed value: how the public tokenizer cuts a text.
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.store = Store()
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
@@ -147,18 +163,112 @@ class WordBpe:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids begin (one more entry than texts); null is empty."""
-        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
-        flat = split.flatten().dictionary_encode()
-        names = flat.dictionary.to_pylist()
-        self.learn([c for c in names if c])
-        coded = [self.chunks[c] if c else _EMPTY for c in names]
-        ends = np.concatenate([[0], np.cumsum([len(b) >> 2 for b in coded])]).astype(np.int64)
-        values = pa.array(np.frombuffer(_EMPTY.join(coded), "<i4"), pa.int32())
-        per_chunk = pa.LargeListArray.from_arrays(pa.array(ends), values)
-        taken = per_chunk.take(flat.indices)
-        sizes = np.concatenate([[0], np.cumsum(pc.list_value_length(taken).to_numpy(zero_copy_only=False))])
-        words = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
-        return taken.flatten().to_numpy(zero_copy_only=False), sizes[words].astype(np.int64)
+        data, offsets = flat(texts)
+        starts, ends, first = word_limits(data, offsets)
+        begins = np.zeros(len(texts) + 1, np.int64)
+        if not len(starts):
+            return np.zeros(0, np.int32), begins
+        odd = np.concatenate([[0], np.cumsum(_KIND[data] == _ODD)])
+        plain = odd[ends] == odd[starts]
+        a, b = self._pieces(data, starts[plain], ends[plain])
+        at, size = self.store.find(word_hashes(data, a, b, lower=True), a, b, data, self)
+        # Chunks that are not plain count as one piece each.
+        c, d = starts[~plain], ends[~plain]
+        other_ids, other_size = self._others(data, c, d)
+        base = len(self.store.ids)
+        place = np.concatenate([a, c])
+        order = np.argsort(place, kind="stable")
+        at = np.concatenate([at, base + np.cumsum(other_size) - other_size])[order]
+        size = np.concatenate([size, other_size])[order]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = np.concatenate([self.store.ids, other_ids])
+        found = ids[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
+        # A text's ids begin with its first piece.
+        return found, total[np.searchsorted(place[order], offsets)]
+
+    def _pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Limits of the words, digits and punctuation runs of plain chunks."""
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[starts] += 1
+        inside[ends] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+        kind = _KIND[data]
+        new = inside.copy()
+        new[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        new[starts] = True
+        begins = np.flatnonzero(new)
+        stops = np.append(begins[1:], len(data))
+        chunk_end = ends[np.searchsorted(starts, begins, "right") - 1]
+        return begins, np.minimum(stops, chunk_end)
+
+    def _others(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks outside ASCII or with an apostrophe or special marks, through the memo."""
+        raw = data.tobytes()
+        names = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())]
+        self.learn(list(dict.fromkeys(names)))
+        coded = [self.chunks[c] for c in names]
+        return np.frombuffer(_EMPTY.join(coded), "<i4"), np.array([len(b) >> 2 for b in coded], np.int64)
+
+    def merged_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words and how many each has; words of one length are merged together."""
+        size = ends - starts
+        n_ids = np.zeros(len(size), np.int64)
+        rows, parts = [], []
+        for length in np.unique(size).tolist():
+            group = np.flatnonzero(size == length)
+            raw = _LOWER[data[starts[group][:, None] + np.arange(length)]]
+            if length > _LONGEST:
+                found = [self.library.encode(w.tobytes().decode(), add_special_tokens=False).ids for w in raw]
+                n_ids[group] = [len(f) for f in found]
+                parts.append(np.array([x for f in found for x in f], np.int32))
+            else:
+                t = self.inner[raw]
+                t[:, -1] = self.final[raw[:, -1]]
+                merged = self._merge_equal(t)
+                n_ids[group] = (merged >= 0).sum(axis=1)
+                parts.append(merged[merged >= 0])
+            rows.append(group)
+        # Back to the order of the words.
+        rows, flat_ids = np.concatenate(rows), np.concatenate(parts)
+        begins = np.empty(len(size), np.int64)
+        begins[rows] = np.cumsum(n_ids[rows]) - n_ids[rows]
+        total = np.cumsum(n_ids) - n_ids
+        return flat_ids[np.repeat(begins - total, n_ids) + np.arange(int(n_ids.sum()))], n_ids
+
+
+class Store:
+    """Ids of known words by the 64-bit hash of the word, in arrays."""
+
+    def __init__(self):
+        self.hashes = np.zeros(0, np.uint64)
+        self.at = self.size = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.int32)
+
+    def find(self, hashes, starts, ends, data, bpe: WordBpe) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of every word; new words are merged and kept."""
+        names, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        known = self._slot(names) >= 0
+        if not known.all():
+            if len(self.hashes) + int((~known).sum()) > _KEPT_WORDS:
+                self.__init__()
+                known[:] = False
+            new = first[~known]
+            ids, size = bpe.merged_words(data, starts[new], ends[new])
+            at = len(self.ids) + np.cumsum(size) - size
+            self.ids = np.concatenate([self.ids, ids])
+            merged = np.concatenate([self.hashes, names[~known]])
+            order = np.argsort(merged, kind="stable")
+            self.hashes = merged[order]
+            self.at = np.concatenate([self.at, at])[order]
+            self.size = np.concatenate([self.size, size])[order]
+        slot = self._slot(names)[back]
+        return self.at[slot], self.size[slot]
+
+    def _slot(self, names: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(names), -1)
+        slot = np.minimum(np.searchsorted(self.hashes, names), len(self.hashes) - 1)
+        return np.where(self.hashes[slot] == names, slot, -1)
 
 
 def of_worker(path: str) -> WordBpe:

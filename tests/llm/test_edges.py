@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from test_llm import documents, prose, vocabulary
+from test_llm import TOKENIZER, documents, prose, vocabulary
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from glyphmill.llm import jaccard, mixing
+from glyphmill.llm import jaccard, mixing, wordbpe
 
 
 def cell_table(spark, rows):
@@ -97,3 +99,17 @@ def test_one_row_of_each_component_stays(spark):
     docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, k int")
     kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in jaccard.keep_one(docs).collect())
     assert kept == sorted([(1, long), (2, "quite another text of seven words here"), (3, ""), (0, long)])
+
+
+def test_the_store_of_words_begins_anew_when_full(monkeypatch):
+    rng = random.Random(1)
+    words = vocabulary(2, 300) + ["it's", "x9!", "É", "a|b", "..."]
+    texts = [prose(rng, words, 60) for _ in range(40)]
+    library = Tokenizer.from_file(TOKENIZER)
+    monkeypatch.setattr(wordbpe, "_KEPT_WORDS", 100)
+    bpe = wordbpe.WordBpe(TOKENIZER)
+    for a in range(0, 40, 5):
+        ids, begin = bpe.encode(pa.array(texts[a : a + 5] + [None]))
+        for k, t in enumerate(texts[a : a + 5]):
+            assert ids[begin[k] : begin[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
+        assert begin[-1] == begin[-2] == len(ids)
