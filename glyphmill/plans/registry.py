@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import bytelevel as bl
-from glyphmill.functions import graphs
+from glyphmill.functions import draw, graphs
 from glyphmill.functions import text as tx
 from glyphmill.operators import bpe as bp
 from glyphmill.operators import diagrams
 from glyphmill.operators import evaluate as ev
-from glyphmill.operators import instruct, lexicon, packing, pairs, paraphrase, runs, synthesize
+from glyphmill.operators import instruct, lexicon, nearest, packing, pairs, paraphrase, runs, synthesize
 from glyphmill.plans import inputs as i
 from glyphmill.session import work_path, written
 from glyphmill.sources import stores, tokenfile
@@ -736,6 +736,28 @@ def unmatched_prompts(spark, sf_dir):
     return synthesize.unmatched(prompts, matched, "key").select("key", "reason")
 
 
+def _shortened(prompts):
+    """Prompts without one of their uncapitalised words, drawn by key: phrasings that the grammar lacks."""
+    words = F.split("prompt", " ")
+    plain = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda k: ~F.get(words, k).rlike(r"^\p{Lu}"))
+    h = draw.digest(9, F.col("key"), "dropped word")
+    at = F.get(plain, draw.pick(h, F.greatest(F.size(plain), F.lit(1))).cast("int"))
+    kept = F.array_join(F.filter(words, lambda w, k: ~k.eqNullSafe(at)), " ")
+    return prompts.select("key", kept.alias("prompt"))
+
+
+@query
+def nearest_phrasings(spark, sf_dir):
+    """Prompts no paraphrase explains, with the nearest one within two words."""
+    kit = i.kit(spark, sf_dir)
+    drawn = i.drawn(spark, sf_dir).select(F.concat_ws("-", F.lit("short"), "pair_id").alias("key"), "prompt")
+    prompts = written(i.free_prompts(spark, sf_dir).unionByName(_shortened(drawn)), "prompts")
+    matched = synthesize.synthesize(prompts, kit.phrases, _shapes(spark), "key")
+    left = written(synthesize.unmatched(prompts, matched, "key"), "unmatched")
+    near = nearest.nearest_phrasings(left, kit.phrases, _shapes(spark), "key")
+    return left.select("key", "reason").join(near, "key", "left")
+
+
 # -- the kit of cheap words -----------------------------------------------------------------------
 
 
