@@ -250,3 +250,33 @@ def test_tokenizing_resumes_without_loss_or_repeat(spark):
     got = spark.read.parquet(out)
     want = jobs.tokenized(docs, Bpe(()))
     assert got.count() == 40 and got.exceptAll(want.select(got.columns)).count() == 0
+
+
+def plain_mend(line):
+    """The same by walking over the characters."""
+    if line.count("A[") > 1:
+        line = line[line.rindex("A[") :]
+    out, opened = "", set()
+    for c in line:
+        if c in "]}":
+            c = "}" if "{" in opened else "]" if "[" in opened else c
+            opened = set()
+            if out.endswith(c):
+                continue
+        elif c in "[{":
+            opened.add(c)
+        out += c
+    for opening, closing in ("[]", "{}"):
+        out += closing if opening in out and closing not in out else ""
+    return out
+
+
+def test_mend_equals_a_walk_over_the_characters(spark):
+    import random
+
+    rng = random.Random(12)
+    lines = ["".join(rng.choice("A[]{}xA[ ") for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    lines += ["A[Wash Cup} --> B[Dry Cup", "A[x]] --> B{y}}", "A[a A[b] --> C{d]", "", "no label"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, line string")
+    got = {r["k"]: r["m"] for r in df.select("k", tx.mend(F.col("line")).alias("m")).collect()}
+    assert [got[k] for k in range(len(lines))] == [plain_mend(x) for x in lines]
