@@ -8,7 +8,13 @@ from oracle_check import compare, connect
 import __spark_entry__ as driver
 from glyphmill.plans.registry import QUERIES
 
-NAMES = sorted(QUERIES)
+# What these return depends on thousands of merges; test_full.py compares them with the library and with
+# plain sums, test_sequences.py the batches, test_nearest.py the nearest phrasings.
+WITHOUT_TWIN = set(
+    "bpe_train cheap_costly_words cheap_word_pairs epoch_batches lexicon_token_cost_filter nearest_phrasings "
+    "padding_waste_report scored_token_share token_cost_report vocab_bounds_check vocab_tables".split()
+)
+NAMES = sorted(set(QUERIES) - WITHOUT_TWIN)
 
 
 @pytest.fixture(scope="module")
@@ -16,9 +22,10 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-def test_every_query_has_a_twin():
-    assert set(NAMES) <= set(driver.queries())
-    assert set(NAMES) <= set(driver.oracle_sql())
+def test_every_other_query_has_a_twin():
+    assert set(QUERIES) <= set(driver.queries())
+    assert set(QUERIES) & set(driver.oracle_sql()) == set(NAMES)
+    assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
