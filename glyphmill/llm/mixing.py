@@ -25,10 +25,14 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from glyphmill.llm.common import body, boxed, lookup, unboxed, words
+from glyphmill.plans.sizing import fits
 from glyphmill.session import written
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -54,6 +58,7 @@ class Params:
     # Largest relative gap to a reachable marginal at which the bounded sweeps stop.
     close_enough: float = 5e-3
     bounded_sweeps: int = 12
+    cells_in_task: int = 100_000
     seed: int = 11
 
 
@@ -160,6 +165,52 @@ def reachable(table: DataFrame, dimension: str, params: Params, budget: float) -
     return wished.select(dimension, (F.col("wish") * (budget / wishes)).alias("target"), goal.alias("goal"))
 
 
+def _filled(wish: np.ndarray, now: np.ndarray, budget: float) -> np.ndarray:
+    """``wish`` scaled to the budget, no value above what it has."""
+    scale, full = budget / (wish.sum() or 1.0), -1
+    while True:
+        short = wish * scale >= now
+        if short.all() or int(short.sum()) == full:
+            return np.minimum(now, wish * scale)
+        full, scale = int(short.sum()), max(scale, (budget - now[short].sum()) / wish[~short].sum())
+
+
+def bounded_cells(cells: pa.Table, params: Params) -> pa.Table:
+    """What ``bounded`` does, over cells that fit one task."""
+    tokens, chance = (cells.column(c).to_numpy().astype(np.float64) for c in ("tokens", "probability"))
+    budget = float((tokens * chance).sum())
+    at, goal = {}, {}
+    for d in DIMENSIONS:
+        names = cells.column(d).combine_chunks().dictionary_encode("encode")
+        at[d] = names.indices.to_numpy()
+        now = np.bincount(at[d], tokens, len(names.dictionary))
+        share = now / (now.sum() or 1.0)
+        given = params.targets.get(d)
+        if given is None:
+            wish = share ** params.flatten.get(d, 1.0)
+        else:
+            wish = np.array([given.get(v, s) for v, s in zip(names.dictionary.to_pylist(), share)], np.float64)
+        goal[d] = _filled(np.where(now > 0, wish, 0.0), now, budget)
+    before = float("inf")
+    for _ in range(params.bounded_sweeps if budget else 0):
+        widest = 0.0
+        for d in DIMENSIONS:
+            n = len(goal[d])
+            now = np.bincount(at[d], tokens * chance, n)
+            free = np.bincount(at[d], np.where(chance < 1, tokens * chance, 0.0), n)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                down = np.where(now > 0, np.minimum(goal[d] / now, 1.0), 1.0)
+                up = np.where(free > 0, np.maximum((goal[d] - now + free) / free, 1.0), 1.0)
+                gap = np.where(now > 0, np.abs(goal[d] / now - 1), 0.0)
+            widest = max(widest, float(gap.max(initial=0.0)))
+            raised = np.where(chance < 1, np.minimum(chance * up[at[d]], 1.0), chance)
+            chance = np.where(down[at[d]] < 1, chance * down[at[d]], raised)
+        if widest < params.close_enough or widest > 0.95 * before:
+            break
+        before = widest
+    return cells.set_column(cells.column_names.index("probability"), "probability", pa.array(chance))
+
+
 def bounded(rated: DataFrame, params: Params = Params()) -> DataFrame:
     """``rated`` (cells with ``tokens`` and ``probability``) raked to the reachable marginals, no probability above one.
 

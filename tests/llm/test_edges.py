@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 
 import pyarrow as pa
 import pytest
@@ -39,6 +40,20 @@ def test_the_expected_sample_meets_reachable_targets(spark):
         assert r["expected"] == pytest.approx(r["reachable"], rel=0.01), r
 
 
+def test_one_task_and_joins_give_the_same_probabilities(spark):
+    rng = random.Random(5)
+    rows = [(s, la, t, rng.randint(0, 900)) for s in ("b", "c", None) for la in ("en", "de") for t in ("g", "t")]
+    rated = cell_table(spark, rows).withColumn("probability", F.lit(0.5))
+    params = mixing.Params(targets={"source": {"b": 0.6, None: 0.2}, "lang": {"en": 0.4}}, bounded_sweeps=3)
+    by_task, by_joins = (
+        {(r["source"], r["lang"], r["topic"]): r["probability"] for r in mixing.bounded(rated, q).collect()}
+        for q in (params, replace(params, cells_in_task=0))
+    )
+    assert by_task.keys() == by_joins.keys()
+    for k, p in by_task.items():
+        assert p == pytest.approx(by_joins[k], rel=1e-9), k
+
+
 def test_a_rare_value_gives_all_it_has_and_its_gap_is_told(spark):
     rows = [("big", "en", "g", 9000), ("rare", "en", "g", 100)]
     params = mixing.Params(targets={"source": {"big": 0.5, "rare": 0.5}}, keep_share=0.5)
