@@ -44,3 +44,7 @@ def _same(spark, folder, name):
 
 def test_best_checkpoint_with_losses_of_zero(spark, zero_losses):
     _same(spark, zero_losses, "best_checkpoint")
+
+
+def test_early_stop_epoch_with_losses_of_zero(spark, zero_losses):
+    _same(spark, zero_losses, "early_stop_epoch")
