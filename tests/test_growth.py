@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 
 from glyphmill.operators import nearest, pairs
+from glyphmill.plans import inputs
 from glyphmill.sources.grammar import grammar
 
 
@@ -44,3 +45,15 @@ def test_readings_beyond_reach_are_not_compared(spark, kit, monkeypatch):
     assert {r["pair_id"] for r in found.collect()} == {r["pair_id"] for r in made.collect()}
     # Three unknown words are more than two edits: no remainder of these prompts is ever hashed.
     assert tables["readings"].filter("pair_id >= 1000").count() == 0
+
+
+def test_tokenizer_lines_draw_the_training_side_only(spark, kit, monkeypatch):
+    tables = _kept(monkeypatch, pairs)
+    monkeypatch.setattr(inputs, "candidate_kit", lambda *_: kit)
+    monkeypatch.setattr(inputs, "documents", lambda *_: spark.sql("select 1L doc_id, 'a' text"))
+    ids = spark.range(500).withColumnRenamed("id", "pair_id")
+    monkeypatch.setattr(inputs, "order_ids", lambda *_: ids)
+    lines = inputs.tokenizer_input(spark, "").filter("origin = 'pairs'").select("line", "text")
+    assert {r["split"] for r in tables["drawn-pairs"].select("split").distinct().collect()} == {"train"}
+    want = pairs.tokenizer_lines(kit.pool, pairs.generate_pairs(ids, kit)).filter("origin = 'pairs'").select("line", "text")
+    assert sorted(lines.collect()) == sorted(want.collect())
