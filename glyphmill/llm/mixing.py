@@ -6,8 +6,9 @@ to the token budget and capped at one, is the probability with which its
 documents are first drawn.  A cell at the cap cannot give all it should, so the
 probabilities are raked again under that bound, towards the marginals within
 reach: a value's share of the budget, but no more tokens than it has, the rest
-spread over the other values.  Cells are a table and all sweeps are joins and
-sums over it, so the number of sources is not bounded by any one task.
+spread over the other values.  Cells are a table; up to ``cells_in_task`` counted
+ones are swept in one task, more of them by joins and sums, so the number of
+sources is not bounded by any one task.
 ``marginals`` tells target, reachable and expected share of every value.
 
 * Null sources and languages are values of their own.
@@ -22,7 +23,7 @@ sums over it, so the number of sources is not bounded by any one task.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from glyphmill.llm.common import body, boxed, lookup, unboxed, words
 from glyphmill.plans.sizing import fits
@@ -100,8 +102,58 @@ def goals(table: DataFrame, dimension: str, params: Params) -> DataFrame:
     return wished.select(dimension, (F.col("wish") / wishes * total).alias("goal"))
 
 
+def _in_one_task(cells: DataFrame, schema: StructType, work: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """``work`` over all of ``cells``, of which there are at most ``cells_in_task``, in one task."""
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        held = list(batches)
+        if held:
+            yield from work(pa.Table.from_batches(held)).cast(arrow).to_batches()
+
+    return cells.coalesce(1).mapInArrow(run, schema)
+
+
+def _wishes(names: pa.Array, now: np.ndarray, dimension: str, params: Params) -> np.ndarray:
+    """The wish of every value with tokens, as ``goals`` has it before rescaling; zero for the others."""
+    share = now / (now.sum() or 1.0)
+    given = params.targets.get(dimension)
+    if given is None:
+        wish = share ** params.flatten.get(dimension, 1.0)
+    else:
+        wish = np.array([given.get(v, s) for v, s in zip(names.to_pylist(), share)], np.float64)
+    return np.where(now > 0, wish, 0.0)
+
+
+def raked_cells(cells: pa.Table, params: Params) -> pa.Table:
+    """What ``rake`` does, over cells that fit one task."""
+    tokens = cells.column("tokens").to_numpy().astype(np.float64)
+    at, goal = {}, {}
+    for d in DIMENSIONS:
+        names = cells.column(d).combine_chunks().dictionary_encode("encode")
+        at[d] = names.indices.to_numpy()
+        now = np.bincount(at[d], tokens, len(names.dictionary))
+        wish = _wishes(names.dictionary, now, d, params)
+        goal[d] = np.where(now > 0, wish / (wish.sum() or 1.0) * (now.sum() or 1.0), np.nan)
+    weight = tokens.copy()
+    for _ in range(params.max_sweeps):
+        change = np.zeros(len(weight))
+        for d in DIMENSIONS:
+            now = np.bincount(at[d], weight, len(goal[d]))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                factor = np.where((now == 0) | np.isnan(goal[d]), 1.0, goal[d] / now)[at[d]]
+            weight = weight * factor
+            change = np.maximum(change, np.abs(factor - 1))
+        if change[weight > 0].max(initial=0.0) < params.tolerance:
+            break
+    return cells.append_column("weight", pa.array(weight))
+
+
 def rake(table: DataFrame, params: Params = Params()) -> DataFrame:
     """``table`` with ``weight``: its tokens fitted to all marginals."""
+    if fits(table, params.cells_in_task):
+        schema = StructType([*table.schema, StructField("weight", DoubleType())])
+        return _in_one_task(table, schema, lambda cells: raked_cells(cells, params))
     targets = {d: written(goals(table, d, params), f"goal-{d}") for d in DIMENSIONS}
     fitted = table.withColumn("weight", F.col("tokens").cast("double"))
     for _ in range(params.max_sweeps):
@@ -184,13 +236,7 @@ def bounded_cells(cells: pa.Table, params: Params) -> pa.Table:
         names = cells.column(d).combine_chunks().dictionary_encode("encode")
         at[d] = names.indices.to_numpy()
         now = np.bincount(at[d], tokens, len(names.dictionary))
-        share = now / (now.sum() or 1.0)
-        given = params.targets.get(d)
-        if given is None:
-            wish = share ** params.flatten.get(d, 1.0)
-        else:
-            wish = np.array([given.get(v, s) for v, s in zip(names.dictionary.to_pylist(), share)], np.float64)
-        goal[d] = _filled(np.where(now > 0, wish, 0.0), now, budget)
+        goal[d] = _filled(_wishes(names.dictionary, now, d, params), now, budget)
     before = float("inf")
     for _ in range(params.bounded_sweeps if budget else 0):
         widest = 0.0
@@ -219,6 +265,8 @@ def bounded(rated: DataFrame, params: Params = Params()) -> DataFrame:
     the marginals contradict each other, when a sweep hardly narrows the largest
     gap any more; the gaps that remain are what ``marginals`` shows.
     """
+    if fits(rated, params.cells_in_task):
+        return _in_one_task(rated, rated.schema, lambda cells: bounded_cells(cells, params))
     given = F.col("tokens") * F.col("probability")
     budget = rated.agg(F.sum(given)).first()[0] or 0.0
     if not budget:

@@ -54,6 +54,34 @@ def test_one_task_and_joins_give_the_same_probabilities(spark):
         assert p == pytest.approx(by_joins[k], rel=1e-9), k
 
 
+def test_one_task_and_joins_give_the_same_weights(spark):
+    rng = random.Random(6)
+    rows = [(s, la, t, rng.randint(0, 900)) for s in ("b", "c", None) for la in ("en", "de") for t in ("g", "t")]
+    rows.append(("empty", "en", "g", 0))
+    cells = cell_table(spark, rows)
+    params = mixing.Params(targets={"source": {"b": 0.6, None: 0.2}, "lang": {"en": 0.4}}, max_sweeps=4)
+    by_task, by_joins = (
+        {(r["source"], r["lang"], r["topic"]): r["weight"] for r in mixing.rake(cells, q).collect()}
+        for q in (params, replace(params, cells_in_task=0))
+    )
+    assert by_task.keys() == by_joins.keys()
+    for k, w in by_task.items():
+        assert w == pytest.approx(by_joins[k], rel=1e-9), k
+
+
+def test_counted_cells_are_raked_without_a_job_for_every_sum(spark):
+    docs = spark.range(60).select(
+        F.col("id").alias("doc_id"),
+        F.concat(F.lit("one two @ "), F.col("id").cast("string")).alias("text"),
+        F.concat(F.lit("l"), F.col("id") % 3).alias("lang"),
+        F.concat(F.lit("s"), F.col("id") % 5).alias("source"),
+    )
+    spark.sparkContext.setJobGroup("raking", "")
+    assert mixing.draw(docs).count() == 60
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("raking")) < 40
+
+
 def test_a_rare_value_gives_all_it_has_and_its_gap_is_told(spark):
     rows = [("big", "en", "g", 9000), ("rare", "en", "g", 100)]
     params = mixing.Params(targets={"source": {"big": 0.5, "rare": 0.5}}, keep_share=0.5)
