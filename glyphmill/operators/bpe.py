@@ -316,12 +316,17 @@ def cheap_pairs(fit: DataFrame, bpe: Bpe, n: int = 6) -> DataFrame:
     )
 
 
-def token_conservation(encoded: DataFrame, bpe: Bpe, ids: str = "ids") -> DataFrame:
-    """Documents, bytes of text their tokens stand for, and end-of-text ids per split."""
+def token_conservation(encoded: DataFrame, bpe: Bpe, ids: str = "ids", totals: str | None = None) -> DataFrame:
+    """Documents, bytes of text their tokens stand for, and end-of-text ids per split.
+
+    ``totals`` names another column of ids whose number and two-byte storage are added.
+    """
+    more = [F.sum(F.size(totals)).alias(f"n_{totals}"), (F.sum(F.size(totals)) * 2).alias("n_bytes")] if totals else []
     return encoded.groupBy("split").agg(
         F.count("*").alias("n_docs"),
         F.sum(token_bytes(F.col(ids), bpe)).alias("text_bytes"),
         F.sum(F.size(F.filter(ids, lambda i: i == bl.EOT))).alias("n_ends"),
+        *more,
     )
 
 
