@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from glyphmill.llm.common import boxed, modest_batches
-from glyphmill.llm.components import components
+from glyphmill.llm.components import contracted
 from glyphmill.llm.flattext import flat, mix, slices, word_hashes, word_limits
 from glyphmill.plans.sizing import small_side
 from glyphmill.session import remove_path, written, written_at
@@ -346,25 +346,28 @@ def near_pairs(classes: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.col("key").alias("a"), "b")
 
 
-def near_links(classes: DataFrame, docs: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
-    """Verified links found by leaders, and the classes' ``key, k1, bands`` with the ``group`` they form.
+def regrouped(grouped: DataFrame, links: DataFrame) -> DataFrame:
+    """``grouped`` with the groups that ``links`` join made one."""
+    labels = small_side(contracted(links, grouped))
+    return grouped.join(labels, "group", "left").select(
+        *[c for c in grouped.columns if c != "group"], F.coalesce("label", "group").alias("group")
+    )
+
+
+def near_groups(classes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+    """The classes' ``key, k1, bands`` with the ``group`` that verified links to leaders make them.
 
     A member may miss one leader and meet the next, so a large group of near
     copies is joined in a few turns, each with at most one comparison per band
     and member.
     """
-    known = classes.select("key", "k1", "bands")
-    grouped = known.withColumn("group", F.col("key"))
-    links = None
+    grouped = classes.select("key", "k1", "bands").withColumn("group", F.col("key"))
     for turn in range(p.rounds):
         found = verified(near_pairs(grouped, turn), classes, docs, p, likely=True)
-        if links is not None and not found.limit(1).count():
+        if not found.limit(1).count():
             break
-        links = found if links is None else links.unionByName(found)
-        labels = components(links).select(F.col("node").alias("key"), "label")
-        grouped = known.join(labels, "key", "left").withColumn("group", F.coalesce("label", "key")).drop("label")
-        grouped = written(grouped, "grouped")
-    return links, grouped
+        grouped = written(regrouped(grouped, found), "grouped")
+    return grouped
 
 
 def tile_pairs(prefixes: DataFrame, grouped: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
@@ -472,14 +475,13 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), with_key: bool = Fals
     k1 = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("bigint")
     classes = written(classes.select("key", k1.alias("k1"), "rep", "of.*"), "classes")
 
-    near, grouped = near_links(classes, docs, p)
+    grouped = near_groups(classes, docs, p)
     prefixes, path = written_at(shared_prefixes(docs, rarity_levels(sketch, p), p), "prefixes")
     candidates = tile_pairs(prefixes, grouped, classes, p)
     remove_path(docs.sparkSession, path)
     far = verified(candidates, classes, docs, p, likely=False)
-    labels = components(near.unionByName(far)).select(F.col("node").alias("key"), "label")
-    named = classes.join(labels, "key", "left").select("key", "rep", F.coalesce("label", "key").alias("label"))
-    named = written(named, "named")
+    joined = regrouped(grouped.select("key", "group"), far).withColumnRenamed("group", "label")
+    named = written(classes.select("key", "rep").join(joined, "key"), "named")
     smallest = written(named.groupBy("label").agg(F.min("rep").alias("component")), "smallest")
     named = written(named.join(smallest, "label").select("key", "component"), "class-components")
     rows = members.select("doc_id", "key", "n").join(named, "key", "left")
