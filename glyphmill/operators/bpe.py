@@ -64,11 +64,16 @@ def pretokenize(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
 
 def pretoken_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Corpus-wide ``(pretoken, n)``; frequent pre-tokens are summed map-side."""
+    """Corpus-wide ``(pretoken, n)``; frequent pre-tokens are summed map-side.
+
+    No pre-token holds a blank after another character, so texts are first cut
+    there, and only the distinct pieces are cut by the pattern.
+    """
+    pieces = docs.select(F.explode(bl.pieces(F.col(text))).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
     return (
-        docs.select(F.explode(bl.pretokens(F.col(text))).alias("pretoken"))
+        pieces.select(F.explode(bl.pretokens(F.col("piece"))).alias("pretoken"), "n")
         .groupBy("pretoken")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
 
 
