@@ -42,12 +42,12 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(offsets) else data, offsets - offsets[0]
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """Runs of texts of bounded size (at least one text each), with their first index."""
+def slices(texts: pa.Array, size: int = _SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts of about ``size`` bytes at most (at least one text each), with their first index."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     a, held = 0, 0
     for i, n in enumerate(sizes):
-        if held and held + n > _SLICE_BYTES:
+        if held and held + n > size:
             yield a, texts.slice(a, i - a)
             a, held = i, 0
         held += int(n) + 1

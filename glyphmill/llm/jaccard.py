@@ -44,6 +44,9 @@ from glyphmill.plans.sizing import small_side
 from glyphmill.session import remove_path, written, written_at
 
 BLOCK = 4096
+# Small batches and runs of texts: two tasks of an executor hold several of each at once, beside its heap.
+BATCH_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 SIGNATURE_BITS = 1024
 PAIRS_AT_ONCE = 1 << 17
 FIRST_TILES = 12
@@ -120,7 +123,7 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
         empty = pa.scalar(None, pa.list_(pa.int64()))
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
-            for at, texts in slices(batch.column("text")):
+            for at, texts in slices(batch.column("text"), SLICE_BYTES):
                 keys, sizes, bits, bands = [], [], [], []
                 for s in shingle_sets(texts, p):
                     sizes.append(len(s))
@@ -197,7 +200,7 @@ def shared_prefixes(docs: DataFrame, levels: np.ndarray, p: Params) -> DataFrame
     def prefixes(batches):
         for batch in batches:
             keep = batch.filter(pc.is_valid(batch.column("doc_id")))
-            for _, texts in slices(keep.column("text")):
+            for _, texts in slices(keep.column("text"), SLICE_BYTES):
                 hs, ks, salts = [], [], []
                 for s in shingle_sets(texts, p):
                     if not len(s):
@@ -257,7 +260,7 @@ def set_data(docs: DataFrame, wanted: DataFrame, schema: str, p: Params) -> Data
     def compute(batches):
         for batch in batches:
             keys, bits = batch.column("key").to_pylist(), batch.column("bits").to_pylist()
-            for at, texts in slices(batch.column("text")):
+            for at, texts in slices(batch.column("text"), SLICE_BYTES):
                 rows, data = [], []
                 for i, s in enumerate(shingle_sets(texts, p), at):
                     if len(s) and set_key(s) == keys[i]:
@@ -465,7 +468,7 @@ def _tile_starts(t: pa.Table) -> np.ndarray:
 
 def near_duplicates(docs: DataFrame, p: Params = Params(), with_key: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``; ``with_key`` adds the key of its set."""
-    modest_batches(docs.sparkSession)
+    modest_batches(docs.sparkSession, BATCH_BYTES)
     sketch = written(sketches(docs, p), "sketches")
     members = sketch.filter(F.col("block").isNull()).select("doc_id", "key", "n", "bits", "bands")
     known = members.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
@@ -498,7 +501,7 @@ def keyed(docs: DataFrame, p: Params) -> DataFrame:
 
     def compute(batches):
         for batch in batches:
-            for at, texts in slices(batch.column("text")):
+            for at, texts in slices(batch.column("text"), SLICE_BYTES):
                 keys = [set_key(s) if len(s) else None for s in shingle_sets(texts, p)]
                 part = batch.slice(at, len(keys))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.binary())], names=[*part.schema.names, "set_key"])
