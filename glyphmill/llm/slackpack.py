@@ -34,7 +34,9 @@ from glyphmill.session import written
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 RANK_BUCKETS = 256
-_SLICE_BYTES = 4 << 20
+# Arrays of a run take some 30 times its bytes while its words are looked up.
+_SLICE_BYTES = 1 << 20
+_BATCH_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -183,7 +185,7 @@ def ranked(cut: DataFrame) -> DataFrame:
 
 def pack(docs: DataFrame, p: Params) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
-    modest_batches(docs.sparkSession)
+    modest_batches(docs.sparkSession, _BATCH_BYTES)
     cut = written(pieces(docs, p), "pieces")
     # At most ``capacity`` rows: one per piece length.
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
