@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import bytelevel as bl
-from glyphmill.plans.sizing import fits
+from glyphmill.plans.sizing import fits, small_side
 from glyphmill.operators.training import learn_merges
+from glyphmill.session import written
 from glyphmill.sources.tables import local_table
 
 # Fixed values.
@@ -283,14 +284,37 @@ def vocab_fit(words: DataFrame, bpe: Bpe, k: int = CHEAP_TOKENS) -> DataFrame:
 
 
 def vocab_fit_report(fit: DataFrame) -> DataFrame:
-    """Per kind and cost: words and share of the kind's words that are cheap."""
+    """Every word with its cost and whether it is cheap, and what its kind and all words come to.
+
+    Beside ``kind, word, cost, cheap``: ``n_words`` of the kind at that cost and the kind's ``cheap_share``;
+    of all kinds, ``all_at_cost``, ``all_cheap``, ``all_costly`` and ``all_cheap_share``.  The costly rows are
+    the words to drop.  The costs are written for the passes over them, so no word is tokenized twice.
+    """
+    fit = written(fit, "word-costs")
     hist = fit.groupBy("kind", "cost").agg(
         F.count("*").alias("n_words"), F.sum(F.col("cheap").cast("int")).alias("n_cheap")
     )
+    hist = written(hist, "cost-counts")
     share = hist.groupBy("kind").agg(
         F.round(F.sum("n_cheap") / F.sum("n_words"), 6).alias("cheap_share")
     )
-    return hist.select("kind", "cost", "n_words").join(share, "kind")
+    at_cost = hist.groupBy("cost").agg(F.sum("n_words").alias("all_at_cost"))
+    total = hist.agg(
+        F.coalesce(F.sum("n_cheap"), F.lit(0)).alias("cheap"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")
+    ).first()
+    counts = small_side(hist.select("kind", "cost", "n_words").join(share, "kind").join(at_cost, "cost"))
+    return fit.join(counts, ["kind", "cost"]).select(
+        "kind",
+        "word",
+        "cost",
+        "cheap",
+        "n_words",
+        "cheap_share",
+        "all_at_cost",
+        F.lit(total["cheap"]).cast("bigint").alias("all_cheap"),
+        F.lit(total["words"] - total["cheap"]).cast("bigint").alias("all_costly"),
+        F.round(F.try_divide(F.lit(total["cheap"]), F.lit(total["words"])), 6).alias("all_cheap_share"),
+    )
 
 
 def cheap_pairs(fit: DataFrame, bpe: Bpe, n: int = 6) -> DataFrame:

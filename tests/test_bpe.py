@@ -179,6 +179,24 @@ def test_cheap_pairs_needs_four_words(spark, trained):
     assert [(r["k"], r["label"]) for r in rows] == [(1, "a e"), (2, "b d")]
 
 
+def test_word_report_names_every_word_and_what_all_come_to(spark, trained):
+    words = [("a", "the"), ("a", "Xqzjvwkqxz"), ("b", "the"), ("b", "Zzyqx"), ("b", "e"), ("c", "Qqqqqq")]
+    fit = bp.vocab_fit(spark.createDataFrame(words, "kind string, word string"), trained[0])
+    cost = {(r["kind"], r["word"]): r["cost"] for r in fit.collect()}
+    rows = bp.vocab_fit_report(fit).collect()
+    assert {(r["kind"], r["word"]): (r["cost"], r["cheap"]) for r in rows} == {k: (n, n <= 2) for k, n in cost.items()}
+    costly = {k for k, n in cost.items() if n > 2}
+    assert len(rows) == len(words) and 0 < len(costly) < len(words)
+    for r in rows:
+        own = [n for (kind, _), n in cost.items() if kind == r["kind"]]
+        assert r["n_words"] == own.count(r["cost"])
+        assert r["cheap_share"] == round(sum(n <= 2 for n in own) / len(own), 6)
+        assert r["all_at_cost"] == list(cost.values()).count(r["cost"])
+        assert (r["all_cheap"], r["all_costly"]) == (len(words) - len(costly), len(costly))
+        assert r["all_cheap_share"] == round(1 - len(costly) / len(words), 6)
+    assert bp.vocab_fit_report(fit.limit(0)).collect() == []
+
+
 def plain_merge(ids, ranks):
     """One merge at a time: the lowest-ranked pair, leftmost first."""
     while True:
