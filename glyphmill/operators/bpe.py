@@ -27,8 +27,6 @@ from glyphmill.sources.tables import local_table
 VOCAB_SIZE = 8192
 CHEAP_TOKENS = 2
 
-MEMO_WORDS = 500_000
-
 
 @dataclass(frozen=True)
 class Bpe:
@@ -181,45 +179,182 @@ def _merge_word(ids: list[int], ranks: dict[tuple[int, int], int]) -> list[int]:
     return [x for x in ids if x != gone]
 
 
+# An odd number whose multiples spread over all 64 bits.
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Ranks:
+    """The rank of a pair of ids, looked up for whole arrays in an open hash table."""
+
+    def __init__(self, merges: Sequence[tuple[int, int]]):
+        self.none = len(merges)
+        bits = max(8, (16 * len(merges)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(self.mask + 1, -1, np.int64)
+        self.ranks = np.full(self.mask + 1, self.none, np.int32)
+        self.probes = 1
+        for rank, (left, right) in enumerate(merges):
+            key = left << 32 | right
+            at = int(self._first(np.array([key]))[0])
+            probe = 1
+            while self.keys[at] not in (-1, key):
+                at, probe = (at + 1) & self.mask, probe + 1
+            # A pair named twice has its last rank, as in a dictionary.
+            self.keys[at], self.ranks[at], self.probes = key, rank, max(self.probes, probe)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * _SPREAD) >> self.shift).view(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = (left.astype(np.int64) << 32) | right
+        at = self._first(keys)
+        out = np.where(self.keys[at] == keys, self.ranks[at], self.none)
+        for _ in range(self.probes - 1):
+            at = (at + 1) & self.mask
+            out = np.where(self.keys[at] == keys, self.ranks[at], out)
+        return out
+
+
+# Words of more bytes are merged one by one, where a heap keeps their cost low.
+LONG_WORD = 64
+# Id 0 is a special token and in no merge: it ends every word.
+_END = 0
+
+
+def _merge_words(flat: np.ndarray, sizes: np.ndarray, ranks: _Ranks) -> tuple[np.ndarray, np.ndarray]:
+    """``_merge_word`` of many words at once: their ids and sizes, one word after the other, before and after.
+
+    A round merges every word's lowest-ranked pair wherever it stands, leftmost
+    first; merges make no pair of a lower rank.  Words without a pair leave.
+    """
+    out: list[np.ndarray] = []
+    names: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    word, n = np.flatnonzero(sizes), sizes[sizes > 0]
+    live = np.full(len(flat) + len(word), _END, np.int32)
+    live[np.arange(len(flat)) + np.repeat(np.arange(len(word)), n)] = flat
+    while len(word):
+        starts = np.concatenate([[0], np.cumsum(n + 1)[:-1]])
+        found = np.append(ranks(live[:-1], live[1:]), ranks.none)
+        lowest = np.minimum.reduceat(found, starts)
+        going = lowest < ranks.none
+        spans = np.repeat(going, n + 1)
+        if not going.all():
+            out.append(live[~spans & (live != _END)])
+            names.append(word[~going])
+            counts.append(n[~going])
+            live, found, word, n, lowest = live[spans], found[spans], word[going], n[going], lowest[going]
+        of = np.repeat(np.arange(len(word)), n + 1)
+        hit = np.flatnonzero(found == lowest[of])
+        if not len(hit):
+            break
+        # Of neighbouring hits, which are pairs of one id with itself, every second one overlaps the one before it.
+        first = np.flatnonzero(np.diff(hit, prepend=-2) != 1)
+        hit = hit[(np.arange(len(hit)) - np.repeat(first, np.diff(np.append(first, len(hit))))) % 2 == 0]
+        live[hit] = bl.FIRST_MERGE + found[hit]
+        keep = np.ones(len(live), bool)
+        keep[hit + 1] = False
+        n = n - np.bincount(of[hit], minlength=len(word))
+        live = live[keep]
+    size = np.zeros(len(sizes), np.int64)
+    if not names:
+        return np.zeros(0, np.int32), size
+    name, count = np.concatenate(names), np.concatenate(counts)
+    size[name] = count
+    # Every word's ids go to where the word begins.
+    begin = (np.cumsum(size) - size)[name]
+    merged = np.empty(int(count.sum()), np.int32)
+    merged[np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(len(merged))] = np.concatenate(out)
+    return merged, size
+
+
+def _word_ids(words: pa.Array, bpe: Bpe, ranks: _Ranks, specials: bool) -> pa.Array:
+    """Ids of distinct pre-tokens."""
+    first = np.array([bl.FIRST_BYTE + o for o in bl.byte_offsets()], np.int32)
+    coded = words.cast(pa.large_binary())
+    offsets = np.frombuffer(coded.buffers()[1], np.int64)[coded.offset : coded.offset + len(coded) + 1]
+    data = coded.buffers()[2]
+    flat = first[np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]] if data else np.zeros(0, np.int32)
+    sizes = np.diff(offsets)
+    fixed = {name: [i] for i, name in enumerate(bl.SPECIAL_TOKENS)} if specials else {}
+    alone = sizes > LONG_WORD
+    if fixed:
+        alone |= pc.is_in(words, value_set=pa.array(list(fixed))).to_numpy(zero_copy_only=False)
+    one = np.flatnonzero(alone)
+    by_pair = {pair: rank for rank, pair in enumerate(bpe.merges)} if len(one) else {}
+    others = [
+        fixed.get(words[int(k)].as_py())
+        or _merge_word(flat[offsets[k] - offsets[0] : offsets[k + 1] - offsets[0]].tolist(), by_pair)
+        for k in one
+    ]
+    merged, size = _merge_words(flat[~np.repeat(alone, sizes)], np.where(alone, 0, sizes), ranks)
+    size[one] = [len(ids) for ids in others]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    ids = np.empty(ends[-1], np.int32)
+    plain = np.ones(len(ids), bool)
+    for k, own in zip(one, others):
+        ids[ends[k] : ends[k + 1]], plain[ends[k] : ends[k + 1]] = own, False
+    ids[plain] = merged
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+
+
+def _gathered(words: pa.Array, bpe: Bpe, ranks: _Ranks, specials: bool) -> pa.Array:
+    """The ids of lists of pre-tokens, each distinct one merged once."""
+    flat = words.flatten().dictionary_encode()
+    return _listed_ids(words, flat.indices, _word_ids(flat.dictionary, bpe, ranks, specials))
+
+
+def _listed_ids(words: pa.Array, indices: pa.Array, per_word: pa.Array) -> pa.Array:
+    lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    taken = per_word.take(indices)
+    sizes = pc.list_value_length(taken).to_numpy(zero_copy_only=False)
+    starts = np.concatenate([[0], np.cumsum(sizes)])[ends].astype("int32")
+    mask = words.is_null() if words.null_count else None
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), taken.flatten(), mask=mask)
+
+
 def encode(text: Column, bpe: Bpe, specials: bool = True) -> Column:
     """Token ids of a text, ``array<int>``; null stays null.
 
     A special token's name inside the text becomes its one id; without
     ``specials`` it is cut into pieces like any other text.
 
-    Pre-tokens are cut in the JVM.  Each Arrow batch is dictionary-encoded, so
-    a pre-token is merged once per batch (once per task while the memo holds
-    it) and the ids are gathered by array operations.
+    Pre-tokens are cut in the JVM.  Each Arrow batch is dictionary-encoded, its
+    distinct pre-tokens are merged all at once by array operations, and the ids
+    are gathered by array operations as well.
     """
-    ranks = {pair: rank for rank, pair in enumerate(bpe.merges)}
-    first = [bl.FIRST_BYTE + o for o in bl.byte_offsets()]
-    memo: dict[str, list[int]] = {}
-    fixed = {name: [i] for i, name in enumerate(bl.SPECIAL_TOKENS)} if specials else {}
-
-    def of_word(word: str) -> list[int]:
-        ids = fixed.get(word) or memo.get(word)
-        if ids is None:
-            ids = _merge_word([first[b] for b in word.encode()], ranks)
-            if len(memo) >= MEMO_WORDS:
-                memo.clear()
-            memo[word] = ids
-        return ids
+    ranks = _Ranks(bpe.merges)
 
     @F.arrow_udf("array<int>")
     def ids_of(words: pa.Array) -> pa.Array:
-        flat = words.flatten().dictionary_encode()
-        per_word = pa.array([of_word(w) for w in flat.dictionary.to_pylist()], pa.list_(pa.int32()))
-        lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        taken = per_word.take(flat.indices)
-        sizes = pc.list_value_length(taken).to_numpy(zero_copy_only=False)
-        starts = np.concatenate([[0], np.cumsum(sizes)])[ends].astype("int32")
-        mask = words.is_null() if words.null_count else None
-        return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), taken.flatten(), mask=mask)
+        return _gathered(words, bpe, ranks, specials)
 
     return ids_of(bl.pretokens(text, specials))
 
 
+def encode_both(text: Column, bpe: Bpe, plain: Bpe) -> Column:
+    """``struct<ids, plain_ids>``: ``encode`` by ``bpe``, and by ``plain`` without special tokens.
+
+    A text is cut and sent to Python once for both, unless it may name a special token.
+    """
+    ranks, plain_ranks = _Ranks(bpe.merges), _Ranks(plain.merges)
+
+    @F.arrow_udf("struct<ids: array<int>, plain_ids: array<int>>")
+    def both(words: pa.Array, cut_alike: pa.Array) -> pa.Array:
+        flat = words.flatten().dictionary_encode()
+        ids = _listed_ids(words, flat.indices, _word_ids(flat.dictionary, bpe, ranks, True))
+        if cut_alike.null_count < len(cut_alike):
+            other = pc.if_else(cut_alike.is_null(), words, cut_alike)
+            plain_ids = _gathered(other, plain, plain_ranks, False)
+        else:
+            plain_ids = _listed_ids(words, flat.indices, _word_ids(flat.dictionary, plain, plain_ranks, False))
+        return pa.StructArray.from_arrays([ids, plain_ids], names=["ids", "plain_ids"])
+
+    named = F.contains(text, F.lit("<|"))
+    return both(bl.pretokens(text, True), F.when(named, bl.pretokens(text, False)))
+
+
 def _texts(values: Sequence[str]) -> Column:
     """A constant array, folded once when the query is planned."""
     return F.split(F.lit("\n".join(values)), "\n")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import draw
 from glyphmill.functions.bytelevel import EOT
-from glyphmill.plans.sizing import BUCKET_DIGITS, bucket_totals, global_rank, running_total, small_side
+from glyphmill.plans.sizing import BUCKET_DIGITS, bucket_totals, global_rank, looked_up_total, running_total, small_side
+from glyphmill.session import written
 
 # Fixed values.
 DOC_SEED = 42
@@ -39,29 +40,48 @@ def with_eot(encoded: DataFrame, ids: str = "ids", eot: int = EOT) -> DataFrame:
     return encoded.withColumn(ids, F.concat(F.coalesce(F.col(ids), F.array().cast("array<int>")), F.array(F.lit(eot))))
 
 
+# Hex digits of a digest after those of the bucket, as a number that tells the documents of a bucket apart.
+KEY_DIGITS = 15
+
+
+def place(encoded: DataFrame, seed: int = DOC_SEED, digits: int = BUCKET_DIGITS) -> DataFrame:
+    """``doc_id, split, ids, n, st, total``: where each document begins in its split's shuffled stream.
+
+    ``encoded`` is ``doc_id, split, ids`` and, if it is a written table, the
+    length ``n``; without it the table is written here, so no text is encoded
+    twice.  Documents are not moved, unless they are too many to look their places up.
+    """
+    if "n" not in encoded.columns:
+        encoded = written(encoded.select("doc_id", "split", "ids", F.size("ids").alias("n")), "tokens")
+    sized = encoded.select(
+        "doc_id", "split", "ids", F.col("n").cast("bigint").alias("n"), draw.digest(seed, F.col("doc_id"), "order").alias("_h")
+    ).filter("n > 0")
+    bucket = F.substring("_h", 1, digits)
+    key = F.conv(F.substring("_h", digits + 1, KEY_DIGITS), 16, 10).cast("bigint")
+    placed = looked_up_total(sized, ["split"], bucket, key, F.col("n"), "st", "total")
+    if placed is None:
+        placed = running_total(sized, ["split"], "_h", ["doc_id"], F.col("n"), "st", "total", digits)
+    return placed.drop("_h")
+
+
 def pack_blocks(
     encoded: DataFrame,
     length: int = BLOCK,
     seed: int = DOC_SEED,
     digits: int = BUCKET_DIGITS,
     keep_tail: bool = False,
+    id_type: str = "int",
 ) -> DataFrame:
     """Concatenate each split's documents in shuffled order and cut blocks.
 
-    ``encoded`` is ``(doc_id, split, ids)`` and, if at hand, the length ``n``: of a
-    written token table with ``n`` the first pass reads no ids.  Block i holds tokens ``i*length`` to
+    ``encoded`` is ``(doc_id, split, ids)`` and, of a written table, the length ``n``
+    (see ``place``).  Block i holds tokens ``i*length`` to
     ``(i+1)*length`` inclusive, so neighbours share one token; the tail that
     fills no block is dropped, or is a shorter last block if ``keep_tail``.  Every document hands each block it touches its
-    slice, and a block never gathers more than ``length + 1`` tokens.
+    slice, and a block never gathers more than ``length + 1`` tokens.  Slices travel as
+    ``id_type``: ``smallint`` halves them; an id that does not fit it is an error.
     """
-    sized = encoded.select(
-        "doc_id",
-        "split",
-        "ids",
-        (F.col("n") if "n" in encoded.columns else F.size("ids")).cast("bigint").alias("n"),
-        draw.digest(seed, F.col("doc_id"), "order").alias("_h"),
-    ).filter("n > 0")
-    placed = running_total(sized, ["split"], "_h", ["doc_id"], F.col("n"), "st", "total", digits)
+    placed = place(encoded, seed, digits)
     size = F.lit(length).cast("bigint")
     n_blocks = (F.ceil(F.col("total") / size) if keep_tail else F.floor((F.col("total") - 1) / size)).cast("bigint")
     first = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("st") - 1) / size).cast("bigint"))
@@ -73,7 +93,7 @@ def pack_blocks(
         return F.struct(
             block.alias("block_id"),
             low.alias("at"),
-            F.slice("ids", (low - F.col("st") + 1).cast("int"), (high - low + 1).cast("int")).alias("part"),
+            F.slice("ids", (low - F.col("st") + 1).cast("int"), (high - low + 1).cast("int")).cast(f"array<{id_type}>").alias("part"),
         )
 
     pieces = (
@@ -86,11 +106,11 @@ def pack_blocks(
         F.sort_array(F.collect_list(F.struct("p.at", "p.part"))).alias("parts")
     )
     return gathered.select(
-        "split", "block_id", F.flatten(F.transform("parts", lambda p: p["part"])).alias("tokens")
+        "split", "block_id", F.flatten(F.col("parts")["part"]).cast("array<int>").alias("tokens")
     )
 
 
-def unpack_blocks(blocks: DataFrame, length: int = BLOCK, eot: int = EOT) -> DataFrame:
+def unpack_blocks(blocks: DataFrame, length: int = BLOCK, eot: int = EOT, id_type: str = "int") -> DataFrame:
     """The documents a token stream was packed from: ``split, doc_no, ids`` without the end-of-text id.
 
     The first ``length`` tokens of a split's blocks tile its stream.  A block
@@ -103,16 +123,21 @@ def unpack_blocks(blocks: DataFrame, length: int = BLOCK, eot: int = EOT) -> Dat
     cut = blocks.select("split", "block_id", own.alias("own")).withColumn("ends", ends)
     cut = cut.withColumn("n_ends", F.size("ends").cast("bigint"))
     bucket = F.floor(F.col("block_id") / UNPACK_BUCKET).cast("bigint")
-    totals = bucket_totals(cut, ["split"], bucket, F.col("n_ends")).drop("_total")
-    local = W.partitionBy("split", "_bucket").orderBy("block_id").rowsBetween(W.unboundedPreceding, -1)
-    before = F.col("_before") + F.coalesce(F.sum("n_ends").over(local), F.lit(0))
-    numbered = cut.withColumn("_bucket", bucket).join(small_side(totals), ["split", "_bucket"]).withColumn("before", before)
+    # Blocks are not moved to be numbered, unless they are too many to look their numbers up.
+    numbered = looked_up_total(cut, ["split"], bucket, F.col("block_id"), F.col("n_ends"), "before", "_total")
+    if numbered is None:
+        totals = bucket_totals(cut, ["split"], bucket, F.col("n_ends")).drop("_total")
+        local = W.partitionBy("split", "_bucket").orderBy("block_id").rowsBetween(W.unboundedPreceding, -1)
+        before = F.col("_before") + F.coalesce(F.sum("n_ends").over(local), F.lit(0))
+        numbered = cut.withColumn("_bucket", bucket).join(small_side(totals), ["split", "_bucket"]).withColumn("before", before)
     limits = F.concat(F.array(F.lit(-1)), "ends", F.array(F.size("own")))
     pieces = F.transform(
         F.sequence(F.lit(0), F.size("ends")),
         lambda j: F.struct(
             (F.col("before") + j).alias("doc_no"),
-            F.slice("own", F.get(limits, j) + 2, F.get(limits, j + 1) - F.get(limits, j) - 1).alias("part"),
+            F.slice("own", F.get(limits, j) + 2, F.get(limits, j + 1) - F.get(limits, j) - 1)
+            .cast(f"array<{id_type}>")
+            .alias("part"),
             (j < F.size("ends")).alias("closed"),
         ),
     )
@@ -121,7 +146,7 @@ def unpack_blocks(blocks: DataFrame, length: int = BLOCK, eot: int = EOT) -> Dat
         F.sort_array(F.collect_list(F.struct("block_id", "part"))).alias("parts"), F.max("closed").alias("closed")
     )
     return gathered.filter("closed").select(
-        "split", "doc_no", F.flatten(F.transform("parts", lambda p: p["part"])).alias("ids")
+        "split", "doc_no", F.flatten(F.col("parts")["part"]).cast("array<int>").alias("ids")
     )
 
 

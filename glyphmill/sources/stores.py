@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.operators.pairs import PAIR_SCHEMA
+from glyphmill.session import shuffles_removed
 
 
 def write_pairs(pairs: DataFrame, path: str) -> None:
@@ -20,7 +21,8 @@ def read_pairs(spark: SparkSession, path: str, array_file: bool = False) -> Data
 def write_blocks(blocks: DataFrame, path: str, force: bool = False) -> None:
     """Token blocks, one folder per split; a folder whose write was finished is kept unless forced."""
     if force or not _finished(blocks.sparkSession, path):
-        blocks.write.mode("overwrite").partitionBy("split").parquet(path)
+        with shuffles_removed(blocks.sparkSession):
+            blocks.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
 def _finished(spark: SparkSession, path: str) -> bool:
