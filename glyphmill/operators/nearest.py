@@ -110,13 +110,17 @@ def nearest_phrasings(
 
     max_sentences, max_lead = sy.grammar_bounds(table)
     readings = sy.candidates(prompts.select(key, "prompt"), max_sentences, max_lead)
-    readings = readings.select(key, words_of(F.col("skeleton")).alias("words")).filter(
-        F.size("words").between(bounds["low"] - within, bounds["high"] + within)
+    # Filtered inside an array: a filter on a column would be pushed down and its input computed twice.
+    near_enough = F.filter(
+        F.array(words_of(F.col("skeleton"))), lambda ws: F.size(ws).between(bounds["low"] - within, bounds["high"] + within)
     )
+    readings = readings.select(key, F.explode(near_enough).alias("words"))
     readings = readings.select(key, _characters(F.col("words"), vocabulary).alias("asked"))
     # An unknown word costs an edit, so a reading with too many of them is near nothing.
-    n_unknown = F.length("asked") - F.length(F.replace("asked", F.lit(_UNKNOWN), F.lit("")))
-    readings = written(readings.filter(n_unknown <= within), "readings")
+    known_enough = F.filter(
+        F.array("asked"), lambda a: F.length(a) - F.length(F.replace(a, F.lit(_UNKNOWN), F.lit(""))) <= within
+    )
+    readings = written(readings.select(key, F.explode(known_enough).alias("asked")), "readings")
 
     asked = dealt(readings.select("asked"), "asked").distinct()
     asked = asked.select("asked", F.explode(_asked_remainders(F.col("asked"), within)).alias("r")).select("asked", "r.*")

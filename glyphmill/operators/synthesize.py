@@ -53,24 +53,45 @@ def grammar_bounds(skeletons: DataFrame) -> tuple[int, int]:
     return row["n"], row["lead"]
 
 
-def _readings(sentence: Column, max_lead: int) -> Column:
-    """Candidate ``(skeleton, values, kept)`` of one sentence."""
-    lead = F.regexp_extract(sentence, rf"^({_RUN})", 1)
-    rest = F.substring(sentence, F.length(lead) + 1, F.length(sentence))
-    masked = F.regexp_replace(rest, _INNER, HOLE)
-    inner = F.regexp_extract_all(rest, F.lit(f"({_INNER})"), F.lit(1))
-    words = F.when(lead == "", F.array().cast("array<string>")).otherwise(F.split(lead, " "))
-    n = F.size(words)
-
-    def reading(kept: Column) -> Column:
-        head = F.slice(words, F.lit(1), kept)
-        value = F.slice(words, kept + 1, F.greatest(n - kept, F.lit(0)))
-        some = n > kept
-        text = F.concat_ws(" ", head, F.when(some, F.array(F.lit(HOLE))).otherwise(F.array().cast("array<string>")))
-        values = F.when(some, F.concat(F.array(F.array_join(value, " ")), inner)).otherwise(inner)
-        return F.struct(F.concat(text, masked).alias("skeleton"), values.alias("vals"), kept.alias("kept"))
+def _choices(parts: Column, max_lead: int) -> Column:
+    """Per sentence, its candidate readings ``(skeleton, vals, kept)``.
+
+    Step by step over arrays: what a lambda names twice is computed twice, so
+    each step hands on what the next one needs more than once.
+    """
+    none = F.array().cast("array<string>")
+    led = F.transform(parts, lambda s: F.struct(s.alias("s"), F.regexp_extract(s, rf"^({_RUN})", 1).alias("lead")))
+    rests = F.transform(
+        led,
+        lambda x: F.struct(
+            F.when(x["lead"] == "", none).otherwise(F.split(x["lead"], " ")).alias("words"),
+            F.substring(x["s"], F.length(x["lead"]) + 1, F.length(x["s"])).alias("rest"),
+        ),
+    )
+    masked = F.transform(
+        rests,
+        lambda x: F.struct(
+            x["words"].alias("words"),
+            F.regexp_replace(x["rest"], _INNER, HOLE).alias("masked"),
+            F.regexp_extract_all(x["rest"], F.lit(f"({_INNER})"), F.lit(1)).alias("inner"),
+        ),
+    )
 
-    return F.transform(F.sequence(F.lit(0), F.least(n, F.lit(max_lead))), reading)
+    def reading(x: Column, kept: Column) -> Column:
+        n = F.size(x["words"])
+        some = n > kept
+        head = F.slice(x["words"], F.lit(1), kept)
+        text = F.concat_ws(" ", head, F.when(some, F.array(F.lit(HOLE))).otherwise(none))
+        value = F.array_join(F.slice(x["words"], kept + 1, F.greatest(n - kept, F.lit(0))), " ")
+        values = F.when(some, F.concat(F.array(value), x["inner"])).otherwise(x["inner"])
+        return F.struct(F.concat(text, x["masked"]).alias("skeleton"), values.alias("vals"), kept.alias("kept"))
+
+    return F.transform(
+        masked,
+        lambda x: F.transform(
+            F.sequence(F.lit(0), F.least(F.size(x["words"]), F.lit(max_lead))), lambda kept: reading(x, kept)
+        ),
+    )
 
 
 def candidates(prompts: DataFrame, max_sentences: int, max_lead: int, prompt: str = "prompt") -> DataFrame:
@@ -101,15 +122,36 @@ def candidates(prompts: DataFrame, max_sentences: int, max_lead: int, prompt: st
             )
         )
 
+    # Without capitals nothing is a value: the sentences, one after the other, are the prompt.
+    as_it_is = F.transform(empty, lambda a: F.struct(F.col(prompt).alias("skeleton"), a["vals"].alias("vals"), a["kept"].alias("kept")))
+    read = F.aggregate(_choices(F.col("_parts"), max_lead), empty, extend)
     return (
         prompts.withColumn("_parts", parts)
         .filter(F.size("_parts").between(1, max_sentences))
-        .withColumn("_choices", F.transform("_parts", lambda s: _readings(s, max_lead)))
-        .withColumn("_reading", F.explode(F.aggregate("_choices", empty, extend)))
+        .withColumn("_reading", F.explode(F.when(~F.col(prompt).rlike(r"\p{Lu}"), as_it_is).otherwise(read)))
         .select(*prompts.columns, F.trim("_reading.skeleton").alias("skeleton"), "_reading.vals", "_reading.kept")
     )
 
 
+# Runs and holes, as many as stand side by side.
+_RUNS = rf"(?<!\p{{L}})(?:{_WORD}|{HOLE})(?: (?:{_WORD}|{HOLE}))*"
+
+
+def run_form(text: Column) -> Column:
+    """A text with all its runs and holes masked: every reading of a prompt has the form of the prompt.
+
+    A reading masks runs or their last words, and what it leaves of a run stands
+    beside the hole.  A prompt that itself has the sign of a hole gets that sign.
+    """
+    return F.when(F.contains(text, F.lit(HOLE)), F.lit(HOLE)).otherwise(F.trim(F.regexp_replace(text, _RUNS, HOLE)))
+
+
+def _known_forms(table: DataFrame) -> DataFrame:
+    """The forms of all skeletons, and that of prompts to be read whatever their form."""
+    forms = table.select(F.trim(F.regexp_replace("skeleton", _RUNS, HOLE)).alias("_form"))
+    return forms.unionByName(table.select(F.lit(HOLE).alias("_form"))).distinct()
+
+
 def synthesize(
     prompts: DataFrame, paraphrases: DataFrame, shapes: DataFrame, key: str = "pair_id"
 ) -> DataFrame:
@@ -120,7 +162,10 @@ def synthesize(
     """
     table = skeleton_table(paraphrases, shapes).cache()
     max_sentences, max_lead = grammar_bounds(table)
-    found = candidates(prompts.select(key, "prompt"), max_sentences, max_lead)
+    # Only prompts of a known form are read: the others match nothing.
+    formed = prompts.select(key, "prompt").withColumn("_form", run_form(F.col("prompt")))
+    likely = formed.join(small_side(_known_forms(table)), "_form", "left_semi").select(key, "prompt")
+    found = candidates(likely, max_sentences, max_lead)
     matched = found.join(small_side(table), "skeleton").filter(F.size("holes") == F.size("vals"))
     named = F.arrays_zip(F.col("holes").alias("k"), F.col("vals").alias("v"))
     distinct = F.array_distinct(named)
