@@ -188,7 +188,7 @@ class _Ranks:
 
     def __init__(self, merges: Sequence[tuple[int, int]]):
         self.none = len(merges)
-        bits = max(8, (16 * len(merges)).bit_length())
+        bits = max(8, (8 * len(merges)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys = np.full(self.mask + 1, -1, np.int64)
         self.ranks = np.full(self.mask + 1, self.none, np.int32)
@@ -394,8 +394,14 @@ def token_strings(ids: Column, bpe: Bpe) -> Column:
 
 
 def filter_by_cost(words: DataFrame, bpe: Bpe, k: int = CHEAP_TOKENS, column: str = "word") -> DataFrame:
-    """Keep words that cost at most ``k`` tokens after a blank."""
-    return words.filter(token_count(F.concat(F.lit(" "), F.col(column)), bpe) <= k)
+    """Keep words that cost at most ``k`` tokens after a blank.
+
+    The cost is filtered inside an array: as a condition it would be pushed down
+    below a distinct, to every occurrence of a word.
+    """
+    costed = words.select("*", token_count(F.concat(F.lit(" "), F.col(column)), bpe).alias("_cost"))
+    cheap = F.filter(F.array("_cost"), lambda cost: cost <= k)
+    return costed.select("*", F.explode(cheap).alias("_cheap")).select(*words.columns)
 
 
 def token_cost(probes: DataFrame, bpe: Bpe) -> DataFrame:

@@ -33,9 +33,11 @@ def merge_words(*word_tables: DataFrame) -> DataFrame:
     A word begins with a letter and may hold digits, hyphens and the like, but
     nothing that would end a label: blanks, brackets, braces, quotes or bars.
     ``distinct`` combines map-side, so a word held by a third of all rows costs
-    one row per task in the shuffle.
+    one row per task in the shuffle.  What is asked of words stays above it, inside
+    an array: a filter would be pushed down to all rows, and those after it as well.
     """
-    return _candidates(word_tables).filter(F.col("word").rlike(SHOWN_WORD))
+    shown = F.filter(F.array(F.struct("kind", "word")), lambda w: w["word"].rlike(SHOWN_WORD))
+    return _candidates(word_tables).select(F.inline(shown))
 
 
 def dropped_words(*word_tables: DataFrame) -> DataFrame:

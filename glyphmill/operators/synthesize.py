@@ -9,6 +9,8 @@ such words and how many sentences can occur, which bounds the readings exactly.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +55,8 @@ def grammar_bounds(skeletons: DataFrame) -> tuple[int, int]:
     return row["n"], row["lead"]
 
 
-def _choices(parts: Column, max_lead: int) -> Column:
-    """Per sentence, its candidate readings ``(skeleton, vals, kept)``.
+def _choices(parts: Column, max_lead: int, leads: Sequence[str] | None = None) -> Column:
+    """Per sentence, its candidate readings ``(skeleton, vals, kept)``; with ``leads``, only those that keep one of them.
 
     Step by step over arrays: what a lambda names twice is computed twice, so
     each step hands on what the next one needs more than once.
@@ -86,17 +88,23 @@ def _choices(parts: Column, max_lead: int) -> Column:
         values = F.when(some, F.concat(F.array(value), x["inner"])).otherwise(x["inner"])
         return F.struct(F.concat(text, x["masked"]).alias("skeleton"), values.alias("vals"), kept.alias("kept"))
 
-    return F.transform(
-        masked,
-        lambda x: F.transform(
-            F.sequence(F.lit(0), F.least(F.size(x["words"]), F.lit(max_lead))), lambda kept: reading(x, kept)
-        ),
-    )
+    def kepts(x: Column) -> Column:
+        every = F.sequence(F.lit(0), F.least(F.size(x["words"]), F.lit(max_lead)))
+        if leads is None:
+            return every
+        return F.filter(every, lambda kept: F.array_join(F.slice(x["words"], F.lit(1), kept), " ").isin(*leads))
 
+    return F.transform(masked, lambda x: F.transform(kepts(x), lambda kept: reading(x, kept)))
 
-def candidates(prompts: DataFrame, max_sentences: int, max_lead: int, prompt: str = "prompt") -> DataFrame:
+
+def candidates(
+    prompts: DataFrame, max_sentences: int, max_lead: int, prompt: str = "prompt", leads: Sequence[str] | None = None
+) -> DataFrame:
     """One row per reading of each prompt that the grammar could contain.
 
+    ``leads`` are the capitalised words that begin sentences of the grammar, none
+    included: a reading that keeps others is no skeleton's.
+
     Prompts with more sentences than any paraphrase cannot match and have no
     readings; the others have at most ``(max_lead + 1) ** max_sentences``.
     """
@@ -124,7 +132,7 @@ def candidates(prompts: DataFrame, max_sentences: int, max_lead: int, prompt: st
 
     # Without capitals nothing is a value: the sentences, one after the other, are the prompt.
     as_it_is = F.transform(empty, lambda a: F.struct(F.col(prompt).alias("skeleton"), a["vals"].alias("vals"), a["kept"].alias("kept")))
-    read = F.aggregate(_choices(F.col("_parts"), max_lead), empty, extend)
+    read = F.aggregate(_choices(F.col("_parts"), max_lead, leads), empty, extend)
     return (
         prompts.withColumn("_parts", parts)
         .filter(F.size("_parts").between(1, max_sentences))
@@ -133,6 +141,17 @@ def candidates(prompts: DataFrame, max_sentences: int, max_lead: int, prompt: st
     )
 
 
+# Up to this many leads of a grammar are listed to leave out readings.
+LISTED_LEADS = 1000
+
+
+def known_leads(skeletons: DataFrame) -> list[str] | None:
+    """The capitalised words that begin a sentence of any skeleton, and none; None if they are too many to list."""
+    said = skeletons.select(F.explode(sentences(F.col("skeleton"))).alias("s"))
+    rows = said.select(F.regexp_extract("s", rf"^({_RUN})", 1).alias("lead")).distinct().limit(LISTED_LEADS + 1).collect()
+    return sorted({"", *(r["lead"] for r in rows)}) if len(rows) <= LISTED_LEADS else None
+
+
 # Runs and holes, as many as stand side by side.
 _RUNS = rf"(?<!\p{{L}})(?:{_WORD}|{HOLE})(?: (?:{_WORD}|{HOLE}))*"
 
@@ -165,7 +184,7 @@ def synthesize(
     # Only prompts of a known form are read: the others match nothing.
     formed = prompts.select(key, "prompt").withColumn("_form", run_form(F.col("prompt")))
     likely = formed.join(small_side(_known_forms(table)), "_form", "left_semi").select(key, "prompt")
-    found = candidates(likely, max_sentences, max_lead)
+    found = candidates(likely, max_sentences, max_lead, leads=known_leads(table))
     matched = found.join(small_side(table), "skeleton").filter(F.size("holes") == F.size("vals"))
     named = F.arrays_zip(F.col("holes").alias("k"), F.col("vals").alias("v"))
     distinct = F.array_distinct(named)

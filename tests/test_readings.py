@@ -7,7 +7,8 @@ import random
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as tx
-from glyphmill.operators import pairs
+from glyphmill.operators import bpe as bp
+from glyphmill.operators import lexicon, pairs
 from glyphmill.operators import synthesize as sy
 from glyphmill.plans import inputs, registry
 from glyphmill.sources.grammar import grammar
@@ -87,3 +88,34 @@ def test_each_pair_is_drawn_once_for_all_its_prompts(spark, sf_dir, monkeypatch)
         calls.value = 0
         registry.QUERIES[name](spark, sf_dir).count()
         assert calls.value == n, name
+
+
+def test_leads_leave_out_no_reading_that_matches(spark, kit):
+    table = sy.skeleton_table(kit.phrases, grammar(spark)["shapes"])
+    leads, bounds = sy.known_leads(table), sy.grammar_bounds(table)
+    assert "" in leads and len(leads) > 2
+    drawn = pairs.generate_pairs(spark.range(300).withColumnRenamed("id", "pair_id"), kit).select("pair_id", "prompt")
+    some, every = sy.candidates(drawn, *bounds, leads=leads), sy.candidates(drawn, *bounds)
+    known = lambda df: sorted(map(str, df.join(table.select("skeleton").distinct(), "skeleton").collect()))
+    assert known(some) == known(every) and 0 < some.count() < every.count()
+
+
+def test_words_are_judged_once_distinct(spark):
+    rows = spark.range(3000).select(F.lit("object").alias("kind"), F.element_at(F.array(*map(F.lit, ["Cup", "b{d", "Xqz"])), (F.col("id") % 3 + 1).cast("int")).alias("word"))
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(word):
+        calls.add(1)
+        return word
+
+    words = lexicon.merge_words(rows)
+    assert sorted(r["word"] for r in words.collect()) == ["Cup", "Xqz"]
+    assert words.withColumn("again", counted("word")).filter("again = 'Cup'").count() == 1
+    assert calls.value == 2
+    # No vocabulary: a word costs its bytes and the blank.
+    kept = bp.filter_by_cost(rows.distinct(), bp.Bpe(()), 4)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Aggregate")
+    assert sorted(r["word"] for r in kept.collect()) == ["Cup", "Xqz", "b{d"]
+    assert bp.filter_by_cost(rows.distinct(), bp.Bpe(()), 3).count() == 0
