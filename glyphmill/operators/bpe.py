@@ -215,6 +215,8 @@ class _Ranks:
         return out
 
 
+# The arrays of a round are several times the words' bytes.
+WORDS_AT_ONCE = 32_768
 # Words of more bytes are merged one by one, where a heap keeps their cost low.
 LONG_WORD = 64
 # Id 0 is a special token and in no merge: it ends every word.
@@ -287,7 +289,12 @@ def _word_ids(words: pa.Array, bpe: Bpe, ranks: _Ranks, specials: bool) -> pa.Ar
         or _merge_word(flat[offsets[k] - offsets[0] : offsets[k + 1] - offsets[0]].tolist(), by_pair)
         for k in one
     ]
-    merged, size = _merge_words(flat[~np.repeat(alone, sizes)], np.where(alone, 0, sizes), ranks)
+    short, counts = flat[~np.repeat(alone, sizes)], np.where(alone, 0, sizes)
+    at = np.concatenate([[0], np.cumsum(counts)])
+    some = [slice(a, min(a + WORDS_AT_ONCE, len(counts))) for a in range(0, len(counts), WORDS_AT_ONCE)]
+    done = [_merge_words(short[at[w.start] : at[w.stop]], counts[w], ranks) for w in some]
+    merged = np.concatenate([np.zeros(0, np.int32), *(ids for ids, _ in done)])
+    size = np.concatenate([np.zeros(0, np.int64), *(n for _, n in done)])
     size[one] = [len(ids) for ids in others]
     ends = np.concatenate([[0], np.cumsum(size)])
     ids = np.empty(ends[-1], np.int32)

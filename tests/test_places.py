@@ -135,3 +135,24 @@ def test_words_merged_at_once_are_those_merged_alone():
     assert got == want
     assert bp._word_ids(pa.array(words), bpe, bp._Ranks(bpe.merges), True).to_pylist()[2] == [bl.PAD]
     assert bp._word_ids(pa.array(words).slice(2), bpe, bp._Ranks(bpe.merges), False).to_pylist() == want[2:]
+
+
+def test_token_tables_are_made_in_modest_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    from glyphmill import session
+
+    before = spark.conf.get(session._BATCH_BYTES)
+    try:
+        spark.conf.set(session._BATCH_BYTES, str(64 << 20))
+        session.modest_batches(spark)
+        assert spark.conf.get(session._BATCH_BYTES) == str(8 << 20)
+        session.modest_batches(spark, 9 << 20)
+        assert spark.conf.get(session._BATCH_BYTES) == str(8 << 20)
+    finally:
+        spark.conf.set(session._BATCH_BYTES, before)
+    bpe = bp.Bpe(((bl.FIRST_BYTE, bl.FIRST_BYTE + 1), (bl.FIRST_MERGE, bl.FIRST_BYTE)))
+    words, ranks = pa.array(['!"!', "", '"!"!', "!!", '!"' * 40, '"']), bp._Ranks(bpe.merges)
+    whole = bp._word_ids(words, bpe, ranks, False).to_pylist()
+    monkeypatch.setattr(bp, "WORDS_AT_ONCE", 2)
+    assert bp._word_ids(words, bpe, ranks, False).to_pylist() == whole
