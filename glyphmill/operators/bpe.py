@@ -356,6 +356,8 @@ def encode_both(text: Column, bpe: Bpe, plain: Bpe) -> Column:
             plain_ids = _gathered(other, plain, plain_ranks, False)
         else:
             plain_ids = _listed_ids(words, flat.indices, _word_ids(flat.dictionary, plain, plain_ranks, False))
+        # A worker that waits keeps no memory of the batch before.
+        pa.default_memory_pool().release_unused()
         return pa.StructArray.from_arrays([ids, plain_ids], names=["ids", "plain_ids"])
 
     named = F.contains(text, F.lit("<|"))
